@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing
+from . import bpe, exact_dedup, minhash, packing, pii, quality
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,15 +23,35 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
 
 
+#: A text counts as good from this score on.
+GOOD_FROM = 0.3
+
+
+def held_out(id_col: str = "doc_id"):
+    """The fifth of ids that training never sees."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    model = quality.fit(documents, _read(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_read(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_minhash, op7_bpe, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_minhash, op5_quality, op7_bpe, op8_pii, op9_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
