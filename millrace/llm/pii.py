@@ -25,7 +25,7 @@ LOOK_ALIKES = dict(
     zip("АВЕЅІЈКМНОРСТХаеіјорсухѕԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναɡ․﹒。＠﹫", "ABESIJKMHOPCTXaeijopcyxsdqwhABEZHIKMNOPTYXovag...@@", strict=True)
 )
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-ENDINGS = "com org net edu gov mil int info biz io co ai dev app me eu us uk ca au de fr es it nl ch be se no pl ru jp cn in br example".split()
+ENDINGS = "com org net edu gov mil info biz io co ai dev app eu uk ca au fr nl ch pl ru jp cn br example".split()
 INVISIBLE = "­​‌‍‎‏⁠﻿"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

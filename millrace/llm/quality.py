@@ -22,7 +22,7 @@ _REPEAT = np.uint32(0x5BD1E995)
 class Units(dict):
     """Slots of the tokens of a white-space separated unit, before the modulus; forgets all at ``limit``."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

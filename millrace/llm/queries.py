@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing, pii, quality
+from . import bpe, embeddings, exact_dedup, html, minhash, packing, pii, quality, sharding, url_lists
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -19,10 +19,51 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """``pages`` has no fetch times: a page is taken as fetched on a day of 2024 that its id gives."""
+    day = F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_at"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """There is no list table either: entries for hosts, parents and folders of ``pages``, by the host's digest."""
+    hosts = pages.select(url_lists.host(F.col("url")).alias("h")).where("h != ''").distinct().withColumn("c", F.conv(F.substring(F.md5("h"), 1, 6), 16, 10).cast("long"))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("c", F.lit(180)).cast("int"))
+    parent = F.regexp_replace("h", r"^[^.]*\.", "")
+
+    def entry(name, key, action, after, when):
+        return hosts.where(when).select(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), F.date_add(start, after).alias("at"))
+
+    h = F.col("h")
+    parts = [
+        entry("adult", h, "add", 0, "c % 4 = 0"),
+        entry("adult", h, "remove", 60, "c % 4 = 0"),
+        entry("adult", h, "add", 120, "c % 8 = 0"),
+        entry("spam", parent, "add", 30, "c % 7 = 0 and h like '%.%.%'"),
+        entry("spam", parent, "remove", 100, "c % 14 = 0 and h like '%.%.%'"),
+        entry("mirror", F.concat(h, F.lit("/fr")), "add", 10, "c % 3 = 0"),
+        entry("ads", h, "add", 0, "h like '%ads-track%'"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.active_lists(page_captures(pages), dated_entries(pages)).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.byte_shards(_read(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 #: A text counts as good from this score on.
 GOOD_FROM = 0.3
 
@@ -39,6 +80,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -51,9 +96,53 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_minhash, op5_quality, op7_bpe, op8_pii, op9_exact_dedup)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_url_lists, op3_minhash, op4_sharding, op5_quality, op6_embeddings, op7_bpe, op8_pii, op9_exact_dedup, op10_html)
+}
+
 
 ORACLES: dict[str, str] = {
+    "op2_url_lists": r"""
+        WITH p AS (
+          SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched_at,
+                 rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+                 regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+          FROM pages
+        ), h AS (
+          SELECT host AS h, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS c,
+                 host LIKE '%.%.%' AS deep, regexp_replace(host, '^[^.]*\.', '') AS parent
+          FROM (SELECT DISTINCT host FROM p WHERE host <> '')
+        ), d AS (SELECT *, DATE '2024-01-01' + CAST(c % 180 AS INTEGER) AS start FROM h),
+        e AS (
+          SELECT 'adult' AS list, h AS key, 'add' AS action, start AS "at" FROM d WHERE c % 4 = 0
+          UNION ALL SELECT 'adult', h, 'remove', start + 60 FROM d WHERE c % 4 = 0
+          UNION ALL SELECT 'adult', h, 'add', start + 120 FROM d WHERE c % 8 = 0
+          UNION ALL SELECT 'spam', parent, 'add', start + 30 FROM d WHERE c % 7 = 0 AND deep
+          UNION ALL SELECT 'spam', parent, 'remove', start + 100 FROM d WHERE c % 14 = 0 AND deep
+          UNION ALL SELECT 'mirror', h || '/fr', 'add', start + 10 FROM d WHERE c % 3 = 0
+          UNION ALL SELECT 'ads', h, 'add', start FROM d WHERE h LIKE '%ads-track%'
+        ), v AS (
+          SELECT list, key, action, "at" AS since, lead("at") OVER (PARTITION BY list, key ORDER BY "at", action) AS until
+          FROM (SELECT DISTINCT * FROM e)
+        ), hits AS (
+          SELECT p.url, p.fetched_at, count(DISTINCT (v.list, v.key, v.since)) AS n_entries,
+                 array_to_string(list_sort(list(DISTINCT v.list)), ',') AS lists
+          FROM p JOIN v ON v.action = 'add' AND (v.until IS NULL OR v.until > v.since)
+           AND p.fetched_at >= v.since AND (v.until IS NULL OR p.fetched_at < v.until)
+           AND (p.host = split_part(v.key, '/', 1) OR ends_with(p.host, '.' || split_part(v.key, '/', 1)))
+           AND contains(split_part(v.key, '/', 1), '.')
+           AND (NOT contains(v.key, '/') OR p.path = '/' || split_part(v.key, '/', 2) OR starts_with(p.path, '/' || split_part(v.key, '/', 2) || '/'))
+          GROUP BY p.url, p.fetched_at
+        )
+        SELECT p.page_id, p.url, CAST(p.fetched_at AS VARCHAR) AS fetched_at, p.host,
+               coalesce(hits.n_entries, 0) AS n_entries, coalesce(hits.lists, '') AS lists, hits.n_entries IS NOT NULL AS blocked
+        FROM p LEFT JOIN hits ON hits.url = p.url AND hits.fetched_at = p.fetched_at
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,
