@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import stored, without
 
 #: Characters that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -111,27 +112,50 @@ def better(a: tuple, b: tuple) -> tuple:
     return min(a, b, key=rank)
 
 
-def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 192 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per row of ``df``: ``id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after white space is deleted; null counts as empty, and empty texts are equal.
     Of equal texts the row with the most code points stays, then the smallest id (null ids last), then the earlier
     of rows with the same id, so exactly one row of a group is kept, also among repeated rows. Other columns are left
-    out. An empty table gives an empty result. A trie over ``trie_bytes`` gives up its largest subtree: a reading
-    task passes it on early, an owner task sets it aside in a temporary file of its own and comes back to it; a lost
-    executor only repeats the task. Owner tasks get about ``task_bytes`` of text each.
+    out. An empty table gives an empty result. ``limits`` are those of ``resolve``.
+    """
+    met, owners = resolve(df.select(id_col, text_col), id_col, text_col, False, **limits)
+    rows = met.where(F.col("rid").isNotNull()).select("id", "rid", "rep", "text_sha256")
+    return rows.join(owners, "rep").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns, by the rules of ``mark``."""
+    met, owners = resolve(df, id_col, text_col, True, **limits)
+    rows = met.where(F.col("rid").isNotNull())
+    dropped = stored(rows.select("rid", "rep").join(owners, "rep").where("rid != keep_rid").select("rid"), "dropped")
+    return without(rows.select("rid", "row"), dropped, "rid").select("row.*")
+
+
+def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes: int = 192 << 20, task_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(what reading tasks met, owners). The first holds a row for each row of ``df`` (``id, rid, rep, text_sha256``,
+    and with ``carry`` the ``row`` itself) and one for each distinct text of a task, whose ``rid`` is null; the second
+    maps ``rep`` to ``keep_id, keep_rid, group_size``.
+
+    A trie over ``trie_bytes`` gives up its largest subtree: a reading task passes it on early, an owner task sets it
+    aside in a temporary file of its own and comes back to it, so a lost executor only repeats the task. Owner tasks
+    get about ``task_bytes`` of text each.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    schema = T._parse_datatype_string(f"id {kind}, rid long, rep long, text_sha256 string, text binary, rows long, owner_chars long, owner_id {kind}, owner_rid long")
+    if carry:
+        schema = T.StructType([*schema, T.StructField("row", df.schema)])
 
     def read(batches):
         part, rows, trie = TaskContext.get().partitionId(), 0, Patricia()
-        id_type = None
+        id_type = row_type = None
 
-        def out(docs=(), texts=()):
-            """docs: (id, rid, rep, sha); texts: (text, (rep, count, owner))."""
+        def out(docs=(), texts=(), row=None):
+            """docs: (id, rid, rep, sha) and their rows; texts: (text, (rep, count, owner))."""
             docs, texts = list(docs), list(texts)
             d, t = [None] * len(docs), [None] * len(texts)
-            column = lambda values, kind: pa.array(values, kind)
+            column = pa.array
             return pa.record_batch(
                 [
                     column([x[0] for x in docs] + t, id_type),
@@ -143,8 +167,9 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_byt
                     column(d + [v[2][0] for _, v in texts], pa.int64()),
                     column(d + [v[2][1] for _, v in texts], id_type),
                     column(d + [v[2][2] for _, v in texts], pa.int64()),
+                    *([row if row is not None else pa.nulls(len(texts), row_type)] if carry else []),
                 ],
-                names=["id", "rid", "rep", "text_sha256", "text", "rows", "owner_chars", "owner_id", "owner_rid"],
+                names=[f.name for f in schema],
             )
 
         def portions(entries, most=8 << 20):
@@ -159,7 +184,7 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_byt
                 yield out(texts=held)
 
         for b in batches:
-            id_type, docs = b.column(0).type, []
+            id_type, row_type, docs = b.column(0).type, b.column(2).type if carry else None, []
             chars = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()
             for i, raw, n in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), chars, strict=True):
                 key = (raw or b"").translate(None, SPACE)
@@ -174,7 +199,7 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_byt
                 docs.append((i, rid, node.value[0], hashlib.sha256(key).hexdigest()))
                 if trie.bytes > trie_bytes and (first := trie.largest()) is not None:
                     yield from portions(trie.take(first))
-            yield out(docs=docs)
+            yield out(docs=docs, row=b.column(2) if carry else None)
         if rows:
             yield from portions(trie.drain())
 
@@ -226,9 +251,7 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_byt
             yield from out(trie.drain())
 
     met = stored(
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-            read, f"id {kind}, rid long, rep long, text_sha256 string, text binary, rows long, owner_chars long, owner_id {kind}, owner_rid long"
-        ),
+        df.select(F.col(id_col), F.col(text_col), *([F.struct(*(df[c] for c in df.columns))] if carry else [])).toDF(*["id", "text", "row"][: 2 + carry]).mapInArrow(read, schema),
         "exact",
     )
     texts = met.where(F.col("rid").isNull()).withColumn("size", F.octet_length("text"))
@@ -240,5 +263,4 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_byt
         .select("rep", "text", "rows", "owner_chars", "owner_id", "owner_rid")
         .mapInArrow(own, f"rep long, keep_id {kind}, keep_rid long, group_size long")
     )
-    rows = met.where(F.col("rid").isNotNull()).select("id", "rid", "rep", "text_sha256")
-    return rows.join(owners, "rep").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    return met, owners

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import Forest, components
-from .storage import small, stored
+from .storage import small, stored, without
 
 #: Rows of ``(group, vertex)`` up to which they are broadcast to the tables' scan (16 bytes a row).
 BROADCAST_ROWS = 1_000_000
@@ -195,8 +196,35 @@ def confirmed_links(words: int, percent: int):
     return run
 
 
-def near_duplicates(
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``df``: ``id, n_shingles, component_id, kept``.
+
+    Rows are linked when 100 * |A & B| >= percent * |A | B| for their sets of ``words``-word shingles; every link is
+    confirmed on full sets. A text of fewer words is one shingle; without words or null, it is linked with nothing
+    and stays. ``component_id`` is the smallest id reachable (null ids count only if there is no other); of a
+    component the row with that id is ``kept``, of rows that repeat it the first. Other columns are left out; an empty
+    table gives an empty result. ``options`` are those of ``resolve``.
+    """
+    docs, of_set = resolve(df.select(id_col, text_col), id_col, text_col, **options)
+    own = F.col(f"row.{id_col}")
+    lone = F.col("set_key").isNull()
+    return (
+        docs.join(of_set, "set_key", "left")
+        .select(own.alias(id_col), "n_shingles", F.when(lone, own).otherwise(F.col("least.id")).alias("component_id"), (lone | (F.col("rid") == F.col("least.rid"))).alias("kept"))
+    )
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that ``near_duplicates`` keeps, with all their columns."""
+    docs, of_set = resolve(df, id_col, text_col, **options)
+    dropped = stored(docs.select("rid", "set_key").join(of_set, "set_key").where(F.col("rid") != F.col("least.rid")).select("rid"), "dropped")
+    return without(docs.select("rid", "row"), dropped, "rid").select("row.*")
+
+
+def resolve(
     df: DataFrame,
+    id_col: str,
+    text_col: str,
     words: int = 5,
     percent: int = 80,
     trees: int = 16,
@@ -205,21 +233,13 @@ def near_duplicates(
     node_limit: int = 4096,
     depth: int = 6,
     block: int = 1024,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per row of ``df``: ``id, n_shingles, component_id, kept``.
+) -> tuple[DataFrame, DataFrame]:
+    """(rows as ``rid, row, n_shingles, set_key``, the least row ``(missing, id, rid)`` of the component of each set).
 
-    Rows are linked when 100 * |A & B| >= percent * |A | B| for their sets of ``words``-word shingles; every link is
-    confirmed on full sets. A text of fewer words is one shingle; without words or null, it is linked with nothing
-    and its component is its own id. ``component_id`` is the smallest id reachable (null ids count only if there is
-    no other), ``kept`` tells whether it is the row's own id: rows that repeat an id and text are kept or dropped
-    together, a row with a null id is kept only if alone. Other columns are left out; an empty table gives an
-    empty result. A pair at the threshold whose nodes are split to depth d is missed with probability
-    (1 - 0.8^d)^trees, and with ``agree_at`` of ``tokens`` another 1e-6. Nodes over ``node_limit`` members at the
-    last depth are compared in all pairs of blocks, so no member is left out.
+    A pair at the threshold whose nodes are split to depth d is missed with probability (1 - 0.8^d)^trees, and with
+    ``agree_at`` of ``tokens`` another 1e-6. Nodes over ``node_limit`` members at the last depth are compared in all
+    pairs of blocks, and groups over ``block`` members are confirmed in pairs of blocks, so no member is left out.
     """
-    kind = df.schema[id_col].dataType.simpleString()
     multipliers, addends = functions(tokens)
 
     def read(batches):
@@ -234,40 +254,26 @@ def near_duplicates(
             rid = pa.array(np.arange(rows, rows + len(n), dtype=np.int64) + (part << 33))
             rows += len(n)
             yield pa.record_batch(
-                [b.column(0), b.column(1), rid, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                names=["id", "text", "rid", "n_shingles", "set_key", "sig"],
+                [b.column(0), rid, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
+                names=["row", "rid", "n_shingles", "set_key", "sig"],
             )
 
-    docs = stored(
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(read, f"id {kind}, text string, rid long, n_shingles long, set_key binary, sig array<int>"),
-        "shingled",
-    )
+    schema = T.StructType([T.StructField("row", df.schema), *T._parse_datatype_string("rid long, n_shingles long, set_key binary, sig array<int>")])
+    docs = stored(df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.col(text_col).alias("__text")).mapInArrow(read, schema), "shingled")
     # equal sets are one vertex, named by its first row
-    vertices = stored(
-        docs.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("v"), F.min("id").alias("least_id"), F.first("sig").alias("sig")), "vertices"
-    )
+    own = F.col(f"row.{id_col}")
+    least = F.min(F.struct(own.isNull().alias("missing"), own.alias("id"), F.col("rid")))
+    vertices = docs.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("v"), least.alias("least"), F.first("sig").alias("sig"))
+    vertices = stored(vertices, "vertices")
     groups = stored(candidate_groups(vertices, trees, tokens, agree_at, node_limit, depth, block), "groups")
-    texts = docs.select(F.col("rid").alias("v"), "text")
+    texts = docs.select(F.col("rid").alias("v"), F.col(f"row.{text_col}").alias("text"))
     wanted = F.broadcast(groups) if small(groups, BROADCAST_ROWS) else groups
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = (
-        texts.join(wanted, "v").select("group", "v", "text").repartition(tasks, "group").sortWithinPartitions("group", "v").mapInArrow(confirmed_links(words, percent), "a long, b long")
-    )
-    roots = components(links)
-    placed = vertices.select("set_key", "v", "least_id").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    linked = placed.join(roots.select("root").distinct(), "root", "left_semi")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_set = placed.join(least, "root", "left").select("set_key", F.coalesce("component_id", "least_id").alias("component_id"))
-    return (
-        docs.select("id", "n_shingles", "set_key")
-        .join(of_set, "set_key", "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_shingles",
-            F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-            F.when(F.col("set_key").isNull(), True).otherwise(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"),
-        )
-    )
+    together = texts.join(wanted, "v").select("group", "v", "text").repartition(tasks, "group").sortWithinPartitions("group", "v")
+    roots = components(together.mapInArrow(confirmed_links(words, percent), "a long, b long"))
+    placed = vertices.select("set_key", "v", "least").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    of_root = placed.groupBy("root").agg(F.min("least").alias("least"))
+    return docs.drop("sig"), placed.select("set_key", "root").join(of_root, "root").select("set_key", "least")
 
 
 def candidate_groups(vertices: DataFrame, trees: int, tokens: int, agree_at: int, node_limit: int, depth: int, block: int) -> DataFrame:

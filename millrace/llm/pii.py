@@ -202,3 +202,22 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
         run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     )
+
+
+def scrub(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``df`` with all spans of its texts replaced by their kind in brackets, and ``length_col`` set to the new number of
+    code points. Null texts and their lengths stay as they are; all rows and other columns stay."""
+    at = df.columns.index(text_col)
+    length = df.columns.index(length_col) if length_col in df.columns else None
+
+    def run(batches):
+        for b in batches:
+            texts = [t and redact(t, find(t)[1]) for t in b.column(at).to_pylist()]
+            columns = list(b.columns)
+            if length is not None:
+                old = columns[length].to_pylist()
+                columns[length] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], columns[length].type)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.record_batch(columns, schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)

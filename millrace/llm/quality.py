@@ -159,3 +159,20 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     return df.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema + ", score double")
+
+
+def accepted(df: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score at least ``threshold``, with all their columns; no score is carried along."""
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches):
+        m = sent.value
+        weights = m.dense()
+        for b in batches:
+            keep = []
+            for t in b.column(at).to_pylist():
+                slots, x = features(t or "", m.bits)
+                keep.append(logistic(weights[slots] @ x) >= threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -56,7 +56,8 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
+    found = minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=4)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: 64-bit keys up to which a table of them is broadcast: 8 MB, some 30 MB when hashed.
+BROADCAST_KEYS = 1_000_000
+
+_made: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only where none is set (tests on one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,10 +32,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a fresh table in shared storage and read back with the same columns."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _made.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables made so far in this session. Only for callers that have written out all that reads them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``dropped``; broadcast while that has at most ``BROADCAST_KEYS`` rows."""
+    return rows.join(F.broadcast(dropped) if small(dropped, BROADCAST_KEYS) else dropped, key, "left_anti")
+
+
 def small(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; looks at no more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
