@@ -29,7 +29,7 @@ BROADCAST_ROWS = 1_000_000
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds ``limit``."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

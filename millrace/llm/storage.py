@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: 64-bit keys up to which a table of them is broadcast: 8 MB, some 30 MB when hashed.
 BROADCAST_KEYS = 1_000_000
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: list[str] = []
 
 
@@ -28,9 +29,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB, unless the session sets another size: rows can be long, and each executor core
+    has several batches and their Python objects in memory."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, "4m")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a fresh table in shared storage and read back with the same columns."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
