@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import analyst, digest, gates, index, logs, profile, routing, search
+from ..streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -728,3 +731,28 @@ _GATE = r"[x FOR x IN regexp_extract_all(lower({c}), '\p{{L}}+') IF length(x) <=
 def gate_grounding(spark, d):
     corpus = read(spark, d, "documents").where("lang = 'en'").select(F.explode(F.transform(T.gate_tokens(F.col("text")), T.stem)).alias("token"))
     return routing.grounding(read(spark, d, "benchmark").selectExpr("item_id as claim_id", "text"), corpus)
+
+
+# ---- streams -------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return events.source(spark, d, "events.parquet*", read(spark, d, "events").schema)
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    name = f"millrace_{uuid.uuid4().hex}"
+    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return events.drain(stream, name, mode, f"{root}/millrace-stream-{name}")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(spark, d):
+    out = _drained(events.counts(_stream(spark, d), "ts", "event_type"), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT count(DISTINCT event_id) AS n_events FROM events")
+def stream_dedup(spark, d):
+    once = _drained(events.unique(_stream(spark, d), "ts", ["event_id"], "30 days"), "append")
+    return once.agg(F.count("*").alias("n_events"))
