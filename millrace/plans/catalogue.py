@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import analyst, digest, gates, index, logs, profile, routing, search
+from ..operators import analyst, digest, gates, index, logs, profile, routing, search, summaries
 from ..streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -756,3 +756,83 @@ def stream_daily_counts(spark, d):
 def stream_dedup(spark, d):
     once = _drained(events.unique(_stream(spark, d), "ts", ["event_id"], "30 days"), "append")
     return once.agg(F.count("*").alias("n_events"))
+
+
+# ---- summaries and further scalars ----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest({_topic_sql('text')}) AS token FROM documents), g AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank FROM g) SELECT doc_id, token, n, rank FROM r WHERE rank <= 6"""
+)
+def summary_file_terms(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.lit("x/1.txt").alias("p"), "text")
+    return summaries.file_terms(rows, "doc_id", F.col("p"), F.col("text")).select("doc_id", "token", "n", "rank")
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT lang, doc_id, unnest({_topic_sql('text')}) AS token FROM documents), g AS (SELECT lang, token, count(*) AS n_files FROM t GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_files DESC, token) AS rank FROM g) SELECT * FROM r WHERE rank <= 12"""
+)
+def summary_domain_keywords(spark, d):
+    tokens = read(spark, d, "documents").select("lang", "doc_id", F.explode(T.topic_tokens(F.col("text"))).alias("token"))
+    return summaries.domain_keywords(tokens, "lang", "doc_id")
+
+
+@query(
+    """WITH g AS (SELECT lang, source AS folder, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, folder) AS rank FROM g)
+    SELECT * FROM r WHERE rank <= 4"""
+)
+def summary_topic_folders(spark, d):
+    return summaries.topic_folders(read(spark, d, "documents"), "lang", F.col("source"))
+
+
+@query(
+    """WITH p AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+    SELECT lang, doc_id FROM p WHERE i % CAST(ceil(n / 20) AS BIGINT) = 0"""
+)
+def summary_evidence_sample(spark, d):
+    return summaries.sampled_evidence(read(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id")
+
+
+@query(
+    """WITH e AS (SELECT lang AS domain, 100 + length(lang) AS last FROM documents WHERE lang <> 'fr' GROUP BY 1)
+    SELECT lang AS domain, count(*) FILTER (last IS NULL OR doc_id > last) AS n_newer FROM documents LEFT JOIN e ON lang = domain GROUP BY 1"""
+)
+def index_drift(spark, d):
+    f = read(spark, d, "documents").select(F.col("lang").alias("domain"), F.col("doc_id").alias("mtime"))
+    e = f.where("domain != 'fr'").select("domain", (100 + F.length("domain")).cast("long").alias("ts"))
+    return summaries.drift(f, e)
+
+
+@query("SELECT lang AS domain, source AS ext, count(*) AS n FROM documents WHERE source NOT IN ('src1', 'src2', 'src3') GROUP BY ALL")
+def index_not_digested(spark, d):
+    return summaries.not_digested(read(spark, d, "documents").select(F.col("lang").alias("domain"), F.col("source").alias("ext")), ["src1", "src2", "src3"])
+
+
+@query(
+    r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '/' || p_type), '[^a-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, substring(sha256(p_name), 1, 8) AS hash,
+    md5(p_name) AS digest, regexp_matches(p_name, '^.*ring.*$') AS is_ring, (p_size - 3) / 2.0 AS sentiment FROM part"""
+)
+def scalar_text(spark, d):
+    p = read(spark, d, "part")
+    return p.select("p_partkey", S.slug(F.concat_ws("/", "p_name", "p_type")).alias("slug"), S.answer_hash(F.col("p_name")).alias("hash"), F.md5("p_name").alias("digest"), S.glob_like(F.col("p_name"), "*ring*").alias("is_ring"), S.sentiment(F.col("p_size")).alias("sentiment"))
+
+
+@query(
+    """WITH t AS (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' What is the total revenue by region?' WHEN 1 THEN ' Compare both step by step.' WHEN 2 THEN ' Which files are there, as a table?' ELSE '' END AS q FROM benchmark)
+    SELECT item_id, item_id % 4 = 0 AS data, item_id % 4 = 1 AS complex, item_id % 4 = 2 AS overview, CASE item_id % 4 WHEN 2 THEN 'table' END AS format FROM t"""
+)
+def scalar_questions(spark, d):
+    tail = F.when(F.col("item_id") % 4 == 0, " What is the total revenue by region?").when(F.col("item_id") % 4 == 1, " Compare both step by step.").when(F.col("item_id") % 4 == 2, " Which files are there, as a table?").otherwise("")
+    q = F.concat("text", tail)
+    return read(spark, d, "benchmark").select("item_id", S.is_data(q).alias("data"), S.is_complex(q).alias("complex"), S.is_overview(q).alias("overview"), S.format_key(q).alias("format"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN t >= 1e6 THEN printf('$%.2fM', t / 1e6) WHEN t >= 1e3 THEN printf('$%.1fK', t / 1e3) ELSE printf('$%.2f', t) END AS money,
+    CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q FROM (SELECT *, 1000 * floor(o_totalprice / 1000) AS t FROM orders)"""
+)
+def scalar_periods(spark, d):
+    name = F.concat(F.lit("q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
+    return read(spark, d, "orders").select("o_orderkey", S.money(1000.0 * F.floor(F.col("o_totalprice") / 1000)).alias("money"), S.year_of(name).alias("y"), S.quarter_of(name).alias("q"))
