@@ -29,6 +29,8 @@ from .storage import bounded_batches
 # Unicode White_Space, and the pre-token pattern of byte-level BPE vocabularies with contractions.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+#: Places before a space that follows no white space: pre-tokens never cross them.
+BOUNDARY = regex.compile(rf"(?<=[^{WHITE}])(?= )")
 
 NEVER = np.int64(1 << 40)
 
@@ -100,7 +102,6 @@ class Codec:
         self.longest = max(map(len, self.reachable))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pretoken = regex.compile(PRETOKEN)
-        self.boundary = regex.compile(rf"(?<=[^{WHITE}])(?= )")
         self.words = GenerationCache(cache_words)
         self.units = GenerationCache(cache_words)
         self.pairs: dict[int, bool] = {}
@@ -206,7 +207,7 @@ class Codec:
     def _cut(self, text: str) -> list[str]:
         """Units that encode independently: text is cut before each space that follows no white space."""
         if any(f"{c} " in text for c in WHITE):
-            return self.boundary.split(text)
+            return BOUNDARY.split(text)
         first, *rest = text.split(" ")
         return [first, *(" " + r for r in rest)]
 

@@ -169,10 +169,10 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def confirmed_links(words: int, percent: int):
-    """Task: of each group a spanning forest of its pairs with 100 * intersection >= percent * union."""
+    """Task: a spanning forest of the partition's pairs, within groups, with 100 * intersection >= percent * union."""
 
     def run(batches):
-        a, b = [], []
+        a, b, forest = [], [], Forest()
         for table, starts in runs(batches, "group"):
             v, texts = table.column("v").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -184,11 +184,11 @@ def confirmed_links(words: int, percent: int):
                     n = np.array([len(s) for s in sets], np.float64)
                     both = intersections(sets).astype(np.float64)
                     linked = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
-                    forest = Forest()
-                    pairs = [(i, j) for i, j in np.argwhere(linked).tolist() if forest.join(i, j)]
+                    pairs = np.argwhere(linked).tolist()
                 for i, j in pairs:
-                    a.append(v[lo + i])
-                    b.append(v[lo + j])
+                    if forest.join(v[lo + i], v[lo + j]):
+                        a.append(v[lo + i])
+                        b.append(v[lo + j])
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -232,7 +232,7 @@ def resolve(
     agree_at: int = 14,
     node_limit: int = 4096,
     depth: int = 6,
-    block: int = 1024,
+    block: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows as ``rid, row, n_shingles, set_key``, the least row ``(missing, id, rid)`` of the component of each set).
 
@@ -270,7 +270,7 @@ def resolve(
     wanted = F.broadcast(groups) if small(groups, BROADCAST_ROWS) else groups
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = texts.join(wanted, "v").select("group", "v", "text").repartition(tasks, "group").sortWithinPartitions("group", "v")
-    roots = components(together.mapInArrow(confirmed_links(words, percent), "a long, b long"))
+    roots = components(together.mapInArrow(confirmed_links(words, percent), "a long, b long"), contract=False)
     placed = vertices.select("set_key", "v", "least").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     of_root = placed.groupBy("root").agg(F.min("least").alias("least"))
     return docs.drop("sig"), placed.select("set_key", "root").join(of_root, "root").select("set_key", "least")

@@ -8,6 +8,7 @@ merged with those of neighbouring tasks.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PRETOKEN, Codec, strings, vocabulary
+from .bpe import BOUNDARY, PRETOKEN, Codec, byte_alphabet, strings, vocabulary
 from .storage import stored
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -33,14 +34,22 @@ class Encoder:
     """
 
     def __init__(self, source: str, longest: int = 200_000):
-        self.exact, self.longest = Codec(source), longest
-        merged = [whole for _, whole in self.exact.ranks.values()]
-        self.fast = None
-        if all(a < b for a, b in zip(merged, merged[1:], strict=False)) and max(self.exact.byte_ids) < min(merged, default=1 << 32):
-            self.fast = tiktoken.Encoding("merges", pat_str=PRETOKEN, mergeable_ranks=dict(self.exact.ids), special_tokens=self.exact.special)
+        self.source, self.longest, self.exact = source, longest, None
+        spec = json.loads(source)
+        alphabet = byte_alphabet()
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        ids = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        joined = lambda m: m.replace(" ", "", 1) if isinstance(m, str) else "".join(m)
+        merged = [spec["model"]["vocab"][joined(m)] for m in spec["model"]["merges"]]
+        in_order = all(a < b for a, b in zip(merged, merged[1:], strict=False)) and max(ids[bytes([b])] for b in range(256)) < min(merged, default=1 << 32)
+        self.fast = tiktoken.Encoding("merges", pat_str=PRETOKEN, mergeable_ranks=ids, special_tokens=self.special) if in_order else None
+
+    def _exactly(self, text: str) -> bytes:
+        self.exact = self.exact or Codec(self.source)
+        return b"".join(self.exact.encode_batch([text]))
 
     def _one(self, text: str) -> bytes:
-        if any(s in text for s in self.exact.special):
+        if any(s in text for s in self.special):
             return np.array(self.fast.encode(text, allowed_special="all"), "<u4").tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
@@ -49,10 +58,10 @@ class Encoder:
         if self.fast and len(text) <= self.longest:
             return self._one(text)
         out, units, held = [], [], 0
-        for unit in [*self.exact.boundary.split(text), None]:
+        for unit in [*BOUNDARY.split(text), None]:
             if unit is None or held + len(unit) > self.longest:
                 block = "".join(units)
-                out.append(self._one(block) if self.fast and len(block) <= self.longest else b"".join(self.exact.encode_batch([block])))
+                out.append(self._one(block) if self.fast and len(block) <= self.longest else self._exactly(block))
                 units, held = [], 0
             if unit is not None:
                 units.append(unit)
