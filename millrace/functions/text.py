@@ -20,9 +20,9 @@ def search_tokens(text: Column) -> Column:
 
 def topic_tokens(text: Column) -> Column:
     """Search tokens without stop words, of three letters or with a digit, without a plural s."""
-    stop = F.array(*map(F.lit, STOP))
-    kept = F.filter(search_tokens(text), lambda t: ~F.array_contains(stop, t) & ((F.length(t) >= 3) | t.rlike("[0-9]")))
-    return F.transform(kept, lambda t: F.when((F.length(t) > 3) & t.rlike("[^s]s$"), t.substr(F.lit(1), F.length(t) - 1)).otherwise(t))
+    kept = F.filter(search_tokens(text), lambda t: ((F.length(t) >= 3) | t.rlike("[0-9]")) & ~t.isin(*STOP))
+    plural = lambda t: (F.length(t) > 3) & t.endswith("s") & ~t.endswith("ss")
+    return F.transform(kept, lambda t: F.when(plural(t), t.substr(F.lit(1), F.length(t) - 1)).otherwise(t))
 
 
 def gate_tokens(text: Column) -> Column:

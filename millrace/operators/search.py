@@ -7,6 +7,8 @@ of its terms.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,38 @@ def bm25(postings: DataFrame, sizes: DataFrame, query: str, id_col: str, n: int
     return scored.crossJoin(F.broadcast(best)).select(id_col, (F.col("raw") / F.col("best")).alias("score")).orderBy(F.desc(F.round("score", 9)), id_col).limit(n)
 
 
+def bm25_texts(docs: DataFrame, query: str, id_col: str, text: Column, n: int = 10) -> DataFrame:
+    """``bm25`` without stored postings: document frequencies from each text's distinct tokens, and frequencies of the
+    query's terms counted inside the text, so that only (term, count) pairs are shuffled."""
+    asked: dict[str, int] = {}
+    for t in re.findall("[a-z0-9]+", query.lower()):
+        asked[t] = asked.get(t, 0) + 1
+    tokens = docs.select(id_col, T.search_tokens(text).alias("tokens"))
+    hits = tokens.select(id_col, F.size("tokens").cast("double").alias("dl"), F.filter("tokens", lambda x: x.isin(*asked) if asked else F.lit(False)).alias("hits"))
+    frequencies = [_occurrences(t).alias(f"tf{i}") for i, t in enumerate(asked)]
+    per = hits.select(id_col, "dl", *frequencies)
+    corpus = per.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weighed = df.crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")
+    mine = lambda i, t: F.max(F.when(F.col("term") == t, F.col("idf"))).alias(f"idf{i}")
+    stats = weighed.agg((F.avg("idf") * EPSILON).alias("floor"), F.max("avgdl").alias("avgdl"), *(mine(i, t) for i, t in enumerate(asked)))
+    part = F.lit(0.0)
+    for i, qf in enumerate(asked.values()):
+        w = F.when(F.col(f"idf{i}") < 0, F.col("floor")).otherwise(F.coalesce(f"idf{i}", F.lit(0.0)))
+        tf = F.col(f"tf{i}")
+        part = part + qf * w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = per.crossJoin(F.broadcast(stats)).select(id_col, part.alias("raw")).where("raw > 0")
+    # the best row is in the answer, so a window over these few rows knows its score
+    head = scored.orderBy(F.desc("raw"), id_col).limit(n + 1)
+    share = F.col("raw") / F.max("raw").over(Window.partitionBy())
+    return head.select(id_col, share.alias("score")).orderBy(F.desc(F.round("score", 9)), id_col).limit(n)
+
+
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("hits", lambda x: x == term)).cast("double")
+
+
 def nearest(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str, n: int = 10) -> DataFrame:
     """``(id, score)``: exact cosine against the one row of ``query``, floored at 0."""
     q = F.broadcast(query.select(F.col(vector_col).alias("__q")).limit(1))
@@ -99,17 +133,20 @@ def keyword_fallback(docs: DataFrame, query: str, id_col: str, text: Column, n:
 def rank_digests(docs: DataFrame, query: str, id_col: str, name: Column, keywords: Column, body: Column, n: int = 3, least: float = 2.0, relative: float = 0.5) -> DataFrame:
     """Digests by idf times hits in name (3), keywords (2) and body (up to 3 occurrences); those of at least ``least``
     and ``relative`` times the best."""
-    spark = docs.sparkSession
-    bags = docs.select(id_col, T.topic_tokens(name).alias("n"), T.topic_tokens(keywords).alias("k"), T.topic_tokens(body).alias("b"))
+    asked = docs.sparkSession.range(1).select(F.array_distinct(T.topic_tokens(F.lit(query)))).first()[0]
+
+    def wanted(c: Column) -> Column:
+        """Only the query's tokens leave a document."""
+        return F.filter(T.topic_tokens(c), lambda t: t.isin(*asked) if asked else F.lit(False))
+
+    bags = docs.select(id_col, wanted(name).alias("n"), wanted(keywords).alias("k"), wanted(body).alias("b"))
 
     def tagged(bag: str) -> Column:
         return F.transform(bag, lambda t: F.struct(t.alias("term"), F.lit(bag).alias("where")))
 
     each = bags.select(id_col, F.explode(F.concat(*map(tagged, ("n", "k", "b")))).alias("x"))
     hit = lambda w: F.count_if(F.col("x.where") == w)
-    per = each.groupBy(id_col, F.col("x.term").alias("term")).agg(hit("n").alias("in_name"), hit("k").alias("in_keywords"), hit("b").alias("in_body"))
-    asked = spark.range(1).select(F.explode(F.array_distinct(T.topic_tokens(F.lit(query)))).alias("term"))
-    mine = per.join(F.broadcast(asked), "term")
+    mine = each.groupBy(id_col, F.col("x.term").alias("term")).agg(hit("n").alias("in_name"), hit("k").alias("in_keywords"), hit("b").alias("in_body"))
     total = docs.agg(F.count("*").alias("N"))
     idf = mine.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("N") / F.col("df")).alias("idf"))
     weight = 3 * (F.col("in_name") > 0).cast("int") + 2 * (F.col("in_keywords") > 0).cast("int") + F.least("in_body", F.lit(3))

@@ -96,9 +96,7 @@ class Engine:
     def search(self, docs: DataFrame, question: str, n: int = 10) -> list[dict]:
         """BM25 over ``docs (doc_id, name, text)``, else the keyword fallback."""
         t = docs.select("doc_id", F.concat_ws(" ", "name", "text").alias("t"))
-        postings = search.terms(t, "doc_id", F.col("t"))
-        sizes = t.select("doc_id", F.size(search.T.search_tokens(F.col("t"))).cast("long").alias("dl"))
-        return collected(search.bm25(postings, sizes, question, "doc_id", n)) or collected(search.keyword_fallback(docs, question, "doc_id", F.col("text"), n))
+        return collected(search.bm25_texts(t, question, "doc_id", F.col("t"), n)) or collected(search.keyword_fallback(docs, question, "doc_id", F.col("text"), n))
 
     def ask(self, docs: DataFrame, keywords: DataFrame, question: str, n: int = 5, session: str = "default") -> dict:
         """Routes a question to domains, retrieves from each, withholds confidential documents until acknowledged."""

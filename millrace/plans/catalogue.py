@@ -374,6 +374,11 @@ _COS = """cosines AS (SELECT v.vec_id AS doc_id, greatest(0, list_dot_product(v.
 
 
 def lexical(spark: SparkSession, d: str, n: int) -> DataFrame:
+    t = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("t"))
+    return search.bm25_texts(t, QUESTION, "doc_id", F.col("t"), n)
+
+
+def stored_lexical(spark: SparkSession, d: str, n: int) -> DataFrame:
     t = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("t"))
     sizes = t.select("doc_id", F.size(T.search_tokens(F.col("t"))).cast("long").alias("dl"))
     return search.bm25(search.terms(t, "doc_id", F.col("t")), sizes, QUESTION, "doc_id", n)
@@ -389,6 +394,11 @@ def search_bm25(spark, d):
     return lexical(spark, d, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25.format(q=QUESTION, n=10)} SELECT doc_id, round(score, 6) AS score FROM bm")
+def search_bm25_postings(spark, d):
+    return stored_lexical(spark, d, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_COS.format(n=10)} SELECT doc_id, round(score, 6) AS score FROM cs")
 def search_cosine(spark, d):
     return vectors(spark, d, 10).select("doc_id", F.round("score", 6).alias("score"))

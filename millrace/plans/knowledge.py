@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import embed
 from ..functions import scalars as S
-from ..functions import text as T
 from ..operators import gates, index, routing, search
 from ..sources import config, documents
 from ..sources.store import Store
@@ -87,8 +86,7 @@ class KnowledgeBase:
         rows = self.store.read("chunks")
         rows = rows.where(F.col("domain") == domain) if domain else rows
         worded = rows.select("chunk_id", "path", F.concat_ws(" ", "name", "text").alias("t"))
-        sizes = worded.select("chunk_id", F.size(T.search_tokens(F.col("t"))).cast("long").alias("dl"))
-        lexical = search.bm25(search.terms(worded, "chunk_id", F.col("t")), sizes, question, "chunk_id", 4 * n)
+        lexical = search.bm25_texts(worded, question, "chunk_id", F.col("t"), 4 * n)
         vectors = worded.select("chunk_id", embed.hashed(F.col("t")).alias("v"))
         asked = self.spark.range(1).select(embed.hashed(F.lit(question)).alias("v"))
         near = search.nearest(vectors, asked, "chunk_id", "v", 4 * n).where("score > 0")
