@@ -113,8 +113,10 @@ def fuse(first: DataFrame, second: DataFrame, id_col: str, n: int = 10) -> DataF
 
 
 def weigh(hits: DataFrame, weights: DataFrame, id_col: str) -> DataFrame:
-    """Scores times feedback weights (1 where there is none), kept in 0 to 1."""
-    return hits.join(F.broadcast(weights), id_col, "left").select(id_col, S.clamp(F.col("score") * F.coalesce("weight", F.lit(1.0)), 0.0, 1.0).alias("score"))
+    """Scores of a short hit list times feedback weights (1 where there is none), kept in 0 to 1. ``weights`` has one
+    row per id."""
+    mine = weights.join(F.broadcast(hits.select(id_col)), id_col, "left_semi")  # as many rows as hits at most
+    return hits.join(F.broadcast(mine), id_col, "left").select(id_col, S.clamp(F.col("score") * F.coalesce("weight", F.lit(1.0)), 0.0, 1.0).alias("score"))
 
 
 def best_chunk(hits: DataFrame, file_col: str) -> DataFrame:
@@ -158,7 +160,7 @@ def rank_digests(docs: DataFrame, query: str, id_col: str, name: Column, keyword
 def pin(hits: DataFrame, pinned: DataFrame, boosted: Column, id_col: str) -> DataFrame:
     """Pinned rows first with score 1, then hits for which ``boosted`` holds, then the rest, each by score."""
     pins = pinned.select(id_col, F.lit(1.0).alias("score"), F.lit(0).alias("tier"))
-    rest = hits.join(F.broadcast(pinned.select(id_col)), id_col, "left_anti").select(id_col, "score", F.when(boosted, 1).otherwise(2).alias("tier"))
+    rest = hits.join(pinned.select(id_col), id_col, "left_anti").select(id_col, "score", F.when(boosted, 1).otherwise(2).alias("tier"))
     order = Window.orderBy("tier", F.desc(F.round("score", 9)), id_col)
     return pins.unionByName(rest).select(F.row_number().over(order).cast("long").alias("place"), id_col, "score", "tier")
 

@@ -90,8 +90,7 @@ class KnowledgeBase:
         vectors = worded.select("chunk_id", embed.hashed(F.col("t")).alias("v"))
         asked = self.spark.range(1).select(embed.hashed(F.lit(question)).alias("v"))
         near = search.nearest(vectors, asked, "chunk_id", "v", 4 * n).where("score > 0")
-        paths = F.broadcast(worded.select("chunk_id", "path"))
-        by_file = lambda hits: search.best_chunk(hits.join(paths, "chunk_id"), "path")
+        by_file = lambda hits: search.best_chunk(worded.select("chunk_id", "path").join(F.broadcast(hits), "chunk_id"), "path")
         fused = search.fuse(by_file(near), by_file(lexical), "path", n)
         if fused.isEmpty():
             whole = rows.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).getField("text"), " ").alias("text"))
@@ -126,12 +125,12 @@ class KnowledgeBase:
             boosted = F.lit(False)
             for b in rules.boosts:
                 boosted = boosted | F.contains(F.lower("path"), F.lit(b.lower()))
-            ordered = search.pin(hits, pinned.where(match), boosted, "path")
-            whole = chunks.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
+            ordered = search.pin(hits, pinned.where(match), boosted, "path").where(F.col("place") <= 2 * rules.top_n)
+            whole = chunks.join(F.broadcast(ordered.select("path")), "path", "left_semi").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
             rows = ordered.join(whole, "path")
             shown = gates.withhold(rows, gates.confidential(rows).select("path"), acknowledged)
             found = shown.orderBy("place").limit(rules.top_n).select("path", "score", S.trimmed_to(F.col("text"), rules.max_chars).alias("text")).collect()
-            withheld += min(rules.top_n, rows.count()) - len(found)
+            withheld += gates.confidential(rows.where(F.col('place') <= rules.top_n)).count() if not acknowledged else 0
             parts += [f"## {r['path']}\n\n{r['text']}" for r in found]
             sources += [{"path": r["path"], "score": r["score"]} for r in found]
         return {"text": "\n\n".join(parts), "sources": sources, "withheld": withheld}
