@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import Forest, components
 from .minhash import runs
@@ -100,6 +101,8 @@ def near_duplicates(
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
+    # vectors travel as they came, bucket names as narrow as they fit
+    held = "<f4" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
 
     def clean(batches):
         part, rows = TaskContext.get().partitionId(), 0
@@ -107,7 +110,7 @@ def near_duplicates(
             keys = []
             for values in b.column(1).to_pylist():
                 x = np.array([math.nan if c is None else c for c in values or ()], np.float64)
-                keys.append(x.astype("<f8").tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
+                keys.append(x.astype(held).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             rid = np.arange(rows, rows + len(keys), dtype=np.int64) + (part << 33)
             rows += len(keys)
             yield pa.record_batch([b.column(0), pa.array(rid), pa.array(keys, pa.binary())], names=["id", "rid", "x"])
@@ -115,13 +118,16 @@ def near_duplicates(
     rows = stored(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).mapInArrow(clean, f"id {kind}, rid long, x binary"), "vectors")
     vertices = stored(rows.where("x is not null").groupBy("x").agg(F.min("rid").alias("v"), F.min("id").alias("least_id"), F.count("*").alias("copies")), "vertices")
     total, widest = vertices.agg(F.count("*"), F.max(F.octet_length("x"))).first()
-    hashes, tables = plan(total, (widest or 16) // 8, cosine, probes, bucket_rows, miss)
+    width = (widest or 16) // np.dtype(held).itemsize
+    hashes, tables = plan(total, width, cosine, probes, bucket_rows, miss)
+
+    narrow = "<i4" if (2 << max(1, (width - 1).bit_length())) ** hashes < 1 << 31 else "<i8"
 
     def codes_of(xs: list[bytes]) -> list[np.ndarray]:
         out: list = [None] * len(xs)
         for n in {len(x) for x in xs}:
             at = [i for i, x in enumerate(xs) if len(x) == n]
-            m = np.stack([np.frombuffer(xs[i], "<f8") for i in at])
+            m = np.stack([np.frombuffer(xs[i], held) for i in at]).astype(np.float64)
             for i, c in zip(at, bucket_codes(m / np.linalg.norm(m, axis=1, keepdims=True), tables, hashes, probes), strict=True):
                 out[i] = c
         return out
@@ -130,7 +136,7 @@ def near_duplicates(
         for b in batches:
             found = codes_of(b.column(1).to_pylist())
             yield pa.record_batch(
-                [b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in found], pa.binary()), pa.array([c.ravel() for c in found], pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), b.column(2), pa.array([c.astype(narrow).tobytes() for c in found], pa.binary()), pa.array([c.ravel() for c in found], pa.list_(pa.int64()))],
                 names=["v", "x", "copies", "names", "codes"],
             )
 
@@ -153,13 +159,13 @@ def near_duplicates(
             xs, names = table.column("x").to_pylist(), table.column("names").to_pylist()
             out_v, out_n, out_a, out_b = [], [], [], []
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                m = np.stack([np.frombuffer(x, "<f8") for x in xs[lo:hi]])
+                m = np.stack([np.frombuffer(x, held) for x in xs[lo:hi]]).astype(np.float64)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
                 s = side[lo:hi]
                 own = np.flatnonzero(s == 0)
                 first, second = (own, own) if len(own) else (np.flatnonzero(s == 1), np.flatnonzero(s == 2))
                 count, forest = np.zeros(hi - lo, np.int64), Forest()
-                decode = [np.frombuffer(n, np.int64).reshape(tables, probes) for n in names[lo:hi]]
+                decode = [np.frombuffer(n, narrow).reshape(tables, probes) for n in names[lo:hi]]
                 for at in range(0, len(first), 1024):
                     i, j = np.nonzero(m[first[at : at + 1024]] @ m[second].T >= cosine)
                     i, j = first[at + i], second[j]
