@@ -144,6 +144,42 @@ ORACLES: dict[str, str] = {
                coalesce(hits.n_entries, 0) AS n_entries, coalesce(hits.lists, '') AS lists, hits.n_entries IS NOT NULL AS blocked
         FROM p LEFT JOIN hits ON hits.url = p.url AND hits.fetched_at = p.fetched_at
     """,
+    "op3_minhash": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+        ), s AS (
+          SELECT DISTINCT doc_id, unnest([array_to_string(l[i : i + 3], ' ') FOR i IN range(1, greatest(1, len(l) - 3) + 1)]) AS shingle FROM w WHERE len(l) > 0
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        linked AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+        e AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+        SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+    """,
+    "op4_sharding": r"""
+        WITH RECURSIVE t(n, k, c) AS (
+          SELECT n, 0, n FROM range(256) r(n)
+          UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM t WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY n) AS l FROM t WHERE k = 8),
+        b AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (
+          SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(h, '..')]),
+            lambda a, x: xor(a // 256, l[CAST(xor(a % 256, x) AS INTEGER) + 1])), 4294967295) AS text_crc32
+          FROM b, crc
+        ), e AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS till, sum(size) OVER () AS total FROM s),
+        p AS (SELECT *, CAST(least(15, floor((till - size / 2) * 16 / total)) AS INTEGER) AS shard FROM e)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+    """,
+    "op6_embeddings": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v),
+        linked AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.9),
+        r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.y FROM r JOIN linked l ON r.b = l.x),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+        k AS (SELECT x AS vec_id, count(*) AS n FROM linked GROUP BY 1)
+        SELECT c.vec_id, coalesce(k.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k ON k.vec_id = c.vec_id
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,
