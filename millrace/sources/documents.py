@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -193,6 +195,7 @@ def indexable(files: DataFrame, ignored: list[str] = (), off: list[str] = ()) ->
 
 def extract(files: DataFrame) -> DataFrame:
     """``path, status, events, text``; an unreadable file has the status ``failed``, never an error."""
+    ship(files.sparkSession)
     readers = dict(READERS)
 
     def run(batches):

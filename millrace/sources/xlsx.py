@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
@@ -133,6 +135,7 @@ class XlsxDataSource(DataSource):
 
 def cells(spark: SparkSession, path: str) -> DataFrame:
     """All sheets of one workbook. The file is read through Spark, so any store will do."""
+    ship(spark)
     content = spark.read.format("binaryFile").load(path).select("content").first()
     spark.dataSource.register(XlsxDataSource)
     return spark.read.format("xlsx").option("content", bytes(content[0]).hex()).load()
@@ -142,6 +145,7 @@ def many(files: DataFrame) -> DataFrame:
     """``path, sheet, row, cells`` of a ``binaryFile`` table of workbooks, one task per file; an unreadable file gives
     one row whose sheet is null."""
 
+    ship(files.sparkSession)
     def run(batches):
         import pandas as pd
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import index
+from ..session import ship
 
 
 def snapshot_events(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -24,6 +25,7 @@ def snapshot_events(before: DataFrame, now: DataFrame) -> DataFrame:
 def debounced(events: DataFrame, quiet_ms: int = 5000) -> DataFrame:
     """``folder, n_events, last_ts``, once a folder has been quiet for ``quiet_ms``: every event moves the deadline."""
 
+    ship(events.sparkSession)
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             n, last = state.get
