@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
+from .storage import prepare
 
 # Unicode White_Space, and the pre-token pattern of byte-level BPE vocabularies with contractions.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -250,7 +250,7 @@ def codec(source: str) -> Codec:
 
 def vocabulary(spark, path: str):
     """The vocabulary file, read on the driver and broadcast: a few MB, whatever the corpus."""
-    bounded_batches(spark)
+    prepare(spark)
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

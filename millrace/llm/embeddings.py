@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .components import Forest, components
 from .minhash import runs
-from .storage import stored
+from .storage import prepare, stored
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -99,6 +99,7 @@ def near_duplicates(
     table gives an empty result. Buckets over ``block`` rows are compared in pairs of blocks, so a hot bucket is
     spread over tasks and no row is left out.
     """
+    prepare(df.sparkSession)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     # vectors travel as they came, bucket names as narrow as they fit

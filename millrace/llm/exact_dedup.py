@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored, without
+from .storage import prepare, stored, without
 
 #: Characters that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -142,6 +142,7 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
     aside in a temporary file of its own and comes back to it, so a lost executor only repeats the task. Owner tasks
     get about ``task_bytes`` of text each.
     """
+    prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     schema = T._parse_datatype_string(f"id {kind}, rid long, rep long, text_sha256 string, text binary, rows long, owner_chars long, owner_id {kind}, owner_rid long")
     if carry:

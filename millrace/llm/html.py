@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
+from .storage import prepare
 
 # Fixed values of HTML: elements whose content is no text, void elements, and inline elements (others break blocks).
 SILENT = frozenset("script style noscript template svg math iframe object head title select textarea canvas audio video".split())
@@ -190,6 +190,6 @@ def extract(df: DataFrame, weights: Weights = DEFAULT, html_col: str = "html", k
             out = [main_text(h, weights) if h else "" for h in b.column(len(keep)).to_pylist()]
             yield pa.record_batch([*(b.column(i) for i in range(len(keep))), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, F.col(html_col)).mapInArrow(run, schema + ", text string, n_chars long")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import Forest, components
-from .storage import small, stored, without
+from .storage import prepare, small, stored, without
 
 #: Rows of ``(group, vertex)`` up to which they are broadcast to the tables' scan (16 bytes a row).
 BROADCAST_ROWS = 1_000_000
@@ -240,6 +240,7 @@ def resolve(
     ``agree_at`` of ``tokens`` another 1e-6. Nodes over ``node_limit`` members at the last depth are compared in all
     pairs of blocks, and groups over ``block`` members are confirmed in pairs of blocks, so no member is left out.
     """
+    prepare(df.sparkSession)
     multipliers, addends = functions(tokens)
 
     def read(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import strings
-from .storage import bounded_batches
+from .storage import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -199,7 +199,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"],
             )
 
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
         run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
@@ -222,5 +222,5 @@ def scrub(df: DataFrame, text_col: str = "text", length_col: str | None = "n_cha
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.record_batch(columns, schema=b.schema)
 
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
+from .storage import prepare
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _REPEAT = np.uint32(0x5BD1E995)
@@ -107,7 +107,7 @@ def fit(
     ids, at most ``max_rows``, are broadcast to the scan of ``documents``; one task then sees its features in the
     order of the hash, so a repeated run gives the same model. Without usable rows all weights are 0.
     """
-    bounded_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
     kind = documents.schema[id_col].dataType
     sample = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -147,7 +147,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     A null or empty text has the score of the constant term. ``keep`` names further columns to carry along.
     """
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     columns = [id_col, *(k for k in keep if k != id_col)]
 
@@ -167,7 +167,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def accepted(df: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that score at least ``threshold``, with all their columns; no score is carried along."""
-    bounded_batches(df.sparkSession)
+    prepare(df.sparkSession)
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches):

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 #: 64-bit keys up to which a table of them is broadcast: 8 MB, some 30 MB when hashed.
 BROADCAST_KEYS = 1_000_000
@@ -25,13 +27,14 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 4 MB, unless the session sets another size: rows can be long, and each executor core
-    has several batches and their Python objects in memory."""
+def prepare(spark: SparkSession) -> None:
+    """Before a plan that runs Python: the workers get this package, and Arrow batches of at most 4 MB unless the
+    session sets another size. Rows can be long, and each core has several batches and their Python objects."""
+    ship(spark)
     if spark.conf.get(_BATCH) == "67108864b":
         spark.conf.set(_BATCH, "4m")
 
@@ -39,7 +42,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a fresh table in shared storage and read back with the same columns."""
     spark = df.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
