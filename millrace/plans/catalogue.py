@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import analyst, digest, gates, index, logs, profile, routing, search, summaries
+from ..operators import analyst, digest, folders, gates, index, logs, profile, routing, search, summaries
 from ..streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -846,3 +846,37 @@ def scalar_questions(spark, d):
 def scalar_periods(spark, d):
     name = F.concat(F.lit("q"), F.quarter("o_orderdate").cast("string"), F.lit(" "), F.year("o_orderdate").cast("string"))
     return read(spark, d, "orders").select("o_orderkey", S.money(1000.0 * F.floor(F.col("o_totalprice") / 1000)).alias("money"), S.year_of(name).alias("y"), S.quarter_of(name).alias("q"))
+
+
+# ---- folders -------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {DOCS}, h AS (SELECT domain || '/' || name AS folder, count(*) AS n FROM docs GROUP BY 1),
+    u AS (SELECT folder, n AS n_here, 0 AS n_below FROM h UNION ALL SELECT split_part(folder, '/', 1), 0, n FROM h UNION ALL SELECT '', 0, n FROM h)
+    SELECT folder, CAST(sum(n_here) AS BIGINT) AS n_here, CAST(sum(n_below) AS BIGINT) AS n_below FROM u GROUP BY 1"""
+)
+def index_folder_tree(spark, d):
+    return folders.tree(docs(spark, d))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN starts_with(path, 'en/') THEN 'english/' || path[4:] ELSE path END AS path FROM docs")
+def index_rename(spark, d):
+    return folders.rename(docs(spark, d).select("doc_id", "path"), "en", "english")
+
+
+@query(
+    """SELECT CASE WHEN regexp_matches(source, '^src1') THEN 'first' WHEN regexp_matches(source, '5$') THEN 'fives' ELSE source END AS label, count(*) AS n, '' AS quarters
+    FROM documents GROUP BY 1"""
+)
+def index_collapse(spark, d):
+    return folders.collapse(read(spark, d, "documents").select(F.col("source").alias("name")), [("^src1", "first"), ("5$", "fives")])
+
+
+@query(
+    f"""WITH {_FILES}, c AS (SELECT path, hash, 'summary of ' || path AS summary FROM idx)
+    SELECT f.path, f.hash, CASE WHEN c.hash = f.hash THEN c.summary ELSE f.ext END AS summary, coalesce(c.hash <> f.hash, true) AS fresh FROM files f LEFT JOIN c ON c.path = f.path"""
+)
+def summary_reuse(spark, d):
+    cache = indexed(spark, d).withColumn("summary", F.concat(F.lit("summary of "), "path"))
+    return folders.reused(files(spark, d), cache, F.col("ext"))

@@ -116,3 +116,9 @@ def manifest(stats: list[dict], limit: int = 8_000) -> str:
         return "# Domains\n\n" + "".join(f"- {s['domain']}: {s['n_files']} files" + (f", {', '.join(s['keywords'][:n])}" if n and s.get("keywords") else "") + "\n" for s in stats)
 
     return within_budget([lambda n=n: body(n) for n in (8, 4, 0)], limit)
+
+
+def readme_stub(domain: str, description: str, types: dict[str, int]) -> str:
+    """A first README for a domain that has none."""
+    counts = ", ".join(f"{n} {t}" for t, n in sorted(types.items(), key=lambda x: (-x[1], x[0])))
+    return f"# {domain}\n\n{description.strip() or 'No description yet.'}\n\nFiles: {counts or 'none'}.\n"
