@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .storage import prepare
 
 # Unicode White_Space, and the pre-token pattern of byte-level BPE vocabularies with contractions.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Places before a space that follows no white space: pre-tokens never cross them.
 BOUNDARY = regex.compile(rf"(?<=[^{WHITE}])(?= )")

@@ -27,7 +27,7 @@ LOOK_ALIKES = dict(
 )
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 ENDINGS = "com org net edu gov mil info biz io co ai dev app eu uk ca au fr nl ch pl ru jp cn br example".split()
-INVISIBLE = "­​‌‍‎‏⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
