@@ -20,7 +20,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     kind = extension(path)
     if kind in ("csv", "tsv"):
         rows = spark.read.csv(path, header=True, sep="\t" if kind == "tsv" else ",", multiLine=True, escape='"', inferSchema=False, encoding="UTF-8")
-        rows = rows.toDF(*xlsx.clean_headers([c.lstrip("﻿") for c in rows.columns]))
+        rows = rows.toDF(*xlsx.clean_headers([c.lstrip("\ufeff") for c in rows.columns]))
         return rows.where(" or ".join(f"`{c}` is not null" for c in rows.columns)) if rows.columns else rows
     if kind == "jsonl":
         return flat(spark.read.json(path))
