@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 # ---- numbers ----------------------------------------------------------------------------------------------------
 
@@ -26,6 +27,14 @@ def label(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """``number`` of a column; one that is numeric already isn't turned into text first."""
+    if isinstance(df.schema[name].dataType, NumericType):
+        x = F.col(f"`{name}`").cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+    return number(F.col(f"`{name}`"))
+
+
 def exact_sum(c: Column) -> Column:
     """A sum whose result doesn't depend on the order of rows: through decimals of four places."""
     return F.sum(c.cast("decimal(28,4)")).cast("double")

@@ -46,12 +46,12 @@ def restrict(df: DataFrame, time_col: str | None = None, period: Period | None =
 
 
 def total(df: DataFrame, metric: str) -> DataFrame:
-    return df.agg(F.coalesce(S.exact_sum(S.number(F.col(metric))), F.lit(0.0)).alias("total"), F.count("*").alias("n_rows"))
+    return df.agg(F.coalesce(S.exact_sum(S.number_of(df, metric)), F.lit(0.0)).alias("total"), F.count("*").alias("n_rows"))
 
 
 def by_group(df: DataFrame, metric: str, group: str) -> DataFrame:
     return (
-        df.select(S.label(F.col(group)).alias("key"), S.number(F.col(metric)).alias("m"))
+        df.select(S.label(F.col(group)).alias("key"), S.number_of(df, metric).alias("m"))
         .where("key is not null")
         .groupBy("key")
         .agg(F.coalesce(S.exact_sum(F.col("m")), F.lit(0.0)).alias("value"), F.count("*").alias("n_rows"))
@@ -103,7 +103,7 @@ def overall_change(df: DataFrame, metric: str, time: str) -> DataFrame:
 def attrition(df: DataFrame, entity: str, time: str, metric: str) -> DataFrame:
     """Entities of earlier periods that are missing from the latest, with what they brought before. Fewer than two
     periods give no rows."""
-    rows = df.select(S.label(F.col(entity)).alias("entity"), S.label(F.col(time)).alias("period"), S.number(F.col(metric)).alias("m")).where("entity is not null and period is not null")
+    rows = df.select(S.label(F.col(entity)).alias("entity"), S.label(F.col(time)).alias("period"), S.number_of(df, metric).alias("m")).where("entity is not null and period is not null")
     latest = rows.agg(F.max_by("period", S.period_key(F.col("period"))).alias("latest_period"), F.count_distinct("period").alias("n")).where("n > 1")
     marked = rows.join(F.broadcast(latest))
     per = marked.groupBy("entity", "latest_period").agg(
@@ -167,7 +167,7 @@ def outliers(df: DataFrame, metric: str, group: str, z: float = 3.0) -> DataFram
 
 def fastest_growth(df: DataFrame, metric: str, group: str, time: str, n: int = 10) -> DataFrame:
     """Groups by their change between the first and the last period."""
-    rows = df.select(S.label(F.col(group)).alias("key"), S.label(F.col(time)).alias("period"), S.number(F.col(metric)).alias("m")).dropna(subset=["key", "period"])
+    rows = df.select(S.label(F.col(group)).alias("key"), S.label(F.col(time)).alias("period"), S.number_of(df, metric).alias("m")).dropna(subset=["key", "period"])
     ends = rows.agg(F.min_by("period", S.period_key(F.col("period"))).alias("p0"), F.max_by("period", S.period_key(F.col("period"))).alias("p1"))
     at = lambda p: F.coalesce(S.exact_sum(F.when(F.col("period") == F.col(p), F.col("m"))), F.lit(0.0))
     per = rows.join(F.broadcast(ends)).groupBy("key").agg(at("p0").alias("first_value"), at("p1").alias("last_value"))

@@ -25,7 +25,7 @@ FEWEST, MOST = 2, 40
 def totals_by_dimension(df: DataFrame, metric: str, dimensions: list[str], most: int = 50) -> DataFrame:
     """``dimension, key, value, n_rows``: the largest groups of each dimension and a ``TOTAL`` row, from one scan with
     grouping sets."""
-    named = df.select(S.number(F.col(metric)).alias("m"), *(S.label(F.col(d)).alias(d) for d in dimensions))
+    named = df.select(S.number_of(df, metric).alias("m"), *(S.label(F.col(d)).alias(d) for d in dimensions))
     sets = [[F.col(d)] for d in dimensions] + [[]]
     grouped = named.groupingSets(sets, *dimensions).agg(F.grouping_id().alias("gid"), F.coalesce(S.exact_sum(F.col("m")), F.lit(0.0)).alias("value"), F.count("*").alias("n_rows"))
     full = (1 << len(dimensions)) - 1
@@ -37,13 +37,13 @@ def totals_by_dimension(df: DataFrame, metric: str, dimensions: list[str], most:
 
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """``metric, total, n_values, max_abs`` by unpivoting the metrics."""
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), S.number(F.col(m)).alias("x")) for m in metrics))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), S.number_of(df, m).alias("x")) for m in metrics))
     return df.select(F.inline(pairs)).groupBy("metric").agg(F.round(S.exact_sum(F.col("x")), 2).alias("total"), F.count("x").alias("n_values"), F.max(F.abs("x")).alias("max_abs"))
 
 
 def renewal_rate(df: DataFrame, expired: str, renewed: str, group: str) -> DataFrame:
     """``key, expired, renewed, rate_pct``; without expired value there is no rate."""
-    rows = df.select(S.label(F.col(group)).alias("key"), S.number(F.col(expired)).alias("e"), S.number(F.col(renewed)).alias("r")).where("key is not null")
+    rows = df.select(S.label(F.col(group)).alias("key"), S.number_of(df, expired).alias("e"), S.number_of(df, renewed).alias("r")).where("key is not null")
     sums = rows.groupBy("key").agg(F.coalesce(S.exact_sum(F.col("e")), F.lit(0.0)).alias("expired"), F.coalesce(S.exact_sum(F.col("r")), F.lit(0.0)).alias("renewed"))
     return sums.select("key", F.round("expired", 2).alias("expired"), F.round("renewed", 2).alias("renewed"), S.share(F.col("renewed"), F.col("expired"), 4).alias("rate_pct"))
 
@@ -51,7 +51,7 @@ def renewal_rate(df: DataFrame, expired: str, renewed: str, group: str) -> DataF
 def twins(df: DataFrame, metrics: list[str]) -> DataFrame:
     """``a, b, twins``: whether two metrics agree in every row, nulls included."""
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    differ = [F.sum(F.when(S.number(F.col(a)).eqNullSafe(S.number(F.col(b))), 0).otherwise(1)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    differ = [F.sum(F.when(S.number_of(df, a).eqNullSafe(S.number_of(df, b)), 0).otherwise(1)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.coalesce(f"p{i}", F.lit(0)) == 0).alias("twins")) for i, (a, b) in enumerate(pairs)))
     return df.agg(*differ).select(F.inline(rows))
 
