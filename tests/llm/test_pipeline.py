@@ -52,3 +52,14 @@ def test_stages_keep_the_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_stages_on_empty_and_odd_documents(spark, sf, odd, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    strange = odd.selectExpr("doc_id", "text", "cast(null as string) as lang", "shard as source", "cast(length(text) as long) as n_chars")
+    for k, rows in enumerate((docs.limit(0), strange)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf)
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/{k}-{name}")
+            assert (rows.count() == 0) == (k == 0), name
