@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from ..session import ship
 BROADCAST_KEYS = 1_000_000
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_made: list[str] = []
+_made: dict[str, list[str]] = {}
+_scope = ""
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,17 +47,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     prepare(spark)
     path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(_scope, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables made so far in this session. Only for callers that have written out all that reads them."""
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables made inside belong to ``name``; those that belonged to it before are deleted first. For steps whose
+    result is written out before the next step of that name begins."""
+    global _scope
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for made in _made.pop(name, []):
+        path = jvm.org.apache.hadoop.fs.Path(made)
         path.getFileSystem(conf).delete(path, True)
+    outer, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = outer
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
