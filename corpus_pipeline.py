@@ -15,36 +15,39 @@ from millrace.llm.queries import GOOD_FROM, VOCABULARY, held_out
 
 ORACLE_SQL = None
 
+#: A stage's intermediate tables go when the next stage begins, since its result has been written by then.
+SCOPE = "corpus_pipeline"
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    storage.release(spark)  # what earlier stages read has been written out
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
-    return quality.accepted(docs, model, GOOD_FROM)
+    with storage.scope(spark, SCOPE):
+        model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
+        return quality.accepted(docs, model, GOOD_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    storage.release(spark)
-    return exact_dedup.deduplicate(docs)
+    with storage.scope(spark, SCOPE):
+        return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, five-word shingles at 0.8."""
-    storage.release(spark)
-    return minhash.deduplicate(docs, words=5, percent=80)
+    with storage.scope(spark, SCOPE):
+        return minhash.deduplicate(docs, words=5, percent=80)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced."""
-    storage.release(spark)
-    return pii.scrub(docs)
+    with storage.scope(spark, SCOPE):
+        return pii.scrub(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    storage.release(spark)
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+    with storage.scope(spark, SCOPE):
+        return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("personal_data", hide_personal_data), ("packing", pack)]
