@@ -144,7 +144,7 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
     """
     prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = T._parse_datatype_string(f"id {kind}, rid long, rep long, text_sha256 string, text binary, rows long, owner_chars long, owner_id {kind}, owner_rid long")
+    schema = T._parse_datatype_string(f"id {kind}, rid long, rep long, text_sha256 string, text binary, size long, rows long, owner_chars long, owner_id {kind}, owner_rid long")
     if carry:
         schema = T.StructType([*schema, T.StructField("row", df.schema)])
 
@@ -164,6 +164,7 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
                     column([x[2] for x in docs] + [v[0] for _, v in texts], pa.int64()),
                     column([x[3] for x in docs] + t, pa.string()),
                     column(d + [k for k, _ in texts], pa.binary()),
+                    column(d + [len(k) for k, _ in texts], pa.int64()),
                     column(d + [v[1] for _, v in texts], pa.int64()),
                     column(d + [v[2][0] for _, v in texts], pa.int64()),
                     column(d + [v[2][1] for _, v in texts], id_type),
@@ -255,7 +256,7 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
         df.select(F.col(id_col), F.col(text_col), *([F.struct(*(df[c] for c in df.columns))] if carry else [])).toDF(*["id", "text", "row"][: 2 + carry]).mapInArrow(read, schema),
         "exact",
     )
-    texts = met.where(F.col("rid").isNull()).withColumn("size", F.octet_length("text"))
+    texts = met.where(F.col("rid").isNull())
     spark = df.sparkSession
     total = texts.agg(F.sum("size")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
