@@ -2,13 +2,15 @@
 
 Every distinct shingle set has minwise tokens. A tree sends sets to child nodes by the value of a chosen minwise
 token, and splits a node again by the next chosen one while it is large. Inside a small node all members are compared:
-first their minwise tokens, which leaves groups of plausible partners, then the full sets of each group. Independent
-trees repeat this until a pair at the threshold is missed with a probability below ``(1 - t^d)^trees`` for nodes at
-depth d. Groups that several trees find are verified once, and links leave a group as a spanning forest.
+first their minwise tokens, which leaves groups of plausible partners, then the full sets of each group. A node that
+is still large at the last depth d is compared in all pairs of blocks. No token is chosen twice, so the trees are
+independent, and there are so many that a pair at the threshold t is missed with a probability ``(1 - t^d)^trees`` of at
+most ``MISS``. Groups that several trees find are verified once, and links leave a group as a spanning forest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -25,6 +27,9 @@ from .storage import prepare, small, stored, without
 #: Rows of ``(group, vertex)`` up to which they are broadcast to the tables' scan (16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
+#: Probability that no tree joins a pair at the threshold.
+MISS = 1e-7
+
 
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds ``limit``."""
@@ -72,6 +77,12 @@ def functions(count: int, seed: int = 20240607) -> tuple[np.ndarray, np.ndarray]
     return rng.integers(1, 1 << 63, count, dtype=np.uint64) << np.uint64(1) | np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
+def trees_for(percent: int, depth: int, miss: float = MISS) -> int:
+    """Least number of independent trees of that depth that all part a pair at the threshold with a probability of at
+    most ``miss``."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** depth)))) if percent < 100 else 1
+
+
 def runs(batches, key: str) -> Iterator[tuple[dict[str, list], np.ndarray]]:
     """Rows of a partition sorted by ``key`` in blocks that hold whole runs: columns, and the starts of the runs."""
     rest = None
@@ -227,21 +238,24 @@ def resolve(
     text_col: str,
     words: int = 5,
     percent: int = 80,
-    trees: int = 16,
+    trees: int | None = None,
     tokens: int = 32,
     agree_at: int = 14,
     node_limit: int = 4096,
-    depth: int = 6,
+    depth: int = 2,
     block: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows as ``rid, row, n_shingles, set_key``, the least row ``(missing, id, rid)`` of the component of each set).
 
-    A pair at the threshold whose nodes are split to depth d is missed with probability (1 - 0.8^d)^trees, and with
-    ``agree_at`` of ``tokens`` another 1e-6. Nodes over ``node_limit`` members at the last depth are compared in all
-    pairs of blocks, and groups over ``block`` members are confirmed in pairs of blocks, so no member is left out.
+    A pair at the threshold t whose nodes are split to depth d is missed with probability (1 - t^d)^trees; ``trees`` is
+    by default the least number for ``MISS`` at the last depth, 16 for 80 percent and two levels. With ``agree_at`` of
+    ``tokens`` another 1e-6 is missed at 80 percent. Every level of every tree has a token of its own. Nodes over
+    ``node_limit`` members at the last depth are compared in all pairs of blocks, and groups over ``block`` members are
+    confirmed in pairs of blocks, so no member is left out.
     """
     prepare(df.sparkSession)
-    multipliers, addends = functions(tokens)
+    trees = trees_for(percent, depth) if trees is None else trees
+    multipliers, addends = functions(max(tokens, trees * depth))
 
     def read(batches):
         part, rows = TaskContext.get().partitionId(), 0
@@ -278,7 +292,8 @@ def resolve(
 
 
 def candidate_groups(vertices: DataFrame, trees: int, tokens: int, agree_at: int, node_limit: int, depth: int, block: int) -> DataFrame:
-    """``(group, v)``: groups of plausible partners from the small nodes of all trees."""
+    """``(group, v)``: groups of plausible partners from the nodes of all trees. Level l of a tree chooses token
+    ``(l - 1) * trees + tree``; the first ``tokens`` are compared."""
     sig = vertices.select("v", "sig")
     rows = sig.select("v", F.posexplode(F.slice("sig", 1, trees)).alias("tree", "token")).select("v", "tree", F.xxhash64("tree", "token").alias("node"))
     ready = None
@@ -296,8 +311,9 @@ def candidate_groups(vertices: DataFrame, trees: int, tokens: int, agree_at: int
             split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             ready = ready.unionByName(split.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "v"))
             break
-        chosen = F.lit(trees) + F.pmod(F.col("tree") * 7 + level * 5, F.lit(tokens - trees))
+        chosen = F.col("tree") + level * trees
         rows = large.join(sig, "v").select("v", "tree", F.xxhash64("node", F.element_at("sig", (chosen + 1).cast("int"))).alias("node"))
     tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = ready.join(sig, "v").select("node", "v", "sig").repartition(tasks, "node").sortWithinPartitions("node", "v")
+    compared = vertices.select("v", F.slice("sig", 1, tokens).alias("sig"))
+    nodes = ready.join(compared, "v").select("node", "v", "sig").repartition(tasks, "node").sortWithinPartitions("node", "v")
     return nodes.mapInArrow(plausible_groups(agree_at, block), "group long, v long").distinct()

@@ -115,6 +115,22 @@ def near_reference(ids, texts, words):
     return {d: (len(sets[i]), least[forest.find(i)] if sets[i] else d) for i, d in enumerate(ids)}
 
 
+def test_near_misses_no_pair_at_the_threshold_at_the_last_depth(spark):
+    """Sets of nine words of which a pair shares eight, so 8 / 10; every node with two members is split to the end."""
+    rows = [(2 * i + side, " ".join([*(f"p{i}c{j}" for j in range(8)), f"p{i}s{side}"])) for i in range(300) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (2, 6):
+        got = minhash.near_duplicates(docs, words=1, node_limit=1, depth=depth).collect()
+        assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_number_of_trees():
+    assert minhash.trees_for(80, 2) == 16
+    for percent, depth in [(80, 1), (80, 2), (80, 6), (50, 2)]:
+        n, t = minhash.trees_for(percent, depth), (percent / 100) ** depth
+        assert (1 - t) ** n <= minhash.MISS < (1 - t) ** (n - 1)
+
+
 @pytest.mark.parametrize(("words", "options"), [(4, {}), (5, {}), (4, {"node_limit": 4, "depth": 2, "block": 2})])
 def test_near(spark, sf, words, options):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
