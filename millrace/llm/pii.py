@@ -37,7 +37,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
 
-_WORD = "(?:" + "|".join(SPELLED) + ")"
+_WORDS = "|".join(SPELLED)
+_WORD = f"(?a:{_WORDS})"  # else ignoring case lets other letters stand for s and i
 _REWRITE = re.compile(
     rf"(?P<gone>[{INVISIBLE}]+)"
     r"|(?P<at>[ \t]*[\[({<][ \t]*at[ \t]*[\])}>][ \t]*"
@@ -49,8 +50,11 @@ _REWRITE = re.compile(
 )
 
 
-_DOT = re.compile(r"\bdot\b")
-_RUN = re.compile(rf"\b{_WORD}[ -]{_WORD}[ -]{_WORD}\b")
+_AT = re.compile(r"[\[({<][ \t]*at", re.I)
+_PLUS = re.compile(rf"\bplus[ \t]+(?:{_WORD}\b|[0-9])", re.I)
+_SPELLED = re.compile(_WORDS)
+_BESIDE = re.compile(rf"(?:{_WORDS})[ .-](?:{_WORDS}|[0-9])")
+_BEHIND = re.compile(rf"[0-9][ .-](?:{_WORDS})")
 
 
 def _one_to_one() -> dict[int, str]:
@@ -99,13 +103,17 @@ def plain_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def disguised(text: str) -> bool:
-    """Whether a disguise can stand in the text: cheap tests that no disguise fails."""
+    """Whether rewriting the text can give other spans: tests that follow from each alternative of ``_REWRITE``.
+
+    ``at`` needs a bracket before it or ``dot`` after it. A spelled digit alters cards, addresses of hosts and mail only
+    beside another digit, spelled or not, and phones only after a plus; alone it stands for a character of the same class.
+    """
     if not text.isascii() and _STRANGE.search(text):
         return True
     low = text.lower()
-    if "dot" in low and _DOT.search(low) or any(f"{a}{s}at" in low for a in "[({<" for s in ("", " ", "\t")):
+    if "dot" in low or _AT.search(text) or "plus" in low and _PLUS.search(text):
         return True
-    return sum(map(low.count, SPELLED)) >= 4 and bool(_RUN.search(low))
+    return bool(_SPELLED.search(low) if "+" in low else _BESIDE.search(low) or _BEHIND.search(low))
 
 
 class Rewritten:

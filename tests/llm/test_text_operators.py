@@ -66,6 +66,37 @@ def test_disguises(text, spans):
     assert pii.listing(pii.find(text)[1]) == spans
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("call plus 1 415 555 2671", "phone:5:24"),
+        ("+49 30 one two 34567", "phone:0:20"),
+        ("+1 (four) 155 552 671", "phone:0:21"),
+        ("four 111 1111 1111 1111", "card:0:23"),
+        ("4111 1111 1111 111 one", "card:0:22"),
+        ("192.168.one.one", "ip:0:15"),
+        ("bob [ at ] example.com", "email:0:22"),
+        ("bob (\t at)example.com", "email:0:21"),
+        ("bob@one two.com", "email:0:15"),
+        ("\u017fix dot f\u0131ve", ""),
+    ],
+)
+def test_disguises_that_stand_alone(text, spans):
+    assert pii.listing(pii.find(text)[1]) == spans
+
+
+_PIECES = ["one", "Four", "OH", "seven", "plus", "at", "dot", "com", "bob", "x", "1", "49", "255", "4111 1111 1111 111", "555 2671", "+", "@", ".", "-", " ", " ", "  ", "\t", "(", ")", "[", "]", "<", ">", "\u017f", "\u200b", "\u0430"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=14).map("".join))
+def test_gate_lets_every_disguise_through(text):
+    gated = pii.find(text)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "disguised", lambda _: True)
+        assert pii.find(text) == gated
+
+
 def test_redaction():
     text = "a@b.co, +1 (988) 555-2485 and 1.2.3.4."
     assert pii.redact(text, pii.find(text)[1]) == "[EMAIL], [PHONE] and [IP]."
