@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small
-
 #: Interval rows up to which the list is broadcast; about 100 bytes each.
 BROADCAST_INTERVALS = 200_000
 
@@ -56,17 +54,20 @@ def keys(url: Column, folders: int) -> Column:
     )
 
 
-def active_lists(captures: DataFrame, entries: DataFrame, folders: int = 2, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
+def active_lists(captures: DataFrame, entries: DataFrame, folders: int | None = None, url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """``captures`` with ``host``, ``n_entries`` (active entries that name the URL), ``lists`` (their lists, sorted,
     comma-joined; empty if none) and ``blocked``.
 
     A null URL or fetch time matches nothing; every row of ``captures`` comes back once, repeated rows too. Columns of
-    ``captures`` named like a new one are replaced. Equal (URL, time) pairs are asked once. The list is broadcast
+    ``captures`` named like a new one are replaced. Equal (URL, time) pairs are asked once. A URL asks for as many leading
+    folders as the deepest interval has, or for ``folders`` if that is given. The list is broadcast
     while it has at most ``BROADCAST_INTERVALS`` intervals; beyond that, keys are shuffled and Spark splits hot ones.
     """
     valid = intervals(entries)
-    if small(valid, BROADCAST_INTERVALS):
+    rows, deepest = valid.agg(F.count("*"), F.max(F.size(F.split("key", "/")) - 1)).first()
+    if rows <= BROADCAST_INTERVALS:
         valid = F.broadcast(valid)
+    folders = (deepest or 0) if folders is None else folders
     asked = captures.select(F.col(url_col).alias("u"), F.col(at_col).alias("t")).dropna().distinct()
     each = asked.select("u", "t", F.explode(keys(F.col("u"), folders)).alias("key"))
     hits = each.join(valid, "key").where((F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))

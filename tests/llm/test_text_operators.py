@@ -230,3 +230,13 @@ def test_intervals_and_matches(spark):
         (1, True, "l"), (1, True, "l"), (2, False, ""), (3, True, "l"), (4, False, ""), (5, True, "m"), (6, False, ""), (7, False, ""), (8, False, ""), (9, False, ""), (10, False, "")]
     assert url_lists.active_lists(captures.limit(0), entries).count() == 0
     assert url_lists.active_lists(captures, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_entries_of_any_number_of_folders(spark):
+    day = "cast('2024-01-01' as date)"
+    urls = ["http://a.example.com/x/y/z/w/page", "http://a.example.com/x/y/z", "http://a.example.com/x/y/other/w", "http://b.example.com/1/2/3/4/5/6"]
+    captures = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("url", f"{day} as fetched_at")
+    keys = [("deep", "a.example.com/x/y/z/w"), ("three", "example.com/x/y/z"), ("page", "b.example.com/1/2/3/4/5/6")]
+    entries = spark.createDataFrame(keys, "list string, key string").selectExpr("list", "key", "'add' as action", f"{day} as at")
+    got = {r.url: r.lists for r in url_lists.active_lists(captures, entries).collect()}
+    assert got == {urls[0]: "deep,three", urls[1]: "three", urls[2]: "", urls[3]: "page"}
