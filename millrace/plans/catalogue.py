@@ -541,6 +541,21 @@ def merge_conflicts(spark, d):
     return routing.conflicts(answers(spark, d))
 
 
+_ALL_ANSWERS = "answers AS (SELECT role || '-' || conv_id AS domain, text || ' total revenue is ' || (conv_id % 7) || '00.' AS answer FROM conversations)"
+
+
+@query(
+    rf"""WITH {_ALL_ANSWERS}, f AS (SELECT domain, unnest(regexp_extract_all(lower(answer), '(?:[a-z]+\s+){{2}}(?:is|was|are|were|of|:)?\s*\$?[0-9][0-9,.]*')) AS s FROM answers),
+    v AS (SELECT DISTINCT domain, regexp_replace(regexp_extract(s, '^([a-z]+\s+[a-z]+)', 1), '\s+', ' ', 'g') AS subject, regexp_replace(regexp_extract(s, '([0-9][0-9,.]*)$', 1), '[,.]+$|,', '', 'g') AS value FROM f)
+    SELECT subject, count(DISTINCT domain) AS n_domains, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM v
+    WHERE subject <> '' AND value <> '' GROUP BY 1 HAVING count(DISTINCT domain) > 1 AND count(DISTINCT value) > 1"""
+)
+def merge_conflicts_all(spark, d):
+    """``merge_conflicts`` over all turns."""
+    every = read(spark, d, "conversations").selectExpr("concat(role, '-', conv_id) as domain", "concat(text, ' total revenue is ', conv_id % 7, '00.') as answer")
+    return routing.conflicts(every)
+
+
 @query(
     r"""WITH a AS (SELECT lang AS domain, string_agg(text, ' ' ORDER BY doc_id) AS answer FROM documents WHERE doc_id < 40 GROUP BY 1),
     s AS (SELECT domain, [trim(x) FOR x IN regexp_split_to_array(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF length(trim(x)) > 20] AS l FROM a),
