@@ -570,6 +570,20 @@ def merge_complementary(spark, d):
     return routing.complementary(some.select(F.col("lang").alias("domain"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("answer")))
 
 
+@query(
+    r"""WITH a AS (SELECT doc_id AS domain, text AS answer FROM documents),
+    s AS (SELECT domain, [trim(x) FOR x IN regexp_split_to_array(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF length(trim(x)) > 20] AS l FROM a),
+    e AS (SELECT domain, unnest(range(0, len(l))) AS nth, unnest(l) AS sentence FROM s),
+    w AS (SELECT domain, nth, sentence, unnest(list_distinct(regexp_extract_all(lower(sentence), '[a-z]{4,}'))) AS word FROM e),
+    o AS (SELECT word, count(DISTINCT domain) AS n FROM (SELECT domain, unnest(regexp_extract_all(lower(answer), '[a-z]{4,}')) AS word FROM a) GROUP BY 1),
+    c AS (SELECT domain, nth, sentence, count(*) FILTER (n = 1) AS n_new FROM w JOIN o USING (word) GROUP BY ALL HAVING count(*) FILTER (n = 1) >= 3)
+    SELECT domain, arg_min(sentence, nth) AS sentence, arg_min(n_new, nth) AS n_new FROM c GROUP BY 1"""
+)
+def merge_complementary_all(spark, d):
+    """``merge_complementary`` over all documents, each an answer of its own."""
+    return routing.complementary(read(spark, d, "documents").selectExpr("doc_id as domain", "text as answer"))
+
+
 @query(
     """WITH f AS (SELECT item_id AS question_id, lower(text) AS fact FROM benchmark), t AS (SELECT item_id AS question_id, lower(d.text) AS text FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id * 7)
     SELECT question_id, count(*) AS n_facts, count(*) FILTER (coalesce(contains(text, fact), false)) AS n_found, round(count(*) FILTER (coalesce(contains(text, fact), false)) / count(*), 4) AS recall

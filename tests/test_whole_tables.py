@@ -7,3 +7,11 @@ def test_conflicts_of_later_turns(spark, tmp_path):
     rows = [(i, t, "user", f"The later budget is {i}00." if t == 5 else "Nothing.") for i in (1, 2) for t in range(8)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r.subject: r["values"] for r in catalogue.QUERIES["merge_conflicts_all"](spark, str(tmp_path)).collect()}["later budget"] == "100|200"
+
+
+def test_complementary_sentences_of_all_documents(spark, tmp_path):
+    common = "Every report repeats these common words."
+    rows = [(i, f"{common} Only this mentions {' '.join(chr(97 + i % 26) * n for n in range(5 + i // 26 * 3, 8 + i // 26 * 3))} here.") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["merge_complementary_all"](spark, str(tmp_path)).collect()
+    assert {(r.domain, r.n_new) for r in got} == {(i, 3) for i in range(60)} and all(r.sentence.startswith("Only this") for r in got)
