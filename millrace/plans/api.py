@@ -112,9 +112,12 @@ class Engine:
         return {"domains": domains, "sources": collected(shown.select("doc_id", "path", "score", "marked").orderBy(F.desc("score"), "doc_id")), "withheld": len(hits) - shown.count()}
 
     def check_confidential(self, docs: DataFrame, session: str = "default") -> dict:
-        found = collected(gates.confidential(docs).select("path", "reason").orderBy("path").limit(SHOWN))
+        """The first flagged files by path, and the ``total`` that the token opens."""
+        flagged = gates.confidential(docs).select("path", "reason")
+        found = collected(flagged.orderBy("path"))
+        total = flagged.count() if len(found) == SHOWN else len(found)
         self.tokens[session] = secrets.token_hex(4)
-        return {"files": found, "token": self.tokens[session]}
+        return {"files": found, "total": total, "token": self.tokens[session]}
 
     def acknowledge_gate(self, session: str, token: str) -> bool:
         if hmac.compare_digest(self.tokens.get(session, ""), token) and token:
@@ -135,8 +138,10 @@ def answer(df: DataFrame, plan: planner.Plan, card: profile.DataCard) -> dict:
     if plan.operation == "summary" or not m:
         return out | {"rows": [], "answer": f"{card.name}: {card.total_rows} rows, {len(card.columns)} columns, {card.time_range}."}
     if plan.operation == "attrition" and g and t:
-        lost = collected(analyst.attrition(df, g, t, m).orderBy(F.desc("lost_value"), "entity"))
-        return out | {"rows": lost, "answer": f"{len(lost)} {g} are missing from the latest {t}."}
+        lost = analyst.attrition(df, g, t, m)
+        shown = collected(lost.orderBy(F.desc("lost_value"), "entity"))
+        total = lost.count() if len(shown) == SHOWN else len(shown)
+        return out | {"rows": shown, "total": total, "answer": f"{total} {g} are missing from the latest {t}."}
     if plan.operation in ("trend", "compare") and t:
         found = collected(analyst.trend(rows, m, t).orderBy("nth"), 400)
         return out | {"rows": found, "answer": f"{m} over {len(found)} periods.", "chart": render.chart("line", [r["period"] for r in found], {m: [r["value"] for r in found]})}

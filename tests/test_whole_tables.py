@@ -1,6 +1,7 @@
 """Queries and answers that read all rows."""
 
 from millrace.plans import catalogue
+from millrace.plans.api import SHOWN, Engine
 
 
 def test_conflicts_of_later_turns(spark, tmp_path):
@@ -15,3 +16,13 @@ def test_complementary_sentences_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalogue.QUERIES["merge_complementary_all"](spark, str(tmp_path)).collect()
     assert {(r.domain, r.n_new) for r in got} == {(i, 3) for i in range(60)} and all(r.sentence.startswith("Only this") for r in got)
+
+
+def test_answers_count_beyond_what_they_show(spark, tmp_path):
+    lines = ["customer,year,revenue", *(f"C{i:03d},2023,{100 + i}" for i in range(SHOWN + 20)), *(f"C{i:03d},2024,{100 + i}" for i in range(3))]
+    (tmp_path / "sales.csv").write_text("\n".join(lines))
+    out = Engine(spark).query_data(str(tmp_path / "sales.csv"), "which customers churned", {"time_range": "all"})
+    assert len(out["rows"]) == SHOWN and out["total"] == SHOWN + 17 and out["answer"].startswith(f"{SHOWN + 17} ")
+    docs = spark.createDataFrame([(f"f{i:03d}.txt", "CONFIDENTIAL plan" if i % 2 == 0 else "plan") for i in range(2 * SHOWN + 10)], "path string, text string")
+    seen = Engine(spark).check_confidential(docs)
+    assert len(seen["files"]) == SHOWN and seen["total"] == SHOWN + 5
