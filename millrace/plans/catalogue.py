@@ -772,6 +772,17 @@ def gate_grounding(spark, d):
     return routing.grounding(read(spark, d, "benchmark").selectExpr("item_id as claim_id", "text"), corpus)
 
 
+@query(
+    f"""WITH a AS (SELECT item_id, unnest({_GATE.format(c='text')}) AS t FROM benchmark), c AS (SELECT DISTINCT item_id, {_STEM} AS token FROM a),
+    b AS (SELECT unnest({_GATE.format(c='text')}) AS t FROM documents), k AS (SELECT DISTINCT {_STEM} AS token FROM b)
+    SELECT item_id AS claim_id, count(*) AS n_claims, count(k.token) AS n_grounded, round(count(k.token) / count(*), 2) AS score FROM c LEFT JOIN k ON k.token = c.token GROUP BY 1"""
+)
+def gate_grounding_all(spark, d):
+    """``gate_grounding`` against the documents of all languages."""
+    corpus = read(spark, d, "documents").select(F.explode(F.transform(T.gate_tokens(F.col("text")), T.stem)).alias("token"))
+    return routing.grounding(read(spark, d, "benchmark").selectExpr("item_id as claim_id", "text"), corpus)
+
+
 # ---- streams -------------------------------------------------------------------------------------------------------------
 
 

@@ -26,3 +26,10 @@ def test_answers_count_beyond_what_they_show(spark, tmp_path):
     docs = spark.createDataFrame([(f"f{i:03d}.txt", "CONFIDENTIAL plan" if i % 2 == 0 else "plan") for i in range(2 * SHOWN + 10)], "path string, text string")
     seen = Engine(spark).check_confidential(docs)
     assert len(seen["files"]) == SHOWN and seen["total"] == SHOWN + 5
+
+
+def test_grounding_in_every_language(spark, tmp_path):
+    spark.createDataFrame([(1, "the garden wall", "en"), (2, "der alte Turm", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "garden Turm nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["gate_grounding_all"](spark, str(tmp_path)).first()
+    assert (got.n_claims, got.n_grounded) == (3, 2)
