@@ -89,6 +89,22 @@ def bm25_texts(docs: DataFrame, query: str, id_col: str, text: Column, n: int =
     return head.select(id_col, share.alias("score")).orderBy(F.desc(F.round("score", 9)), id_col).limit(n)
 
 
+def bm25_each(docs: DataFrame, questions: DataFrame, id_col: str, text: Column, n: int = 10) -> DataFrame:
+    """``(question_id, id, raw)``: for each of ``questions (question_id, question)`` the n best rows by ``bm25``, before
+    its division by the best score. Makes a row for each question and text that share a term."""
+    tokens = docs.select(id_col, T.search_tokens(text).alias("tokens"))
+    corpus = tokens.agg(F.count("*").alias("N"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    stats = df.crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = stats.agg((F.avg("idf") * EPSILON).alias("floor"))
+    asked = questions.select("question_id", F.explode(T.search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qf"))
+    weights = asked.join(stats, "term").crossJoin(F.broadcast(floor)).select("question_id", "term", "qf", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = terms(docs, id_col, text).join(weights, "term").groupBy("question_id", id_col).agg(F.sum(part).alias("raw")).where("raw > 0")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("raw", 6)), id_col))
+    return scored.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+
 def _occurrences(term: str) -> Column:
     return F.size(F.filter("hits", lambda x: x == term)).cast("double")
 

@@ -595,6 +595,29 @@ def eval_recall(spark, d):
     return routing.recall(facts, texts)
 
 
+@query(
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[a-z0-9]+')) AS term FROM documents),
+    sizes AS (SELECT doc_id, len(regexp_extract_all(lower(source || ' ' || text), '[a-z0-9]+')) AS dl FROM documents),
+    corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes),
+    post AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    stats AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, corpus GROUP BY term, n),
+    flr AS (SELECT 0.25 * avg(idf) AS f FROM stats),
+    q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+    raw AS (SELECT item_id, doc_id, sum(qf * CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
+      FROM post JOIN q USING (term) JOIN stats USING (term) JOIN sizes USING (doc_id), flr, corpus GROUP BY ALL),
+    r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS place FROM raw WHERE s > 0),
+    h AS (SELECT item_id, text FROM r JOIN documents USING (doc_id) WHERE place <= 10),
+    m AS (SELECT b.item_id, b.text AS fact, bool_or(coalesce(contains(lower(h.text), lower(b.text)), false)) AS found FROM benchmark b LEFT JOIN h ON h.item_id = b.item_id GROUP BY ALL)
+    SELECT item_id AS question_id, count(*) AS n_facts, count(*) FILTER (found) AS n_found, round(count(*) FILTER (found) / count(*), 4) AS recall FROM m GROUP BY 1"""
+)
+def eval_recall_all(spark, d):
+    """The recall of benchmark passages in the ten texts that BM25 over all documents gives for each."""
+    facts = read(spark, d, "benchmark").selectExpr("item_id as question_id", "text as fact")
+    docs = read(spark, d, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "text").alias("t"))
+    hits = search.bm25_each(docs.select("doc_id", "t"), facts.withColumnRenamed("fact", "question"), "doc_id", F.col("t"))
+    return routing.recall(facts, hits.join(docs.select("doc_id", "text"), "doc_id").select("question_id", "text"))
+
+
 # ---- logs ------------------------------------------------------------------------------------------------------------
 
 _AUDIT = "audit AS (SELECT user_id AS session_id, event_type AS question, event_type AS domain, ts, value AS latency_ms, event_type = 'error' AS blocked, event_id FROM events)"

@@ -33,3 +33,11 @@ def test_grounding_in_every_language(spark, tmp_path):
     spark.createDataFrame([(1, "garden Turm nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalogue.QUERIES["gate_grounding_all"](spark, str(tmp_path)).first()
     assert (got.n_claims, got.n_grounded) == (3, 2)
+
+
+def test_recall_over_all_documents(spark, tmp_path):
+    rows = [(i, f"{'A rare passage on harbours' if i == 10 else 'Plain words'} and number {i}.", "src0") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "rare passage on harbours"), (2, "nowhere to be found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["eval_recall_all"](spark, str(tmp_path)).collect()
+    assert {(r.question_id, r.n_found, r.recall) for r in got} == {(1, 1, 1.0), (2, 0, 0.0)}
