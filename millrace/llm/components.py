@@ -34,15 +34,26 @@ class Forest:
         return True
 
 
+#: Vertices that a task's forest holds before it is passed on and begun anew.
+FOREST_VERTICES = 1_000_000
+
+
 def _contract(batches):
     forest = Forest()
+
+    def out():
+        pairs = [(x, forest.find(x)) for x in list(forest.up)]
+        for at in range(0, len(pairs), 100_000):
+            some = np.array(pairs[at : at + 100_000], np.int64)
+            yield pa.record_batch([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
+
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             forest.join(x, y)
-    pairs = [(x, forest.find(x)) for x in list(forest.up)]
-    for at in range(0, len(pairs), 100_000):
-        some = np.array(pairs[at : at + 100_000], np.int64)
-        yield pa.record_batch([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
+        if len(forest.up) > FOREST_VERTICES:
+            yield from out()
+            forest = Forest()
+    yield from out()
 
 
 def components(links: DataFrame, contract: bool = True, rounds: int = 60) -> DataFrame:

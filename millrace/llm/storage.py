@@ -10,8 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -22,18 +23,35 @@ BROADCAST_KEYS = 1_000_000
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: dict[str, list[str]] = {}
-_scope = ""
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder. Where none is set, a temporary one on a single machine, and an error on a
+    cluster, whose executors would each write to a disk of their own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="millrace-")
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever characters the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names, which functions over Arrow batches need of their input."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*map(named, df.columns))
+
+
 def prepare(spark: SparkSession) -> None:
     """Before a plan that runs Python: the workers get this package, and Arrow batches of at most 4 MB unless the
     session sets another size. Rows can be long, and each core has several batches and their Python objects."""
@@ -42,30 +60,47 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "4m")
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path, files = _path(spark, name)
+    files.delete(path, True)
+
+
+def delete_at_end(spark: SparkSession, name: str) -> None:
+    """The folder goes when the application's JVM ends, if nothing deletes it before."""
+    path, files = _path(spark, name)
+    files.deleteOnExit(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a fresh table in shared storage and read back with the same columns."""
+    """``df`` written to a fresh table in shared storage and read back with the same columns. The table belongs to the
+    current ``scope``; it goes with that, and at the end of the application at the latest."""
     spark = df.sparkSession
     prepare(spark)
     path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(_scope, []).append(path)
+    if (scope_ := _scope.get()) is not None:
+        _made.setdefault(scope_, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
-    """Tables made inside belong to ``name``; those that belonged to it before are deleted first. For steps whose
-    result is written out before the next step of that name begins."""
-    global _scope
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Tables made inside, by this thread, belong to ``name``; those that belonged to it before are deleted first. For
+    steps whose result is written out before the next step of that name begins; jobs that run side by side take
+    names of their own."""
     for made in _made.pop(name, []):
-        path = jvm.org.apache.hadoop.fs.Path(made)
-        path.getFileSystem(conf).delete(path, True)
-    outer, _scope = _scope, name
+        delete(spark, made)
+    token = _scope.set(name)
     try:
         yield
     finally:
-        _scope = outer
+        _scope.reset(token)
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
