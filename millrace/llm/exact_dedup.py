@@ -21,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import prepare, stored, without
+from .storage import named, prepare, stored, whole_row, without
 
 #: Characters that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Owner tasks at most: what the driver of one shuffle can well keep. Beyond, a task owns more text and spills.
+MOST_TASKS = 20_000
+
+
 class Node:
     __slots__ = ("children", "high", "low", "source", "value")
 
@@ -79,13 +83,24 @@ class Patricia:
             node = child
         return node
 
-    def largest(self) -> int | None:
-        """The first byte of the subtree that holds the most, estimated by its number of terminals."""
-        return max(self.root.children, key=lambda b: sum(1 for _ in walk(self.root.children[b])), default=None) if self.root.children else None
-
-    def take(self, first: int) -> Iterator[tuple[bytes, object]]:
-        """Removes a subtree and yields its strings and values."""
-        for node in walk(self.root.children.pop(first)):
+    def largest(self) -> bytes | None:
+        """The prefix of the largest subtree, by terminals, below the first node with several children; None if no
+        node has."""
+        node = self.root
+        while node.children and len(node.children) == 1:
+            node = next(iter(node.children.values()))
+        if not node.children:
+            return None
+        low = max(node.children, key=lambda b: sum(1 for _ in walk(node.children[b])))
+        return node.source[: node.high] + bytes([low])
+
+    def take(self, prefix: bytes | int) -> Iterator[tuple[bytes, object]]:
+        """Removes the subtree of a child's prefix, as ``largest`` gives it, or of a first byte, and yields its strings
+        and values."""
+        node, prefix = self.root, bytes([prefix]) if isinstance(prefix, int) else prefix
+        while node.high < len(prefix) - 1:
+            node = node.children[prefix[node.high]]
+        for node in walk(node.children.pop(prefix[-1])):
             self.bytes -= node.high + 400
             yield node.source[: node.high], node.value
 
@@ -120,7 +135,7 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits
     of rows with the same id, so exactly one row of a group is kept, also among repeated rows. Other columns are left
     out. An empty table gives an empty result. ``limits`` are those of ``resolve``.
     """
-    met, owners = resolve(df.select(id_col, text_col), id_col, text_col, False, **limits)
+    met, owners = resolve(df.select(named(id_col), named(text_col)), id_col, text_col, False, **limits)
     rows = met.where(F.col("rid").isNotNull()).select("id", "rid", "rep", "text_sha256")
     return rows.join(owners, "rep").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 
@@ -139,8 +154,9 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
     maps ``rep`` to ``keep_id, keep_rid, group_size``.
 
     A trie over ``trie_bytes`` gives up its largest subtree: a reading task passes it on early, an owner task sets it
-    aside in a temporary file of its own and comes back to it, so a lost executor only repeats the task. Owner tasks
-    get about ``task_bytes`` of text each.
+    aside in a temporary file of its own and comes back to it, where it may be parted again by its longer prefixes, so
+    a lost executor only repeats the task. Owner tasks get about ``task_bytes`` of text each, and more only where
+    there would be over ``MOST_TASKS`` of them.
     """
     prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -199,14 +215,13 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
                     node.value[1] += 1
                     node.value[2] = better(node.value[2], (n, i, rid))
                 docs.append((i, rid, node.value[0], hashlib.sha256(key).hexdigest()))
-                if trie.bytes > trie_bytes and (first := trie.largest()) is not None:
-                    yield from portions(trie.take(first))
+                while trie.bytes > trie_bytes and (prefix := trie.largest()) is not None:
+                    yield from portions(trie.take(prefix))
             yield out(docs=docs, row=b.column(2) if carry else None)
         if rows:
             yield from portions(trie.drain())
 
     def own(batches):
-        trie, aside, where = Patricia(), {}, []
         id_type = None
 
         def insert(trie, key, reps, count, owner):
@@ -227,39 +242,48 @@ def resolve(df: DataFrame, id_col: str, text_col: str, carry: bool, trie_bytes:
                     names=["rep", "keep_id", "keep_rid", "group_size"],
                 )
 
-        for b in batches:
-            id_type = b.schema.field("owner_id").type
-            for rep, key, count, chars, i, rid in zip(*(b.column(k).to_pylist() for k in ("rep", "text", "rows", "owner_chars", "owner_id", "owner_rid")), strict=True):
-                entry = ([rep], count, (chars, i, rid))
-                if key and key[0] in aside:
-                    pickle.dump((key, *entry), aside[key[0]])
+        def received():
+            nonlocal id_type
+            for b in batches:
+                id_type = b.schema.field("owner_id").type
+                for rep, key, count, chars, i, rid in zip(*(b.column(k).to_pylist() for k in ("rep", "text", "rows", "owner_chars", "owner_id", "owner_rid")), strict=True):
+                    yield key, [rep], count, (chars, i, rid)
+
+        def again(file):
+            file.seek(0)
+            with file:
+                while True:
+                    try:
+                        yield pickle.load(file)
+                    except EOFError:
+                        return
+
+        waiting = [received()]
+        while waiting:
+            trie, aside = Patricia(), {}
+            lengths: list[int] = []
+            for key, *entry in waiting.pop():
+                # of several prefixes the longest: it was set aside first
+                if file := next((aside[p] for n in lengths if (p := key[:n]) in aside), None):
+                    pickle.dump((key, *entry), file)
                     continue
                 insert(trie, key, *entry)
-                if trie.bytes > trie_bytes and (first := trie.largest()) is not None:
-                    aside[first] = tempfile.TemporaryFile()  # noqa: SIM115  of this task alone; gone when it ends
-                    for k, v in trie.take(first):
-                        pickle.dump((k, *v), aside[first])
-        if id_type is not None:
-            yield from out(trie.drain())
-        for file in aside.values():
-            trie = Patricia()
-            file.seek(0)
-            while True:
-                try:
-                    insert(trie, *pickle.load(file))
-                except EOFError:
-                    break
-            file.close()
+                while trie.bytes > trie_bytes and (prefix := trie.largest()) is not None:
+                    file = aside[prefix] = tempfile.TemporaryFile()  # noqa: SIM115  of this task alone; gone when it ends
+                    lengths = sorted({*map(len, aside)}, reverse=True)
+                    for k, v in trie.take(prefix):
+                        pickle.dump((k, *v), file)
             yield from out(trie.drain())
+            waiting += map(again, aside.values())
 
     met = stored(
-        df.select(F.col(id_col), F.col(text_col), *([F.struct(*(df[c] for c in df.columns))] if carry else [])).toDF(*["id", "text", "row"][: 2 + carry]).mapInArrow(read, schema),
+        df.select(named(id_col), named(text_col), *([whole_row(df)] if carry else [])).toDF(*["id", "text", "row"][: 2 + carry]).mapInArrow(read, schema),
         "exact",
     )
     texts = met.where(F.col("rid").isNull())
     spark = df.sparkSession
     total = texts.agg(F.sum("size")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-total // task_bytes)))
     owners = (
         texts.repartition(tasks, "size", F.xxhash64("text"))
         .select("rep", "text", "rows", "owner_chars", "owner_id", "owner_rid")
