@@ -1,24 +1,28 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
-A page is a sequence of tags and words. Words score positive, or negative inside elements that labelled pages show to
-be furniture; tags score negative, by how much more often they stand outside content. One linear scan finds the best
-contiguous region; its words with positive scores are the text.
+A page is a sequence of tags and words. A word scores 1, unless what labelled pages show of its place (open elements,
+words of their classes, share of links and length of its block) speaks for furniture; then it scores negative. Tags
+score negative, by how much more often they stand outside content. One linear scan finds the best contiguous region;
+its words that score positive are the text.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as references
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .storage import prepare
+from . import page_families
+from .storage import named, numbered, prepare
 
 # Fixed values of HTML: elements whose content is no text, void elements, and inline elements (others break blocks).
 SILENT = frozenset("script style noscript template svg math iframe object head title select textarea canvas audio video".split())
@@ -40,35 +44,31 @@ _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 #: Pages from which the default weights come. Elements marked ``data-main`` are content, unless inside one marked
 #: ``data-off``.
-LABELLED = (
-    """<html><body><header class="site-header masthead"><div class="logo">Daily News</div><nav class="menu main-navigation navbar" role="navigation">
-    <ul class="menu"><li><a>Home</a></li><li><a>World</a></li><li><a>Sport</a></li></ul></nav></header><div class="breadcrumb breadcrumbs"><a>Home</a> <a>World</a></div>
-    <div class="ad ads advert advertisement banner sponsored">Buy now and save today</div><main><article data-main><h1>The river rises</h1><p>Heavy rain fell over
-    the <b>valley</b> during the night and the river rose.</p><p>Many <a>families</a> left <i>their</i> homes.<br>Help came early.</p><h2>What follows</h2><p>More rain is
-    expected by the end of the week in the north.</p><ul><li>Close the windows well</li><li>Keep a lamp ready at hand</li></ul><blockquote><p>We have seen worse than this</p></blockquote>
-    <aside data-off class="related recommended promo"><a>Read this too</a></aside></article></main><section class="comments comment-list comment" id="disqus"><p>First reader says hello
-    to all</p><p>Second reader disagrees</p></section><aside class="sidebar widget"><h3>Popular</h3><ul><li><a>One story</a></li></ul></aside><footer class="site-footer footer copyright">
-    All rights reserved</footer></body></html>""",
-    """<html><body><div class="cookie cookies consent notice banner gdpr" role="banner">We use cookies to improve this site <button>Accept</button></div><nav><a>Blog</a><a>About</a></nav>
-    <form class="search newsletter subscribe signup login"><label>Your email address</label><input><button>Send</button></form><div class="alert notification modal popup overlay">Please sign in first</div>
-    <div class="content"><div data-main class="main-content site-main post-list entry"><h1>Bread at home</h1><p>Mix the flour with water and <em>salt</em> and wait a day.</p><p>Then bake it hot.</p><table><tr><td>Flour</td><td>500 grams</td></tr>
-    <tr><td>Water</td><td>350 grams</td></tr></table><ol><li>Mix the dough</li><li>Bake the bread</li></ol><pre>oven: 240 degrees</pre><p><strong>Enjoy</strong> it <span>warm</span>.</p></div></div>
-    <div class="share social sharing"><a>Tweet</a><a>Post</a></div><div class="tags pagination pager"><a>bread</a><a>next</a></div><div id="reviews" class="replies discussion respond"><p>Great bread thank you</p></div>
-    <dialog>Wait before you go</dialog><menu><li>Copy</li></menu><footer><p>Contact us by mail or telephone</p></footer></body></html>""",
-    """<html><body><div id="toc" class="skip"><a>Skip to content</a></div><section data-main><h1>Notes on tides</h1><h3>Moon</h3><p>The moon pulls the water and the water follows.</p><div>Twice a day it
-    comes, twice a day it goes.</div><figure><figcaption>High water at noon</figcaption></figure><dl><dt>Spring tide</dt><dd>The largest of them</dd></dl><p>Fishermen know the hours by heart, <code>and</code>
-    <u>so</u> do <small>birds</small>.</p></section><div class="outbrain taboola sponsor adsense">From around the web</div><address>12 Harbour street</address></body></html>""",
-)
+LABELLED = tuple(page_families.pages())
+
+#: Attributes of labelled pages.
+MARKS = ("data-main", "data-off")
+
+# Fixed values of HTML: elements around all text, and those that hold a page's main text.
+EVERYWHERE = ("<html>", "<body>")
+HOLDERS = ("<article>", "<main>")
+
+#: Words of a block, and share of them inside links in tenths, from which the next class begins.
+LENGTHS = (2, 4, 8, 16, 32)
+SHARES = (1, 4, 8)
 
 
 @dataclass
 class Weights:
-    """Scores of tags, and of words inside an element of a kind; what isn't listed scores ``tag`` and ``word``."""
+    """Scores of tags, and log odds that a word is content: by the open elements around it, by the class of its block's
+    length and of its block's share of links. What isn't listed scores ``tag``, or says nothing."""
 
     tags: dict[str, float]
     kinds: dict[str, float]
+    links: list[float] = field(default_factory=lambda: [0.0] * (len(SHARES) + 1))
+    lengths: list[float] = field(default_factory=lambda: [0.0] * (len(LENGTHS) + 1))
+    bias: float = 0.0
     tag: float = -0.2
-    word: float = 1.0
 
 
 def items(page: str):
@@ -91,94 +91,159 @@ def items(page: str):
 def kinds(name: str, attrs: str) -> set[str]:
     """What an element may be known by: its name, and the words of its class, id and role. Elements that hold the
     whole page or article are known by name only."""
-    out = {f"<{name}>"}
+    out = {f"<{name}>", *(m for m in MARKS if m in attrs)}
     if attrs and name not in ("html", "body", "main", "article"):
         for m in _ATTR.finditer(attrs):
             out |= {p.lower() for p in _PART.findall(m[2] or m[3] or m[4] or "")}
     return out
 
 
-def walk(page: str):
-    """(kind, name or text, stack) with the stack of open elements' kinds; p and li and table parts close implicitly
-    enough for this purpose because only furniture matters in the stack."""
-    stack: list[tuple[str, set[str]]] = []
+class Stack:
+    """Open elements. Each kind counts once however often it is open; every tag costs the same however deep it is."""
+
+    def __init__(self, odds: dict[str, float]):
+        self.odds, self.open_kinds, self.places = odds, Counter(), defaultdict(list)
+        self.stack: list[tuple[str, set[str], float, int]] = []  # name, kinds, and score and silence outside
+        self.score, self.silent = 0.0, 0
+
+    def push(self, name: str, attrs: str) -> None:
+        if name in ("article", "main"):  # furniture that was never closed ends here
+            while self.stack and self.stack[-1][0] in ("nav", "header", "ul", "li", "a", "form"):
+                self.pop(self.stack[-1][0])
+        if name in VOID or attrs.endswith("/"):
+            return
+        own = kinds(name, attrs)
+        self.places[name].append(len(self.stack))
+        self.stack.append((name, own, self.score, self.silent))
+        for k in own:
+            if not self.open_kinds[k]:
+                self.score += self.odds.get(k, 0.0)
+            self.open_kinds[k] += 1
+        self.silent += name in SILENT
+
+    def pop(self, name: str) -> None:
+        """Closes the last element of that name and what is open inside; without one, nothing."""
+        if not self.places[name]:
+            return
+        for _ in range(len(self.stack) - self.places[name][-1]):
+            last, own, self.score, self.silent = self.stack.pop()
+            self.places[last].pop()
+            self.open_kinds.subtract(own)
+
+
+@dataclass
+class Piece:
+    """A tag, or a stretch of text between tags and its block."""
+
+    text: str
+    tag: str | None = None
+    words: int = 0
+    block: int = 0
+    odds: float = 0.0
+    around: frozenset[str] = frozenset()
+
+
+def pieces(page: str, odds: dict[str, float], around: bool = False) -> tuple[list[Piece], list[list[int]]]:
+    """A page in order, and the words and linked words of each of its blocks; with ``around``, the open kinds of texts."""
+    stack, out, blocks = Stack(odds), [], [[0, 0]]
     for what, value, attrs in items(page):
-        if what == "open":
-            if value not in VOID and not attrs.endswith("/"):
-                stack.append((value, kinds(value, attrs) | ({"data-main"} if "data-main" in attrs else set()) | ({"data-off"} if "data-off" in attrs else set())))
-        elif what == "close":
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == value:
-                    del stack[i:]
-                    break
-        yield what, value, stack
-
-
-def train(pages: Iterable[str]) -> Weights:
-    """Weights from labelled pages, as log ratios of counts outside and inside content. An element's kind makes
-    its words negative if they are more often furniture; a tag never scores above 0."""
+        if what == "text":
+            if not stack.silent:
+                text = references.unescape(value) if "&" in value else value
+                n = len(text.split())
+                blocks[-1][0] += n
+                blocks[-1][1] += n if stack.places["a"] else 0
+                out.append(Piece(text, None, n, len(blocks) - 1, stack.score, frozenset(+stack.open_kinds) if around else frozenset()))
+            continue
+        inline = value in INLINE
+        out.append(Piece("" if inline else " ", value))
+        if not inline:
+            blocks.append([0, 0])
+        (stack.push(value, attrs) if what == "open" else stack.pop(value))
+    return out, blocks
+
+
+def classes(block: list[int]) -> tuple[int, int]:
+    """Classes of a block's share of links and of its length."""
+    words, linked = block
+    return bisect.bisect_right(SHARES, 10 * linked / max(1, words)), bisect.bisect_right(LENGTHS, words)
+
+
+def content(p: Piece) -> bool:
+    """Whether a text of a labelled page is content."""
+    return MARKS[0] in p.around and MARKS[1] not in p.around
+
+
+def train(pages: Iterable[str], ridge: float = 1.0, rounds: int = 12) -> Weights:
+    """Weights from labelled pages: log odds by ridge logistic regression over texts, each counted by its words up to
+    20, once as it is and once without names and ``HOLDERS``, as pages of other families may lack them; and tag scores by log ratios of counts outside and inside content; a tag never scores above 0."""
     tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    rows: list[tuple[frozenset[str], tuple[int, int], int, bool]] = []
     for page in pages:
-        for what, value, stack in walk(page):
-            marks = set().union(*(k for _, k in stack)) if stack else set()
-            main = "data-main" in marks and "data-off" not in marks
-            if what == "text":
-                for kind in marks - {"data-main", "data-off"}:
-                    words[main][kind] += len(value.split())
+        main = False
+        found, blocks = pieces(page, {}, around=True)
+        for p in found:
+            if p.tag is None:
+                if p.words:
+                    main = content(p)
+                    seen = p.around.difference(MARKS, EVERYWHERE)
+                    plain = frozenset(k for k in seen if k[0] == "<" and k not in HOLDERS)
+                    rows += [(k, classes(blocks[p.block]), min(20, p.words), main) for k in (seen, plain)]
             else:
-                tags[main][value] += 1
-    ratio = lambda c, k: math.log((c[False][k] + 0.5) / (c[True][k] + 0.5))
-    every = {k for c in words.values() for k in c}
+                tags[main][p.tag] += 1
+    names = sorted({k for around, *_ in rows for k in around})
+    at = {k: i for i, k in enumerate(names)}
+    links, lengths = len(names), len(names) + len(SHARES) + 1
+    x = np.zeros((len(rows), lengths + len(LENGTHS) + 2))
+    y, weight = np.zeros(len(rows)), np.ones(len(rows))
+    for i, (around, (share, length), words, main) in enumerate(rows):
+        x[i, [at[k] for k in around]] = 1
+        x[i, [links + share, lengths + length, -1]] = 1
+        y[i], weight[i] = main, words
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - ridge * w)
+    ratio = lambda t: math.log((tags[False][t] + 0.5) / (tags[True][t] + 0.5))
     return Weights(
-        {t: -min(3.0, max(0.05, 0.2 + 0.3 * ratio(tags, t))) for t in {*tags[True], *tags[False]}},
-        {k: -ratio(words, k) for k in every if ratio(words, k) > 0 and not words[True][k]},
+        {t: -min(3.0, max(0.05, 0.2 + 0.3 * ratio(t))) for t in {*tags[True], *tags[False]}},
+        {k: float(w[i]) for k, i in at.items()},
+        w[links:lengths].tolist(),
+        w[lengths:-1].tolist(),
+        float(w[-1]),
     )
 
 
-DEFAULT = train(LABELLED)
+@lru_cache(1)
+def default() -> Weights:
+    return train(LABELLED)
 
 
-def main_text(page: str, weights: Weights = DEFAULT) -> str:
-    """The text of the best region: blocks joined by one space, white space collapsed, references decoded."""
-    bad = weights.kinds
-    pieces: list[tuple[str, float]] = []  # (text, score): tags are "" inside a word, " " between blocks
-    open_: list[tuple[str, float, bool]] = []  # (name, score of its words if furniture, silent)
-    word, silent = weights.word, 0
-    for what, value, attrs in items(page):
-        if what == "text":
-            if not silent:
-                pieces.append((references.unescape(value) if "&" in value else value, word))
-            continue
-        pieces.append(("" if value in INLINE else " ", weights.tags.get(value, weights.tag)))
-        if what == "open":
-            if value in ("article", "main"):  # furniture that was never closed ends here
-                while open_ and open_[-1][1] < 0 and open_[-1][0] in ("nav", "header", "ul", "li", "a", "form"):
-                    open_.pop()
-            if value in VOID or attrs.endswith("/"):
-                continue
-            score = min((bad[k] for k in kinds(value, attrs) if k in bad), default=0.0)
-            if score < 0 or value in SILENT or value in ("div", "section", "ul", "ol", "li", "a", "body", "html", "article", "main", "span", "table"):
-                open_.append((value, score, value in SILENT))
-        else:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == value:
-                    del open_[i:]
-                    break
-        word = min((s for _, s, _ in open_ if s < 0), default=weights.word)
-        silent = any(s for _, _, s in open_)
+def main_text(page: str, weights: Weights | None = None) -> str:
+    """The text of the best region: blocks joined by one space, white space collapsed, references decoded. A word
+    whose place speaks for content stays however short its block is."""
+    weights = weights or default()
+    found, blocks = pieces(page, weights.kinds)
     best = total = 0.0
-    begin, region = 0, (0, 0)
-    for i, (text, score) in enumerate(pieces):
-        total += score * len(text.split()) if text.strip() else (0.0 if text.strip() == "" and score == weights.word else score)
+    begin, region, kept = 0, (0, 0), []
+    for i, p in enumerate(found):
+        if p.tag is None:
+            share, length = classes(blocks[p.block])
+            odds = weights.bias + p.odds + weights.links[share] + max(0.0, weights.lengths[length])
+            kept.append(odds >= 0 or not p.words)
+            total += p.words * (1.0 if odds >= 0 else max(-1.0, odds))
+        else:
+            kept.append(True)
+            total += weights.tags.get(p.tag, weights.tag)
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:
             best, region = total, (begin, i + 1)
-    return " ".join("".join(t for t, s in pieces[slice(*region)] if s > 0 or not t.strip()).split())
+    return " ".join("".join(p.text for p, k in zip(found[slice(*region)], kept[slice(*region)], strict=True) if k).split())
 
 
-def extract(df: DataFrame, weights: Weights = DEFAULT, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract(df: DataFrame, weights: Weights | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Rows ``(*keep, text, n_chars)``: the main text of each page and its code points.
 
     A null or empty page, and one without content, has an empty text. Repeated rows each give a row; columns not in
@@ -191,5 +256,6 @@ def extract(df: DataFrame, weights: Weights = DEFAULT, html_col: str = "html", k
             yield pa.record_batch([*(b.column(i) for i in range(len(keep))), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*keep, "text", "n_chars"])
 
     prepare(df.sparkSession)
+    weights = weights or default()
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(html_col)).mapInArrow(run, schema + ", text string, n_chars long")
+    return numbered(df.select(*map(named, keep), named(html_col))).mapInArrow(run, schema + ", text string, n_chars long")
