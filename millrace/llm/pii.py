@@ -14,19 +14,20 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bpe import strings
-from .storage import prepare
+from .storage import named, numbered, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
-# Letters that look like ASCII ones, spelled digits, invisible characters.
+# Letters that look like ASCII ones, spelled digits, endings known as such, determiners of English,
+# invisible characters.
 LOOK_ALIKES = dict(
     zip("АВЕЅІЈКМНОРСТХаеіјорсухѕԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναɡ․﹒。＠﹫", "ABESIJKMHOPCTXaeijopcyxsdqwhABEZHIKMNOPTYXovag...@@", strict=True)
 )
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 ENDINGS = "com org net edu gov mil info biz io co ai dev app eu uk ca au fr nl ch pl ru jp cn br example".split()
+DETERMINERS = ("the", "a", "an", "this", "that", "each", "every", "any", "no", "my", "your", "his", "her", "its", "our", "their")
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,18 +40,28 @@ _ANY_DIGIT = re.compile(r"[0-9]")
 
 _WORDS = "|".join(SPELLED)
 _WORD = f"(?a:{_WORDS})"  # else ignoring case lets other letters stand for s and i
+_KNOWN = "|".join(ENDINGS)
+#: A spelled domain: any ending of letters after a spelled dot will do, unless the words before are plain prose
+#: ("at the dot now") or the ending is a digit ("at seven dot five").
+_SPELLED_DOMAIN = (
+    rf"(?:[\w-]+(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?:{_KNOWN})\b"
+    rf"|(?!(?:{'|'.join(DETERMINERS)})\b)[\w-]+(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?!{_WORD}\b)[a-z]{{2,24}}\b)"
+)
+#: The blanks before a bracket are taken when it has matched, so that a run of blanks is read once.
 _REWRITE = re.compile(
     rf"(?P<gone>[{INVISIBLE}]+)"
-    r"|(?P<at>[ \t]*[\[({<][ \t]*at[ \t]*[\])}>][ \t]*"
-    rf"|(?<=\w)[ \t]+at[ \t]+(?=[\w-]+(?:(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?:{'|'.join(ENDINGS)})\b|[ \t]*[\[({{<][ \t]*dot)))"
-    r"|(?P<dot>[ \t]*[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*|(?<=\w)[ \t]+dot[ \t]+(?=\w))"
+    r"|(?P<at>[\[({<][ \t]*at[ \t]*[\])}>][ \t]*"
+    rf"|(?<=\w)[ \t]+at[ \t]+(?={_SPELLED_DOMAIN}|[\w-]+[ \t]*[\[({{<][ \t]*dot)"
+    rf"|(?<=[a-z0-9])(?:_at_(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_KNOWN})\b)|(?P<s>[_-])at(?P=s)(?=[a-z0-9]+(?:(?P=s)dot(?P=s)[a-z0-9]+)*(?P=s)dot(?P=s)[a-z]{{2,24}}\b))"
+    r"|&(?:\#0{0,8}64|\#x0{0,8}40|commat);)"
+    r"|(?P<dot>[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*|(?<=\w)[ \t]+dot[ \t]+(?=\w)|(?<=[a-z0-9])(?P<z>[_-])dot(?P=z)(?=[a-z0-9])|&(?:\#0{0,8}46|\#x0{0,8}2e|period);)"
     rf"|(?P<plus>\bplus[ \t]+(?={_WORD}\b|[0-9]))"
     rf"|(?P<digits>\b{_WORD}(?:[ -]{_WORD})*\b)",
     re.I,
 )
 
 
-_AT = re.compile(r"[\[({<][ \t]*at", re.I)
+_AT = re.compile(r"[\[({<][ \t]*at|[a-z0-9]_at_|&(?:\#|commat|period)", re.I)
 _PLUS = re.compile(rf"\bplus[ \t]+(?:{_WORD}\b|[0-9])", re.I)
 _SPELLED = re.compile(_WORDS)
 _BESIDE = re.compile(rf"(?:{_WORDS})[ .-](?:{_WORDS}|[0-9])")
@@ -105,7 +116,7 @@ def plain_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def disguised(text: str) -> bool:
     """Whether rewriting the text can give other spans: tests that follow from each alternative of ``_REWRITE``.
 
-    ``at`` needs a bracket before it or ``dot`` after it. A spelled digit alters cards, addresses of hosts and mail only
+    ``at`` needs a bracket or a low line before it, or ``dot`` after it, and a character reference its ``&``. A spelled digit alters cards, addresses of hosts and mail only
     beside another digit, spelled or not, and phones only after a plus; alone it stands for a character of the same class.
     """
     if not text.isascii() and _STRANGE.search(text):
@@ -132,12 +143,15 @@ class Rewritten:
                 length += len(piece)
 
         for m in _REWRITE.finditer(even):
-            stretch(even[at : m.start()], at, m.start(), True)
-            kind = m.lastgroup
-            piece = {"gone": "", "at": "@", "dot": ".", "plus": "+"}.get(kind)
+            low = m.start()
+            if m["at"] or m["dot"]:
+                while low > at and even[low - 1] in " \t":
+                    low -= 1
+            stretch(even[at:low], at, low, True)
+            piece = next(p for k, p in (("gone", ""), ("at", "@"), ("dot", "."), ("plus", "+"), ("digits", None)) if m[k] is not None)
             if piece is None:
                 piece = "".join(SPELLED[w.lower()] for w in re.split("[ -]", m[0]))
-            stretch(piece, m.start(), m.end(), False)
+            stretch(piece, low, m.end(), False)
             at = m.end()
         stretch(even[at:], at, len(even), True)
         self.text = "".join(parts)
@@ -209,7 +223,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
+    return df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(
         run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     )
 
@@ -219,6 +233,7 @@ def scrub(df: DataFrame, text_col: str = "text", length_col: str | None = "n_cha
     code points. Null texts and their lengths stay as they are; all rows and other columns stay."""
     at = df.columns.index(text_col)
     length = df.columns.index(length_col) if length_col in df.columns else None
+    df_columns = df.columns
 
     def run(batches):
         for b in batches:
@@ -228,7 +243,7 @@ def scrub(df: DataFrame, text_col: str = "text", length_col: str | None = "n_cha
                 old = columns[length].to_pylist()
                 columns[length] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], columns[length].type)
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.record_batch(columns, schema=b.schema)
+            yield pa.record_batch(columns, names=df_columns)
 
     prepare(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return numbered(df).mapInArrow(run, df.schema)
