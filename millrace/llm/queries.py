@@ -32,10 +32,10 @@ def dated_entries(pages: DataFrame) -> DataFrame:
     parent = F.regexp_replace("h", r"^[^.]*\.", "")
 
     def entry(name, key, action, after, when):
-        return hosts.where(when).select(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), F.date_add(start, after).alias("at"))
+        return F.when(F.expr(when), F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), F.date_add(start, after).alias("at")))
 
     h = F.col("h")
-    parts = [
+    entries = F.array(
         entry("adult", h, "add", 0, "c % 4 = 0"),
         entry("adult", h, "remove", 60, "c % 4 = 0"),
         entry("adult", h, "add", 120, "c % 8 = 0"),
@@ -43,11 +43,8 @@ def dated_entries(pages: DataFrame) -> DataFrame:
         entry("spam", parent, "remove", 100, "c % 14 = 0 and h like '%.%.%'"),
         entry("mirror", F.concat(h, F.lit("/fr")), "add", 10, "c % 3 = 0"),
         entry("ads", h, "add", 0, "h like '%ads-track%'"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    )
+    return hosts.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*")
 
 
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
