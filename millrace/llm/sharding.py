@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import named, stored
 
 
 def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -15,18 +15,20 @@ def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     size), null ids first; a row goes to the shard in which the middle of its bytes falls, so shards are contiguous
     in that order and differ by at most two rows' bytes. ``slot`` counts a shard's rows from 0. Rows equal in all
     three are interchangeable. Other columns are left out; an empty table gives an empty result, and with fewer rows
-    than shards some shards are empty. Texts are read once; what is sorted is 28 bytes a row.
+    than shards some shards are empty. Texts are read once, for a stored table of 28 bytes a row; that is what is
+    sampled for ranges and sorted.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.col(text_col)
+    text = named(text_col)
     rows = df.select(
-        F.col(id_col).alias("id"),
+        named(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
+    rows = stored(rows, "measured")
     order = ["id", "text_crc32", "size"]
-    placed = stored(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "sizes")
+    placed = stored(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "placed")
     # as many rows as partitions: one window over them is small at any scale
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
