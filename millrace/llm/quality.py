@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import prepare
+from .storage import named, numbered, prepare
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _REPEAT = np.uint32(0x5BD1E995)
@@ -94,6 +94,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 20_000,
+    max_features: int = 50_000_000,
     bits: int = 20,
     epochs: int = 2,
     alpha: float = 0.3,
@@ -101,7 +102,8 @@ def fit(
     l1: float = 0.5,
     l2: float = 1.0,
 ) -> Model:
-    """A model from at most ``max_rows`` labelled rows, those with the smallest hash of their id.
+    """A model from at most ``max_rows`` labelled rows, those with the smallest hash of their id, and of these, in the
+    same order, as many as have at most ``max_features`` features together (8 bytes each in the training task).
 
     Of several labels of an id the mean counts, 0.5 and above as 1; null ids and labels are ignored. The sample's
     ids, at most ``max_rows``, are broadcast to the scan of ``documents``; one task then sees its features in the
@@ -110,9 +112,9 @@ def fit(
     prepare(documents.sparkSession)
     kind = documents.schema[id_col].dataType
     sample = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).cast(kind).alias("id"))
-        .agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
+        labels.where(named(label_col).isNotNull() & named(id_col).isNotNull())
+        .groupBy(named(id_col).cast(kind).alias("id"))
+        .agg((F.avg(named(label_col)) >= 0.5).cast("double").alias("y"))
         .select("id", "y", F.xxhash64("id").alias("turn"))
         .orderBy("turn", "id")
         .limit(max_rows)
@@ -127,7 +129,12 @@ def fit(
             )
 
     def train(batches):
-        rows = [(np.frombuffer(s, "<u4"), np.frombuffer(x, "<f4"), y) for b in batches for y, s, x in zip(*(b.column(k).to_pylist() for k in ("y", "slots", "x")), strict=True)]
+        rows, held = [], 0
+        for b in batches:
+            for y, s, x in zip(*(b.column(k).to_pylist() for k in ("y", "slots", "x")), strict=True):
+                held += len(s) // 4
+                if held <= max_features:
+                    rows.append((np.frombuffer(s, "<u4"), np.frombuffer(x, "<f4"), y))
         learner = Ftrl((1 << bits) + 1, alpha, beta, l1, l2)
         for _ in range(epochs):
             for at, x, y in rows:
@@ -136,7 +143,7 @@ def fit(
         used = np.flatnonzero(weights)
         yield pa.record_batch([pa.array(used.astype(np.int64)), pa.array(weights[used])], names=["slot", "weight"])
 
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("turn", "y", "text")
+    rows = documents.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(sample), "id").select("turn", "y", "text")
     extracted = rows.mapInArrow(extract, "turn long, y double, slots binary, x binary")
     found = extracted.repartition(1).sortWithinPartitions("turn", "slots").mapInArrow(train, "slot long, weight double").toPandas()
     return Model(bits, found["slot"].to_numpy(np.int64), found["weight"].to_numpy(np.float64))
@@ -162,7 +169,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([*(b.column(i) for i in range(len(columns))), pa.array(out, pa.float64())], names=[*columns, "score"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema + ", score double")
+    return numbered(df.select(*map(named, columns), named(text_col))).mapInArrow(run, schema + ", score double")
 
 
 def accepted(df: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -178,6 +185,8 @@ def accepted(df: DataFrame, model: Model, threshold: float, text_col: str = "tex
             for t in b.column(at).to_pylist():
                 slots, x = features(t or "", m.bits)
                 keep.append(logistic(weights[slots] @ x) >= threshold)
-            yield b.filter(pa.array(keep, pa.bool_()))
+            kept = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch(kept.columns, names=names)
 
-    return df.mapInArrow(run, df.schema)
+    names = df.columns
+    return numbered(df).mapInArrow(run, df.schema)
