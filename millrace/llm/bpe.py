@@ -13,18 +13,19 @@ merging gives.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .storage import prepare
+from .storage import named, prepare
 
 # Unicode White_Space, and the pre-token pattern of byte-level BPE vocabularies with contractions.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,7 +33,11 @@ PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p
 #: Places before a space that follows no white space: pre-tokens never cross them.
 BOUNDARY = regex.compile(rf"(?<=[^{WHITE}])(?= )")
 
+#: White space before a space.
+DOUBLE = tuple(f"{c} " for c in WHITE)
+
 NEVER = np.int64(1 << 40)
+NEVER_RANK = 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,6 +47,38 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cyclic garbage collector, which would walk millions of strings that hold no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def supported(spec: dict) -> None:
+    """Raises ValueError for a tokenizers file whose settings this codec doesn't follow, rather than encode otherwise
+    than the library."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    told = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "a normalizer": bool(spec.get("normalizer")),
+        "a pre-tokenizer other than ByteLevel with its pattern and no prefix space": cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True),
+        "a decoder other than ByteLevel": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "dropout": bool(model.get("dropout")),
+        "prefixes or suffixes of subwords": bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        "whole words before merges": bool(model.get("ignore_merges")),
+        "added tokens that strip, want whole words or hold white space": any(
+            t.get("single_word") or t.get("lstrip") or t.get("rstrip") or set(t["content"]) & set(WHITE) for t in spec.get("added_tokens") or []
+        ),
+    }
+    if found := [k for k, v in told.items() if v]:
+        raise ValueError(f"this vocabulary file has {', '.join(found)}, which isn't supported")
+
+
 class GenerationCache:
     """A mapping bounded to two generations of ``limit`` entries; what is used again moves to the young one."""
 
@@ -67,6 +104,7 @@ class Codec:
 
     def __init__(self, source: str, cache_words: int = 300_000):
         spec = json.loads(source)
+        supported(spec)
         model, alphabet = spec["model"], byte_alphabet()
         vocab = model["vocab"]
         to_bytes = lambda token: bytes(alphabet[c] for c in token)
@@ -99,8 +137,12 @@ class Codec:
         self.left_edge = self._edge(parts[:, 0], born)
         # greedy proposals of tokens that merging can't make alone are never right
         self.reachable = {raw for raw, i in self.ids.items() if len(raw) == 1 or born[i] >= 0}
-        self.longest = max(map(len, self.reachable))
+        #: The longest of them by their first two bytes.
+        self.longest: dict[bytes, int] = {}
+        for raw in self.reachable:
+            self.longest[raw[:2]] = max(len(raw), self.longest.get(raw[:2], 1))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marks = {t[0] for t in self.special}
         self.pretoken = regex.compile(PRETOKEN)
         self.words = GenerationCache(cache_words)
         self.units = GenerationCache(cache_words)
@@ -137,12 +179,12 @@ class Codec:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        known, ids, out, at, n = self.reachable, self.ids, [], 0, len(word)
+        known, ids, longest, out, at, n = self.reachable, self.ids, self.longest, [], 0, len(word)
         while at < n:
-            end = min(n, at + self.longest)
-            while word[at:end] not in known:
+            end = min(n, at + longest.get(word[at : at + 2], 1))
+            while (piece := word[at:end]) not in known:
                 end -= 1
-            out.append(ids[word[at:end]])
+            out.append(ids[piece])
             at = end
         return out
 
@@ -150,6 +192,8 @@ class Codec:
         """Exact merging, lowest rank first, leftmost first among equals; a heap keeps long words near linear."""
         ids = [self.byte_ids[b] for b in word]
         n = len(ids)
+        if n <= 32:
+            return self._merge_short(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         ranks = self.ranks
         heap = [(ranks[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in ranks]
@@ -169,8 +213,26 @@ class Codec:
                 heapq.heappush(heap, (ranks[p][0], h, p))
         return [t for t in ids if t >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same by the least of a few ranks, which costs less than a heap."""
+        ranks, none = self.ranks, (NEVER_RANK, -1)
+        open_ = [ranks.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while open_ and (least := min(open_)) is not none:
+            i = open_.index(least)
+            ids[i : i + 2] = (least[1],)
+            del open_[i]
+            if i:
+                open_[i - 1] = ranks.get((ids[i - 1], ids[i]), none)
+            if i < len(open_):
+                open_[i] = ranks.get((ids[i], ids[i + 1]), none)
+        return ids
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of pre-tokens: proposed for all, verified for all at once, merged exactly where that fails."""
+        """Token ids of pre-tokens."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.pack_words(words)]
+
+    def pack_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of pre-tokens, as little-endian unsigned 32-bit integers: proposed for all, verified for all at once, merged exactly where that fails."""
         proposed = [self.propose(w) for w in words]
         lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
         flat = np.fromiter((t for ts in proposed for t in ts), np.int64, int(lengths.sum()))
@@ -179,13 +241,18 @@ class Codec:
         left, right, owner = flat[:-1][inside], flat[1:][inside], owner[1:][inside]
         keys, back = np.unique(left << 32 | right, return_inverse=True)
         good = self.compatible(keys >> 32, keys & 0xFFFFFFFF)[back]
+        packed, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+        out = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         for i in np.unique(owner[~good]).tolist():
-            proposed[i] = self.merge(words[i])
-        return proposed
+            out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+        return out
 
     def _encode_unit(self, unit: str) -> list[bytes | int]:
         """Pre-tokens of a unit, and ids of special tokens in it."""
-        segments = self.split_special.split(unit) if self.split_special and "<" in unit else [unit]
+        bare = unit[1:]
+        if bare.isalpha() and bare.isascii() and unit[0] == " ":
+            return [unit.encode()]
+        segments = self.split_special.split(unit) if self.split_special and any(m in unit for m in self.marks) else [unit]
         out: list = []
         for s in segments:
             if s in self.special:
@@ -199,14 +266,13 @@ class Codec:
         cut = {u: self._encode_unit(u) for u in units}
         new = sorted(self.words.missing({w for parts in cut.values() for w in parts if isinstance(w, bytes)}))
         known = self.words.young
-        for word, ids in zip(new, self.encode_words(new), strict=True):
-            known[word] = np.array(ids, "<u4").tobytes()
+        known.update(zip(new, self.pack_words(new), strict=True))
         pack = lambda w: known[w] if isinstance(w, bytes) else w.to_bytes(4, "little")
         self.units.young.update((u, b"".join(map(pack, parts))) for u, parts in cut.items())
 
     def _cut(self, text: str) -> list[str]:
         """Units that encode independently: text is cut before each space that follows no white space."""
-        if any(f"{c} " in text for c in WHITE):
+        if any(c in text for c in DOUBLE):
             return BOUNDARY.split(text)
         first, *rest = text.split(" ")
         return [first, *(" " + r for r in rest)]
@@ -222,14 +288,14 @@ class Codec:
                 waiting, held = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, cut: list[list[str]]) -> Iterator[bytes]:
-        self.units.make_room()
-        self.words.make_room()
-        if new := self.units.missing(set().union(*cut)):
-            self._learn(new)
-        get = self.units.young.__getitem__
-        for units in cut:
-            yield b"".join(map(get, units))
+    def _flush(self, cut: list[list[str]]) -> list[bytes]:
+        with uncollected():
+            self.units.make_room()
+            self.words.make_room()
+            if new := self.units.missing(set().union(*cut)):
+                self._learn(new)
+            get = self.units.young.__getitem__
+            return [b"".join(map(get, units)) for units in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for; a text's own bytes if they came from ``encode_batch``."""
@@ -274,7 +340,7 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=[id_col, "ids", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
+    return df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
 
 
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -288,7 +354,7 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col:
             yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=[id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(named(id_col).alias("id"), named(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
 def round_trip_digest(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,4 +376,4 @@ def round_trip_digest(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
