@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BOUNDARY, PRETOKEN, Codec, byte_alphabet, strings, vocabulary
-from .storage import stored
+from .storage import named, stored
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -169,6 +169,9 @@ def pack(
     padding with which a window is emitted while documents still arrive; a document is cut only where it is longer
     than a window or closes a larger gap. The windows that ``merge_tasks`` tasks leave open are merged whole, best
     fit first; only what is then left can hold more padding. An empty table gives an empty result.
+
+    ``sequence_id`` is a task's number and 24 bits for its windows (16 million, some 34 billion tokens, in one input
+    partition); windows that were merged have bit 52 set, so up to 2^28 tasks have numbers of their own.
     """
     source = vocabulary(df.sparkSession, tokenizer_path)
     end = int(end_id).to_bytes(4, "little")
@@ -198,7 +201,7 @@ def pack(
             yield _arrow(rows, names, types)
 
     placed = stored(
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {PIECE}, part long, open boolean"),
+        df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, {PIECE}, part long, open boolean"),
         "packed",
     )
     closed = placed.where(~F.col("open")).select(*names[:7])
