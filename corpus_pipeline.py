@@ -54,10 +54,17 @@ STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, from ``documents``."""
+    """The last stage's rows, from ``documents``. A stage's output is deleted once the next stage's is written, the
+    last one that was written at the end of the application."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{storage.shared_root(spark)}/millrace/corpus-{uuid.uuid4().hex}"
+    read = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        storage.delete_at_end(spark, folder)
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if read:
+            storage.delete(spark, read)
+        read = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
