@@ -7,7 +7,7 @@ import json
 import time
 from pathlib import Path
 
-from .plans import api
+from .plans import api, planner
 from .plans.knowledge import KnowledgeBase
 from .session import session
 from .sources import config
@@ -38,7 +38,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(args.master)
     kb = KnowledgeBase(spark, config.Settings.load(config.dotenv(args.env)), rules(args.rules))
     now = time.time()
-    show = lambda rows: print(json.dumps([r.asDict() for r in rows.limit(500).collect()], default=str, ensure_ascii=False, indent=1))
+
+    def show(rows):
+        """A JSON list of all rows, an object a line, fetched a partition at a time."""
+        print("[", end="")
+        for i, r in enumerate(rows.toLocalIterator()):
+            print(",\n " if i else "", json.dumps(r.asDict(), default=str, ensure_ascii=False), sep="", end="")
+        print("]")
+
     if args.command == "status":
         show(kb.domain_status().orderBy("domain"))
     elif args.command == "diff":
@@ -61,7 +68,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         engine = api.Engine(spark)
         path, *question = args.words
-        out = engine.query_data(path, " ".join(question), {"time_range": "all"}) if args.command == "query" else engine.analyze_file(path)
+        asked = " ".join(question)
+        # nobody can be asked back here: without a period in the question all of them count
+        known = {} if planner.PERIOD_WORD.search(asked) else {"time_range": "all"}
+        out = engine.query_data(path, asked, known) if args.command == "query" else engine.analyze_file(path)
         print(json.dumps(out, default=str, ensure_ascii=False, indent=1))
     return 0
 

@@ -11,6 +11,8 @@ import secrets
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ class Dialogue:
     question: str
     params: dict = field(default_factory=dict)
     pending: list[dict] = field(default_factory=list)
+    other: str | None = None
 
 
 class Engine:
@@ -64,39 +67,54 @@ class Engine:
         if talk is None:
             return {"status": "error", "error": "unknown dialogue"}
         talk.params = planner.refine(talk.params, feedback, talk.pending)
-        return self._step(talk)
+        return self._compare(talk) if talk.other else self._step(talk)
 
     def _step(self, talk: Dialogue) -> dict:
+        """Asks back or answers; whatever a file or its columns make impossible is an error in the result."""
         try:
             card = self.card(talk.path)
-        except ValueError as e:
-            return {"status": "error", "error": str(e), "session": talk.id}
-        talk.pending = planner.clarifications(talk.question, card, talk.params)
-        if talk.pending:
-            return {"status": "clarifying", "session": talk.id, "clarifications": talk.pending}
-        plan = planner.plan(talk.question, card, talk.params)
-        df = tables.load(self.spark, talk.path)
-        if only := talk.params.get("only"):
-            hits = [c for c in card.of_kind("entity", "categorical") if df.where(F.lower(F.trim(F.col(f"`{c}`").cast("string"))) == only.lower()).limit(1).count()]
-            if hits:
-                df = analyst.restrict(df, entity_col=hits[0], entity=only)
-        return {"session": talk.id, "status": "answered", "plan": plan.operation} | answer(df, plan, card)
+            talk.pending = planner.clarifications(talk.question, card, talk.params)
+            if talk.pending:
+                return {"status": "clarifying", "session": talk.id, "clarifications": talk.pending}
+            plan = planner.plan(talk.question, card, talk.params)
+            df = tables.load(self.spark, talk.path)
+            if only := talk.params.get("only"):
+                hits = [c for c in card.of_kind("entity", "categorical") if df.where(F.lower(F.trim(F.col(f"`{c}`").cast("string"))) == only.lower()).limit(1).count()]
+                if hits:
+                    df = analyst.restrict(df, entity_col=hits[0], entity=only)
+            return {"session": talk.id, "status": "answered", "plan": plan.operation} | answer(df, plan, card)
+        except (ValueError, PySparkException, Py4JJavaError) as e:
+            return {"status": "error", "error": first_line(e), "session": talk.id}
 
     def compare_data(self, path_a: str, path_b: str, metric: str | None = None, time: str | None = None) -> dict:
-        a, b = self.card(path_a), self.card(path_b)
-        metric = metric or next((m for m in a.of_kind("metric") if m in b.of_kind("metric")), None)
-        time = time or next((t for t in a.of_kind("time") if t in b.of_kind("time")), None)
-        if not (metric and time):
-            return {"status": "error", "error": "the files share no metric and period columns"}
-        rows = analyst.compare(tables.load(self.spark, path_a), tables.load(self.spark, path_b), metric, time)
-        found = collected(rows.orderBy("period"))
+        """Two files by period. What is asked back is answered by ``refine_query`` with the session's id."""
+        talk = Dialogue(uuid.uuid4().hex[:8], path_a, "compare", {"metric": metric, "time": time}, other=path_b)
+        self.dialogues[talk.id] = talk
+        return self._compare(talk)
+
+    def _compare(self, talk: Dialogue) -> dict:
+        try:
+            a, b = self.card(talk.path), self.card(talk.other)
+            metrics = [m for m in a.of_kind("metric") if m in b.of_kind("metric")]
+            metric = talk.params.get("metric") or (metrics[0] if len(metrics) == 1 else None)
+            time = talk.params.get("time") or next((t for t in a.of_kind("time") if t in b.of_kind("time")), None)
+            if not (metrics or metric) or not time:
+                return {"status": "error", "error": "the files share no metric and period columns", "session": talk.id}
+            if not metric:
+                talk.pending = [{"id": "metric", "kind": "choice", "text": "Which metric?", "choices": metrics}]
+                return {"status": "clarifying", "session": talk.id, "clarifications": talk.pending}
+            rows = analyst.compare(tables.load(self.spark, talk.path), tables.load(self.spark, talk.other), metric, time)
+            found = shown(rows.orderBy("period"))
+        except (ValueError, PySparkException, Py4JJavaError) as e:
+            return {"status": "error", "error": first_line(e), "session": talk.id}
         names = {"value_a": a.name, "value_b": b.name}
-        return {"status": "answered", "rows": found, "chart": render.chart("bar", [r["period"] for r in found], {n: [r[c] for r in found] for c, n in names.items()})}
+        labels = [r["period"] for r in found["rows"]]
+        return {"status": "answered", "session": talk.id, "chart": render.chart("bar", labels, {n: [r[c] for r in found["rows"]] for c, n in names.items()})} | found
 
     def search(self, docs: DataFrame, question: str, n: int = 10) -> list[dict]:
         """BM25 over ``docs (doc_id, name, text)``, else the keyword fallback."""
         t = docs.select("doc_id", F.concat_ws(" ", "name", "text").alias("t"))
-        return collected(search.bm25_texts(t, question, "doc_id", F.col("t"), n)) or collected(search.keyword_fallback(docs, question, "doc_id", F.col("text"), n))
+        return collected(search.bm25_texts(t, question, "doc_id", F.col("t"), n), n) or collected(search.keyword_fallback(docs, question, "doc_id", F.col("text"), n), n)
 
     def ask(self, docs: DataFrame, keywords: DataFrame, question: str, n: int = 5, session: str = "default") -> dict:
         """Routes a question to domains, retrieves from each, withholds confidential documents until acknowledged."""
@@ -105,11 +123,12 @@ class Engine:
         domains = [r["domain"] for r in routes if r["confident"]]
         pool = docs.where(F.col("domain").isin(domains)) if domains else docs
         hits = self.search(pool, question, n)
-        found = self.spark.createDataFrame([(h["doc_id"], float(h["score"])) for h in hits], "doc_id long, score double")
+        kind = pool.schema["doc_id"].dataType.simpleString()
+        found = self.spark.createDataFrame([(h["doc_id"], float(h["score"])) for h in hits], f"doc_id {kind}, score double")
         rows = pool.join(F.broadcast(found), "doc_id")
         flagged = gates.confidential(rows)
-        shown = gates.withhold(rows, flagged.select("path"), session in self.acknowledged)
-        return {"domains": domains, "sources": collected(shown.select("doc_id", "path", "score", "marked").orderBy(F.desc("score"), "doc_id")), "withheld": len(hits) - shown.count()}
+        kept = gates.withhold(rows, flagged.select("path"), session in self.acknowledged)
+        return {"domains": domains, "sources": collected(kept.select("doc_id", "path", "score", "marked").orderBy(F.desc("score"), "doc_id"), n), "withheld": len(hits) - kept.count()}
 
     def check_confidential(self, docs: DataFrame, session: str = "default") -> dict:
         """The first flagged files by path, and the ``total`` that the token opens."""
@@ -126,51 +145,75 @@ class Engine:
 
 
 def collected(df: DataFrame, most: int = SHOWN) -> list[dict]:
+    """The first rows, for tables that have no more, or for reports whose size is asked for."""
     return [r.asDict() for r in df.limit(most).collect()]
 
 
+def shown(df: DataFrame, most: int = SHOWN) -> dict:
+    """The first ``most`` rows, how many there are, and whether that is more than is shown."""
+    rows = collected(df, most + 1)
+    total = df.count() if len(rows) > most else len(rows)
+    return {"rows": rows[:most], "total": total, "truncated": total > most}
+
+
+def first_line(e: Exception) -> str:
+    return str(e).strip().partition("\n")[0][:300]
+
+
 def answer(df: DataFrame, plan: planner.Plan, card: profile.DataCard) -> dict:
-    """Runs a plan: rows, a sentence, chart data and follow-up questions."""
-    rows = analyst.restrict(df, plan.time, plan.period, *(plan.entity or (None, None))) if plan.time else df
+    """Runs a plan: rows with their number, a sentence, chart data and follow-up questions.
+
+    The entity that was asked for restricts every operation; the period all but those that compare periods with each
+    other. Figures in the sentence are counted over all rows, also where only some are shown.
+    """
+    every = analyst.restrict(df, None, None, *(plan.entity or (None, None)))
+    rows = analyst.restrict(every, plan.time, plan.period) if plan.time else every
     follow = [q["question"] for q in planner.questions(card)[2:5]]
     m, g, t = plan.metric, plan.group, plan.time
     out: dict = {"followups": follow, "warnings": list(card.warnings), "chart": None}
     if plan.operation == "summary" or not m:
-        return out | {"rows": [], "answer": f"{card.name}: {card.total_rows} rows, {len(card.columns)} columns, {card.time_range}."}
+        return out | {"rows": [], "total": 0, "truncated": False, "answer": f"{card.name}: {card.total_rows} rows, {len(card.columns)} columns, {card.time_range}."}
     if plan.operation == "attrition" and g and t:
-        lost = analyst.attrition(df, g, t, m)
-        shown = collected(lost.orderBy(F.desc("lost_value"), "entity"))
-        total = lost.count() if len(shown) == SHOWN else len(shown)
-        return out | {"rows": shown, "total": total, "answer": f"{total} {g} are missing from the latest {t}."}
+        found = shown(analyst.attrition(every, g, t, m).orderBy(F.desc("lost_value"), "entity"))
+        return out | found | {"answer": f"{found['total']} {g} are missing from the latest {t}."}
     if plan.operation in ("trend", "compare") and t:
-        found = collected(analyst.trend(rows, m, t).orderBy("nth"), 400)
-        return out | {"rows": found, "answer": f"{m} over {len(found)} periods.", "chart": render.chart("line", [r["period"] for r in found], {m: [r["value"] for r in found]})}
+        found = shown(analyst.trend(rows, m, t).orderBy("nth"), 400)
+        return out | found | {"answer": f"{m} over {found['total']} periods.", "chart": chart_of("line", found, "period", "value", m)}
     if plan.operation == "top" and g:
-        found = collected(analyst.top(rows, m, g, plan.top_n).orderBy("rank"), plan.top_n)
-        return out | {"rows": found, "answer": f"Top {len(found)} {g} by {m}.", "chart": render.chart("bar_horizontal", [r["key"] for r in found], {m: [r["value"] for r in found]})}
+        found = shown(analyst.top(rows, m, g, plan.top_n).orderBy("rank"), plan.top_n)
+        return out | found | {"answer": f"Top {found['total']} {g} by {m}.", "chart": chart_of("bar_horizontal", found, "key", "value", m)}
     if plan.operation == "breakdown" and g:
-        found = collected(analyst.breakdown(rows, m, g).orderBy(F.desc("value"), "key"))
-        return out | {"rows": found, "answer": f"{m} by {g}.", "chart": render.chart("bar", [r["key"] for r in found], {m: [r["value"] for r in found]})}
+        found = shown(analyst.breakdown(rows, m, g).orderBy(F.desc("value"), "key"))
+        total = found["rows"][0]["n_groups"] if found["rows"] else 0
+        found |= {"total": total, "truncated": total > len(found["rows"])}
+        return out | found | {"answer": f"{m} by {g}: {total} groups.", "chart": chart_of("bar", found, "key", "value", m)}
     if plan.operation == "outliers" and g:
-        return out | {"rows": collected(analyst.outliers(rows, m, g).orderBy("key")), "answer": f"{g} with unusual {m}."}
+        found = shown(analyst.outliers(rows, m, g).orderBy("key"))
+        return out | found | {"answer": f"{found['total']} {g} with unusual {m}."}
     if plan.operation == "concentration" and g:
-        return out | {"rows": collected(analyst.gini(rows, m, g)), "answer": f"Concentration of {m} across {g}."}
+        return out | shown(analyst.gini(rows, m, g)) | {"answer": f"Concentration of {m} across {g}."}
     if plan.operation == "growth" and g and t:
-        return out | {"rows": collected(analyst.fastest_growth(df, m, g, t, plan.top_n).orderBy(F.desc("change"), "key")), "answer": f"{g} that grow fastest."}
-    found = collected(analyst.total(rows, m))
-    return out | {"rows": found, "answer": f"Total {m}: {render.money(found[0]['total'])} over {found[0]['n_rows']} rows."}
+        return out | shown(analyst.fastest_growth(every, m, g, t, plan.top_n).orderBy(F.desc("change"), "key"), plan.top_n) | {"answer": f"{g} that grow fastest."}
+    found = shown(analyst.total(rows, m))
+    return out | found | {"answer": f"Total {m}: {render.money(found['rows'][0]['total'])} over {found['rows'][0]['n_rows']} rows."}
+
+
+def chart_of(kind: str, found: dict, label: str, value: str, name: str) -> dict:
+    return render.chart(kind, [r[label] for r in found["rows"]], {name: [r[value] for r in found["rows"]]}, found["total"])
 
 
 def digest_of(df: DataFrame, name: str) -> str:
     """A table's digest in Markdown."""
     card = profile.card(df, name)
-    metrics = [c for c in card.of_kind("metric")][:5]
+    metrics = card.of_kind("metric")
     dimensions = digest.pick_dimensions(card)
-    totals = collected(digest.metric_summary(df, metrics).orderBy("metric")) if metrics else []
+    totals = collected(digest.metric_summary(df, metrics).orderBy("metric"), len(metrics)) if metrics else []
     groups: dict[str, list[dict]] = {}
     if metrics and dimensions:
         for r in collected(digest.totals_by_dimension(df, metrics[0], list(dimensions.values()), 8).orderBy("dimension", F.desc("value"), "key"), 400):
             if r["dimension"] != "TOTAL":
                 groups.setdefault(r["dimension"], []).append(r)
-    words = [s.lower() for c in card.columns if c.kind in ("entity", "categorical") for s in c.samples if len(s) >= 3]
-    return render.table_digest(name, card, totals, groups, list(dict.fromkeys(words))[:25])
+    named = [c for c in card.of_kind("entity", "categorical")]
+    values = [F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(named)]
+    words = collected(digest.keywords(df.select(F.explode(F.array(*values)).alias("v")).select("v.*")), 25) if values else []
+    return render.table_digest(name, card, totals, groups, [r["keyword"] for r in words])

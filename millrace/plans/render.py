@@ -28,15 +28,16 @@ def money(x: float | None) -> str:
     return f"${x / 1e6:.2f}M" if abs(x) >= 1e6 else f"${x / 1e3:.1f}K" if abs(x) >= 1e3 else f"${x:.2f}"
 
 
-def chart(kind: str, labels: Sequence[str], series: dict[str, Sequence[float]], most: int = 25) -> dict:
-    """Chart data with its CSV and, for one series of up to twelve values that aren't negative, a mermaid drawing."""
-    labels = [str(x) for x in labels][:most]
-    series = {k: list(v)[:most] for k, v in series.items()}
+def chart(kind: str, labels: Sequence[str], series: dict[str, Sequence[float]], total: int | None = None) -> dict:
+    """Chart data of all points given, with its CSV and, for one series of up to twelve values that aren't negative, a
+    mermaid drawing. ``total`` tells how many points there are where not all are given."""
+    labels = [str(x) for x in labels]
+    series = {k: list(v) for k, v in series.items()}
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(["label", *series])
     writer.writerows(zip(labels, *series.values(), strict=True))
-    data = {"type": kind, "labels": labels, "series": series, "csv": out.getvalue(), "mermaid": None}
+    data = {"type": kind, "labels": labels, "series": series, "csv": out.getvalue(), "mermaid": None, "total": len(labels) if total is None else total}
     values = next(iter(series.values()), [])
     if len(series) == 1 and 0 < len(labels) <= 12 and all(v is not None and v >= 0 for v in values):
         names = ", ".join('"' + x.replace('"', "'") + '"' for x in labels)
@@ -102,11 +103,16 @@ def document_digest(path: str, sections: list[dict], keywords: list[str], limit:
     return within_budget([lambda m=m, x=x: body(m, x) for m, x in ((200, True), (60, True), (60, False), (20, False), (5, False))], limit)
 
 
-def index_page(domain: str, files: list[dict], limit: int = 3_000) -> str:
-    """A domain's index: a line per file, with fewer keywords as the budget shrinks."""
+#: Lines that an index page can have at most; its byte budget is spent before.
+INDEX_FILES = 1_000
+
+
+def index_page(domain: str, files: list[dict], total: int | None = None, limit: int = 3_000) -> str:
+    """A domain's index: the number of its files and a line per file, with fewer keywords as the budget shrinks."""
+    total = len(files) if total is None else total
 
     def body(n: int) -> str:
-        return f"# {domain}\n\n" + "".join(f"- {f['path']} ({f.get('type', '')})" + (f": {', '.join(f['keywords'][:n])}" if n and f.get("keywords") else "") + "\n" for f in files)
+        return f"# {domain}\n\n{total} files\n\n" + "".join(f"- {f['path']} ({f.get('type', '')})" + (f": {', '.join(f['keywords'][:n])}" if n and f.get("keywords") else "") + "\n" for f in files)
 
     return within_budget([lambda n=n: body(n) for n in (8, 4, 2, 0)], limit)
 
