@@ -167,11 +167,12 @@ def format_key(question: Column) -> Column:
     return F.coalesce(*(F.when(question.rlike(p), F.lit(k)) for k, p in FORMATS.items()))
 
 
-def confidential_reason(path: Column, body: Column, head: int = 4000) -> Column:
-    """``path: word`` or ``body: word`` for the first sign of confidentiality, else null."""
+def confidential_reason(path: Column, body: Column, head: int | None = None) -> Column:
+    """``path: word`` or ``body: word`` for the first sign of confidentiality, else null; ``head`` reads only so many
+    characters of the body."""
     found = lambda c: F.nullif(F.lower(F.regexp_extract(c, CONFIDENTIAL, 0)), F.lit(""))
     words = F.translate(path, "_-", "  ")
-    return F.coalesce(F.concat(F.lit("path: "), found(words)), F.concat(F.lit("body: "), found(F.substring(body, 1, head))))
+    return F.coalesce(F.concat(F.lit("path: "), found(words)), F.concat(F.lit("body: "), found(F.substring(body, 1, head) if head else body)))
 
 
 def effective_length(text: Column) -> Column:

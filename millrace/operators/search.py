@@ -18,7 +18,8 @@ from ..functions import text as T
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 
 
-def chunk(docs: DataFrame, size: int = 3500, overlap: int = 200, cap: int | None = 60) -> DataFrame:
+def chunk(docs: DataFrame, size: int = 3500, overlap: int = 200, cap: int | None = None) -> DataFrame:
+    """All chunks of each document, or with ``cap`` at most so many of its head, centre and tail."""
     pieces = docs.select("*", T.chunks(F.col("text"), size, overlap).alias("__pieces"))
     each = pieces.select(*(c for c in docs.columns if c != "text"), F.size("__pieces").alias("chunk_total"), F.posexplode("__pieces").alias("chunk_index", "text"))
     if cap:
@@ -83,7 +84,12 @@ def bm25_texts(docs: DataFrame, query: str, id_col: str, text: Column, n: int =
         tf = F.col(f"tf{i}")
         part = part + qf * w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = per.crossJoin(F.broadcast(stats)).select(id_col, part.alias("raw")).where("raw > 0")
-    # the best row is in the answer, so a window over these few rows knows its score
+    return head_shares(scored, id_col, n)
+
+
+def head_shares(scored: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The n best rows of ``(id, raw)`` with their share of the best score. The best row is in the answer, so a window
+    over these few rows knows its score."""
     head = scored.orderBy(F.desc("raw"), id_col).limit(n + 1)
     share = F.col("raw") / F.max("raw").over(Window.partitionBy())
     return head.select(id_col, share.alias("score")).orderBy(F.desc(F.round("score", 9)), id_col).limit(n)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import embed
 from ..functions import scalars as S
 from ..operators import gates, index, routing, search
-from ..sources import config, documents
+from ..sources import config, documents, postings
 from ..sources.store import Store
-from . import render
+from . import plugins, render
 
 
 class KnowledgeBase:
@@ -43,10 +43,27 @@ class KnowledgeBase:
         if counts["changed"] or counts["removed"]:
             kept = index.delete(self.store.read("chunks"), gone)
             self.store.replace("chunks", index.upsert(kept, self.chunks(fresh)))
-            for r in self.store.domains().collect():
-                self.store.set_meta(r["domain"], {"n_files": r["n_files"], "model": embed.NAME}, now)
+            self.store.replace_meta({r["domain"]: {"n_files": r["n_files"], "model": embed.NAME} for r in self.store.domains().collect()}, now)
+            self.postings()
         return counts
 
+    def worded(self) -> DataFrame:
+        return self.store.read("chunks").select("chunk_id", "path", "domain", F.concat_ws(" ", "name", "text").alias("t"))
+
+    def postings(self) -> str | None:
+        """The folder of the postings of the newest chunks, built if it isn't there yet; those of older ones go."""
+        known = self.store.versions("chunks")
+        if not known:
+            return None
+        folder, top = f"{self.store.root}/postings/v={known[-1]}", f"{self.store.root}/postings"
+        path, files = self.store._fs(f"{folder}/corpus/_SUCCESS")
+        if not files.exists(path):
+            top_path, files = self.store._fs(top)
+            if files.exists(top_path):
+                files.delete(top_path, True)
+            postings.build(self.worded(), "chunk_id", F.col("t"), folder, F.col("domain"))
+        return folder
+
     def status(self) -> DataFrame:
         """``path, state`` for files on disk and in the index."""
         return index.diff(self.files(), self.store.files())
@@ -86,7 +103,10 @@ class KnowledgeBase:
         rows = self.store.read("chunks")
         rows = rows.where(F.col("domain") == domain) if domain else rows
         worded = rows.select("chunk_id", "path", F.concat_ws(" ", "name", "text").alias("t"))
-        lexical = search.bm25_texts(worded, question, "chunk_id", F.col("t"), 4 * n)
+        stored = self.postings()
+        if stored is None:
+            return self.spark.createDataFrame([], "path string, score double")
+        lexical = postings.bm25(self.spark, stored, question, "chunk_id", "string", 4 * n, domain or "")
         vectors = worded.select("chunk_id", embed.hashed(F.col("t")).alias("v"))
         asked = self.spark.range(1).select(embed.hashed(F.lit(question)).alias("v"))
         near = search.nearest(vectors, asked, "chunk_id", "v", 4 * n).where("score > 0")
@@ -95,6 +115,9 @@ class KnowledgeBase:
         if fused.isEmpty():
             whole = rows.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).getField("text"), " ").alias("text"))
             fused = search.keyword_fallback(whole, question, "path", F.col("text"), n)
+        if plugins.find("reranker") and not fused.isEmpty():
+            best = rows.join(F.broadcast(fused), "path").groupBy("path").agg(F.max("score").alias("score"), F.min_by("text", "chunk_index").alias("text"))
+            fused = plugins.rerank(best, question, "path", "text", n)
         return search.weigh(fused, weights, "path") if weights is not None else fused
 
     def route(self, question: str) -> list[str]:
@@ -113,31 +136,37 @@ class KnowledgeBase:
     def context(self, question: str, acknowledged: bool = False) -> dict:
         """What a model would read: the pinned and best files of the routed domains within their size, without
         confidential ones unless acknowledged."""
-        parts, sources, withheld = [], [], 0
-        for name in self.route(question):
-            rules = self.domains.get(name, config.Domain(name))
-            hits = self.search(question, name, rules.top_n)
-            chunks = self.store.read("chunks").where(F.col("domain") == name)
-            pinned = chunks.select("path").distinct()
-            match = F.lit(False)
-            for p in rules.pins:
-                match = match | S.glob_like(F.col("path"), f"*{p}")
-            boosted = F.lit(False)
-            for b in rules.boosts:
-                boosted = boosted | F.contains(F.lower("path"), F.lit(b.lower()))
-            ordered = search.pin(hits, pinned.where(match), boosted, "path").where(F.col("place") <= 2 * rules.top_n)
-            whole = chunks.join(F.broadcast(ordered.select("path")), "path", "left_semi").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
-            rows = ordered.join(whole, "path")
-            shown = gates.withhold(rows, gates.confidential(rows).select("path"), acknowledged)
-            found = shown.orderBy("place").limit(rules.top_n).select("path", "score", S.trimmed_to(F.col("text"), rules.max_chars).alias("text")).collect()
-            withheld += gates.confidential(rows.where(F.col('place') <= rules.top_n)).count() if not acknowledged else 0
-            parts += [f"## {r['path']}\n\n{r['text']}" for r in found]
-            sources += [{"path": r["path"], "score": r["score"]} for r in found]
-        return {"text": "\n\n".join(parts), "sources": sources, "withheld": withheld}
+        each = [self.domain_context(name, question, acknowledged=acknowledged) for name in self.route(question)]
+        parts = [f"## {s['path']}\n\n{s['text']}" for found in each for s in found["sources"]]
+        sources = [{"path": s["path"], "score": s["score"]} for found in each for s in found["sources"]]
+        return {"text": "\n\n".join(parts), "sources": sources, "withheld": sum(found["withheld"] for found in each)}
+
+    def domain_context(self, name: str, question: str, n: int | None = None, acknowledged: bool = False, weights: DataFrame | None = None) -> dict:
+        """One domain's pinned and best files, ``n`` or as many as its rules say: path, score and text of each."""
+        rules = self.domains.get(name, config.Domain(name))
+        n = n or rules.top_n
+        hits = self.search(question, name, n, weights)
+        chunks = self.store.read("chunks").where(F.col("domain") == name)
+        match = F.lit(False)
+        for p in rules.pins:
+            match = match | S.glob_like(F.col("path"), f"*{p}")
+        boosted = F.lit(False)
+        for b in rules.boosts:
+            boosted = boosted | F.contains(F.lower("path"), F.lit(b.lower()))
+        ordered = search.pin(hits, chunks.select("path").distinct().where(match), boosted, "path").where(F.col("place") <= 2 * n)
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n")
+        rows = ordered.join(chunks.join(F.broadcast(ordered.select("path")), "path", "left_semi").groupBy("path").agg(text.alias("text")), "path")
+        shown = gates.withhold(rows, gates.confidential(rows).select("path"), acknowledged)
+        found = shown.orderBy("place").limit(n).select("path", "score", S.trimmed_to(F.col("text"), rules.max_chars).alias("text")).collect()
+        withheld = gates.confidential(rows.where(F.col("place") <= n)).count() if not acknowledged else 0
+        return {"domain": name, "sources": [r.asDict() for r in found], "withheld": withheld}
 
     def index_page(self, domain: str) -> str:
-        rows = self.store.files().where(F.col("domain") == domain).orderBy("path").limit(500).collect()
-        return render.index_page(domain, [{"path": r["path"], "type": PurePosixPath(r["path"]).suffix.lstrip(".")} for r in rows])
+        """A domain's index, with as many files as its bytes allow and the number of all."""
+        mine = self.store.files().where(F.col("domain") == domain)
+        rows = mine.orderBy("path").limit(render.INDEX_FILES + 1).collect()
+        total = mine.count() if len(rows) > render.INDEX_FILES else len(rows)
+        return render.index_page(domain, [{"path": r["path"], "type": PurePosixPath(r["path"]).suffix.lstrip(".")} for r in rows[: render.INDEX_FILES]], total)
 
     def manifest(self) -> str:
         rows = self.store.domains().orderBy("domain").collect()

@@ -31,7 +31,7 @@ class Settings:
     store: str = "store"
     chunk_size: int = 3500
     chunk_overlap: int = 200
-    chunk_cap: int = 60
+    chunk_cap: int = 0
     top_n: int = 5
     max_chars: int = 6000
     session_hours: float = 2.0

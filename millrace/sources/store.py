@@ -85,6 +85,13 @@ class Store:
         fresh = self.spark.createDataFrame([(domain, json.dumps(meta, sort_keys=True), now)], SCHEMAS["domain_meta"])
         self.replace("domain_meta", index.upsert(self.read("domain_meta"), fresh, "domain"))
 
+    def replace_meta(self, metas: dict[str, dict], now: float) -> None:
+        """Metadata of all domains in one new version."""
+        import json
+
+        rows = [(d, json.dumps(m, sort_keys=True), now) for d, m in metas.items()]
+        self.replace("domain_meta", self.spark.createDataFrame(rows, SCHEMAS["domain_meta"]))
+
     def meta(self, domain: str) -> dict:
         import json
 
@@ -146,9 +153,17 @@ class Store:
         self.replace("messages", self.read("messages").where(F.col("session_id") != session))
 
     def rotate(self, table: str, before: float) -> DataFrame:
-        """Moves log rows older than ``before`` to an archive table folder and returns them."""
-        rows = self.read(table)
-        old = rows.where(F.col("ts") < before)
-        old.write.mode("append").parquet(f"{self.root}/{table}-archive")
-        self.replace(table, rows.where(F.col("ts") >= before))
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}-archive")
+        """Moves log rows older than ``before`` to an archive table and returns it.
+
+        Each rotated version has an archive folder of its own, which a repeated run overwrites: a crash in between
+        neither loses rows nor archives them twice, since versions whose rotation didn't finish are rotated again.
+        """
+        known = self.versions(table)
+        if known:
+            rows = self.read(table)
+            rows.where(F.col("ts") < before).write.mode("overwrite").parquet(f"{self.root}/{table}-archive/from={known[-1]}")
+            self.replace(table, rows.where(F.col("ts") >= before))
+        path, files = self._fs(f"{self.root}/{table}-archive")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}-archive/from=*")
