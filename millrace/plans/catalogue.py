@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import analyst, digest, folders, gates, index, logs, profile, routing, search, summaries
+from ..sources import postings
 from ..streaming import events
+from . import api, planner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -354,6 +356,36 @@ def doc_sentences(spark, d):
     return each.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
+# ---- answers ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SALES}, p AS (SELECT customer_name AS k, order_year AS y, {SUM} AS v FROM sales GROUP BY ALL), l AS (SELECT max(y) AS y FROM p)
+    SELECT 'attrition' AS plan, CAST(count(*) AS BIGINT) AS total, count(*) || ' customer_name are missing from the latest order_year.' AS answer
+    FROM (SELECT k FROM p GROUP BY k HAVING max(y) < (SELECT y FROM l))"""
+)
+def answer_attrition(spark, d):
+    """What the planner answers: the count takes all lost customers, however few are shown."""
+    return answered(spark, d, "which customers churned", {"group": "customer_name", "time": "order_year", "metric": "revenue"})
+
+
+@query(
+    f"""WITH {SALES} SELECT 'total' AS plan, CAST(1 AS BIGINT) AS total,
+    'Total revenue: $' || format('{{:.2f}}', {SUM} / 1e6) || 'M over ' || count(*) || ' rows.' AS answer FROM sales WHERE lower(region) = 'asia' AND order_year = 1996"""
+)
+def answer_total_entity(spark, d):
+    return answered(spark, d, "total revenue in 1996", {"metric": "revenue", "time": "order_year", "entity": ("region", "Asia")})
+
+
+def answered(spark: SparkSession, d: str, question: str, params: dict) -> DataFrame:
+    """A question's answer over the sales table as a row."""
+    df = sales(spark, d)
+    card = profile.card(df, "sales")
+    plan = planner.plan(question, card, params)
+    out = api.answer(df, plan, card)
+    return spark.createDataFrame([(plan.operation, out["total"], out["answer"])], "plan string, total long, answer string")
+
+
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 
 QUESTION = "thation onst ther heon the"
@@ -368,6 +400,7 @@ _BM25 = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' ||
     raw AS (SELECT p.doc_id, sum(qf * CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
       FROM post p JOIN q USING (term) JOIN stats USING (term) JOIN sizes USING (doc_id), flr, corpus GROUP BY 1),
     bm AS (SELECT doc_id, s / max(s) OVER () AS score FROM raw WHERE s > 0 ORDER BY round(s / max(s) OVER (), 9) DESC, doc_id LIMIT {n})"""
+_ENGLISH = "FROM documents WHERE lang = 'en'"
 _COS = """cosines AS (SELECT v.vec_id AS doc_id, greatest(0, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))) AS score
       FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
     cs AS (SELECT * FROM cosines ORDER BY round(score, 9) DESC, doc_id LIMIT {n})"""
@@ -378,10 +411,27 @@ def lexical(spark: SparkSession, d: str, n: int) -> DataFrame:
     return search.bm25_texts(t, QUESTION, "doc_id", F.col("t"), n)
 
 
-def stored_lexical(spark: SparkSession, d: str, n: int) -> DataFrame:
-    t = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("t"))
-    sizes = t.select("doc_id", F.size(T.search_tokens(F.col("t"))).cast("long").alias("dl"))
-    return search.bm25(search.terms(t, "doc_id", F.col("t")), sizes, QUESTION, "doc_id", n)
+_built: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share; a local one only on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="millrace-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def built_postings(spark: SparkSession, d: str) -> str:
+    """The postings of ``documents`` by language, built for the first question of an application and kept for others."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        folder = scratch(spark, "millrace-postings")
+        postings.build(read(spark, d, "documents"), "doc_id", F.concat_ws(" ", "source", "text"), folder, F.coalesce("lang", F.lit("none")))
+        _built[key] = folder
+    return _built[key]
 
 
 def vectors(spark: SparkSession, d: str, n: int) -> DataFrame:
@@ -396,7 +446,13 @@ def search_bm25(spark, d):
 
 @query(f"WITH {_BM25.format(q=QUESTION, n=10)} SELECT doc_id, round(score, 6) AS score FROM bm")
 def search_bm25_postings(spark, d):
-    return stored_lexical(spark, d, 10).select("doc_id", F.round("score", 6).alias("score"))
+    return postings.bm25(spark, built_postings(spark, d), QUESTION, "doc_id", "long", 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25.format(q=QUESTION, n=10).replace('FROM documents', _ENGLISH)} SELECT doc_id, round(score, 6) AS score FROM bm")
+def search_bm25_domain(spark, d):
+    """BM25 within one language as the domain that a question was routed to; statistics are that domain's own."""
+    return postings.bm25(spark, built_postings(spark, d), QUESTION, "doc_id", "long", 10, "en").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_COS.format(n=10)} SELECT doc_id, round(score, 6) AS score FROM cs")
@@ -524,11 +580,7 @@ def keyword_ownership(spark, d):
     return routing.owned_keywords(keyword_table(spark))
 
 
-_ANSWERS = "answers AS (SELECT role || '-' || conv_id AS domain, text || ' total revenue is ' || (conv_id % 7) || '00.' AS answer FROM conversations WHERE turn < 2)"
-
-
-def answers(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").where("turn < 2").selectExpr("concat(role, '-', conv_id) as domain", "concat(text, ' total revenue is ', conv_id % 7, '00.') as answer")
+_ANSWERS = "answers AS (SELECT role || '-' || conv_id AS domain, text || ' total revenue is ' || (conv_id % 7) || '00.' AS answer FROM conversations)"
 
 
 @query(
@@ -538,38 +590,10 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     WHERE subject <> '' AND value <> '' GROUP BY 1 HAVING count(DISTINCT domain) > 1 AND count(DISTINCT value) > 1"""
 )
 def merge_conflicts(spark, d):
-    return routing.conflicts(answers(spark, d))
-
-
-_ALL_ANSWERS = "answers AS (SELECT role || '-' || conv_id AS domain, text || ' total revenue is ' || (conv_id % 7) || '00.' AS answer FROM conversations)"
-
-
-@query(
-    rf"""WITH {_ALL_ANSWERS}, f AS (SELECT domain, unnest(regexp_extract_all(lower(answer), '(?:[a-z]+\s+){{2}}(?:is|was|are|were|of|:)?\s*\$?[0-9][0-9,.]*')) AS s FROM answers),
-    v AS (SELECT DISTINCT domain, regexp_replace(regexp_extract(s, '^([a-z]+\s+[a-z]+)', 1), '\s+', ' ', 'g') AS subject, regexp_replace(regexp_extract(s, '([0-9][0-9,.]*)$', 1), '[,.]+$|,', '', 'g') AS value FROM f)
-    SELECT subject, count(DISTINCT domain) AS n_domains, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM v
-    WHERE subject <> '' AND value <> '' GROUP BY 1 HAVING count(DISTINCT domain) > 1 AND count(DISTINCT value) > 1"""
-)
-def merge_conflicts_all(spark, d):
-    """``merge_conflicts`` over all turns."""
     every = read(spark, d, "conversations").selectExpr("concat(role, '-', conv_id) as domain", "concat(text, ' total revenue is ', conv_id % 7, '00.') as answer")
     return routing.conflicts(every)
 
 
-@query(
-    r"""WITH a AS (SELECT lang AS domain, string_agg(text, ' ' ORDER BY doc_id) AS answer FROM documents WHERE doc_id < 40 GROUP BY 1),
-    s AS (SELECT domain, [trim(x) FOR x IN regexp_split_to_array(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF length(trim(x)) > 20] AS l FROM a),
-    e AS (SELECT domain, unnest(range(0, len(l))) AS nth, unnest(l) AS sentence FROM s),
-    w AS (SELECT domain, nth, sentence, unnest(list_distinct(regexp_extract_all(lower(sentence), '[a-z]{4,}'))) AS word FROM e),
-    o AS (SELECT word, count(DISTINCT domain) AS n FROM (SELECT domain, unnest(regexp_extract_all(lower(answer), '[a-z]{4,}')) AS word FROM a) GROUP BY 1),
-    c AS (SELECT domain, nth, sentence, count(*) FILTER (n = 1) AS n_new FROM w JOIN o USING (word) GROUP BY ALL HAVING count(*) FILTER (n = 1) >= 3)
-    SELECT domain, arg_min(sentence, nth) AS sentence, arg_min(n_new, nth) AS n_new FROM c GROUP BY 1"""
-)
-def merge_complementary(spark, d):
-    some = read(spark, d, "documents").where("doc_id < 40").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("l"))
-    return routing.complementary(some.select(F.col("lang").alias("domain"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("answer")))
-
-
 @query(
     r"""WITH a AS (SELECT doc_id AS domain, text AS answer FROM documents),
     s AS (SELECT domain, [trim(x) FOR x IN regexp_split_to_array(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF length(trim(x)) > 20] AS l FROM a),
@@ -579,22 +603,11 @@ def merge_complementary(spark, d):
     c AS (SELECT domain, nth, sentence, count(*) FILTER (n = 1) AS n_new FROM w JOIN o USING (word) GROUP BY ALL HAVING count(*) FILTER (n = 1) >= 3)
     SELECT domain, arg_min(sentence, nth) AS sentence, arg_min(n_new, nth) AS n_new FROM c GROUP BY 1"""
 )
-def merge_complementary_all(spark, d):
-    """``merge_complementary`` over all documents, each an answer of its own."""
+def merge_complementary(spark, d):
+    """Each document is an answer of its own."""
     return routing.complementary(read(spark, d, "documents").selectExpr("doc_id as domain", "text as answer"))
 
 
-@query(
-    """WITH f AS (SELECT item_id AS question_id, lower(text) AS fact FROM benchmark), t AS (SELECT item_id AS question_id, lower(d.text) AS text FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id * 7)
-    SELECT question_id, count(*) AS n_facts, count(*) FILTER (coalesce(contains(text, fact), false)) AS n_found, round(count(*) FILTER (coalesce(contains(text, fact), false)) / count(*), 4) AS recall
-    FROM f JOIN t USING (question_id) GROUP BY 1"""
-)
-def eval_recall(spark, d):
-    facts = read(spark, d, "benchmark").selectExpr("item_id as question_id", "text as fact")
-    texts = read(spark, d, "documents").where("doc_id % 7 = 0").selectExpr("doc_id div 7 as question_id", "text")
-    return routing.recall(facts, texts)
-
-
 @query(
     """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[a-z0-9]+')) AS term FROM documents),
     sizes AS (SELECT doc_id, len(regexp_extract_all(lower(source || ' ' || text), '[a-z0-9]+')) AS dl FROM documents),
@@ -610,7 +623,7 @@ def eval_recall(spark, d):
     m AS (SELECT b.item_id, b.text AS fact, bool_or(coalesce(contains(lower(h.text), lower(b.text)), false)) AS found FROM benchmark b LEFT JOIN h ON h.item_id = b.item_id GROUP BY ALL)
     SELECT item_id AS question_id, count(*) AS n_facts, count(*) FILTER (found) AS n_found, round(count(*) FILTER (found) / count(*), 4) AS recall FROM m GROUP BY 1"""
 )
-def eval_recall_all(spark, d):
+def eval_recall(spark, d):
     """The recall of benchmark passages in the ten texts that BM25 over all documents gives for each."""
     facts = read(spark, d, "benchmark").selectExpr("item_id as question_id", "text as fact")
     docs = read(spark, d, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "text").alias("t"))
@@ -785,22 +798,12 @@ _STEM = "CASE WHEN t LIKE '%ing' AND length(t) >= 6 THEN t[:-4] WHEN t LIKE '%es
 _GATE = r"[x FOR x IN regexp_extract_all(lower({c}), '\p{{L}}+') IF length(x) <= 40 AND length(x) >= CASE WHEN regexp_full_match(x, '[a-z]+') THEN 3 ELSE 2 END]"
 
 
-@query(
-    f"""WITH a AS (SELECT item_id, unnest({_GATE.format(c='text')}) AS t FROM benchmark), c AS (SELECT DISTINCT item_id, {_STEM} AS token FROM a),
-    b AS (SELECT unnest({_GATE.format(c='text')}) AS t FROM documents WHERE lang = 'en'), k AS (SELECT DISTINCT {_STEM} AS token FROM b)
-    SELECT item_id AS claim_id, count(*) AS n_claims, count(k.token) AS n_grounded, round(count(k.token) / count(*), 2) AS score FROM c LEFT JOIN k ON k.token = c.token GROUP BY 1"""
-)
-def gate_grounding(spark, d):
-    corpus = read(spark, d, "documents").where("lang = 'en'").select(F.explode(F.transform(T.gate_tokens(F.col("text")), T.stem)).alias("token"))
-    return routing.grounding(read(spark, d, "benchmark").selectExpr("item_id as claim_id", "text"), corpus)
-
-
 @query(
     f"""WITH a AS (SELECT item_id, unnest({_GATE.format(c='text')}) AS t FROM benchmark), c AS (SELECT DISTINCT item_id, {_STEM} AS token FROM a),
     b AS (SELECT unnest({_GATE.format(c='text')}) AS t FROM documents), k AS (SELECT DISTINCT {_STEM} AS token FROM b)
     SELECT item_id AS claim_id, count(*) AS n_claims, count(k.token) AS n_grounded, round(count(k.token) / count(*), 2) AS score FROM c LEFT JOIN k ON k.token = c.token GROUP BY 1"""
 )
-def gate_grounding_all(spark, d):
+def gate_grounding(spark, d):
     """``gate_grounding`` against the documents of all languages."""
     corpus = read(spark, d, "documents").select(F.explode(F.transform(T.gate_tokens(F.col("text")), T.stem)).alias("token"))
     return routing.grounding(read(spark, d, "benchmark").selectExpr("item_id as claim_id", "text"), corpus)
@@ -815,8 +818,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     name = f"millrace_{uuid.uuid4().hex}"
-    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return events.drain(stream, name, mode, f"{root}/millrace-stream-{name}")
+    return events.drain(stream, name, mode, scratch(stream.sparkSession, "millrace-stream"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -28,7 +28,15 @@ def unique(events: DataFrame, at: str, keys: list[str], late: str = "1 hour") ->
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now and returns the result as a table; for tests and batch-like use."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over what is there now and returns the result as a table beside its checkpoint. A batch that is
+    repeated replaces its own rows; in ``complete`` mode the last batch has them all."""
+    out = f"{checkpoint}-rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
+
+    run = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    if run.lastProgress is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/batch=*")

@@ -7,14 +7,14 @@ from millrace.plans.api import SHOWN, Engine
 def test_conflicts_of_later_turns(spark, tmp_path):
     rows = [(i, t, "user", f"The later budget is {i}00." if t == 5 else "Nothing.") for i in (1, 2) for t in range(8)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert {r.subject: r["values"] for r in catalogue.QUERIES["merge_conflicts_all"](spark, str(tmp_path)).collect()}["later budget"] == "100|200"
+    assert {r.subject: r["values"] for r in catalogue.QUERIES["merge_conflicts"](spark, str(tmp_path)).collect()}["later budget"] == "100|200"
 
 
 def test_complementary_sentences_of_all_documents(spark, tmp_path):
     common = "Every report repeats these common words."
     rows = [(i, f"{common} Only this mentions {' '.join(chr(97 + i % 26) * n for n in range(5 + i // 26 * 3, 8 + i // 26 * 3))} here.") for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = catalogue.QUERIES["merge_complementary_all"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["merge_complementary"](spark, str(tmp_path)).collect()
     assert {(r.domain, r.n_new) for r in got} == {(i, 3) for i in range(60)} and all(r.sentence.startswith("Only this") for r in got)
 
 
@@ -31,7 +31,7 @@ def test_answers_count_beyond_what_they_show(spark, tmp_path):
 def test_grounding_in_every_language(spark, tmp_path):
     spark.createDataFrame([(1, "the garden wall", "en"), (2, "der alte Turm", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "garden Turm nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = catalogue.QUERIES["gate_grounding_all"](spark, str(tmp_path)).first()
+    got = catalogue.QUERIES["gate_grounding"](spark, str(tmp_path)).first()
     assert (got.n_claims, got.n_grounded) == (3, 2)
 
 
@@ -39,5 +39,5 @@ def test_recall_over_all_documents(spark, tmp_path):
     rows = [(i, f"{'A rare passage on harbours' if i == 10 else 'Plain words'} and number {i}.", "src0") for i in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "rare passage on harbours"), (2, "nowhere to be found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = catalogue.QUERIES["eval_recall_all"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["eval_recall"](spark, str(tmp_path)).collect()
     assert {(r.question_id, r.n_found, r.recall) for r in got} == {(1, 1, 1.0), (2, 0, 0.0)}
