@@ -1,8 +1,8 @@
 """Text and structure of document files, from ``binaryFile`` tables.
 
 A document becomes text, a status and events ``(kind, text, level, place)``: headings, paragraphs, table rows, list
-items. DOCX, PPTX and note files are read with the standard library; PDF and image text needs plug-ins, and without
-one the status is ``unsupported``.
+items. DOCX, PPTX, PDF and note files are read with the standard library; image text needs a plug-in, and without one
+the status is ``unsupported``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -51,31 +52,60 @@ def plain(content: bytes) -> Iterator[Event]:
             yield "para", block.strip(), 0, str(i)
 
 
+_FENCE = re.compile(r"^[ \t]*(?P<mark>```+|~~~+)[^\n]*\n.*?(?:^[ \t]*(?P=mark)[^\n]*$|\Z)", re.S | re.M)
+_BLOCK = re.compile(r"^(?P<signs>#{1,6})[ \t]+(?P<title>[^\n]*?)[ \t]*#*[ \t]*$|(?P<para>(?:^(?!#{1,6}[ \t])[ \t]*\S[^\n]*(?:\n|\Z))+)", re.M)
+
+
 @reader("md")
 def markdown(content: bytes) -> Iterator[Event]:
-    """Headings by number signs, fenced code left out, lines joined into paragraphs."""
-    fenced, lines = False, []
-
-    def paragraph():
-        if lines:
-            yield "para", " ".join(lines), 0, ""
-            lines.clear()
-
-    body = re.sub(r"\A---\n.*?\n---\n", "", content.decode("utf-8", "ignore"), flags=re.S)
-    for line in body.splitlines():
-        if re.match(r"\s*(```|~~~)", line):
-            fenced = not fenced
-            yield from paragraph()
-        elif fenced:
-            continue
-        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
-            yield from paragraph()
-            yield "heading", m[2], len(m[1]), ""
-        elif line.strip():
-            lines.append(line.strip())
+    """What is left without front matter and fenced code is a sequence of headings and runs of lines."""
+    text = content.decode("utf-8", "ignore").replace("\r\n", "\n")
+    text = _FENCE.sub("\n", re.sub(r"\A---\n.*?\n---\n", "", text, flags=re.S))
+    for block in _BLOCK.finditer(text):
+        if block["signs"]:
+            yield "heading", block["title"], len(block["signs"]), ""
         else:
-            yield from paragraph()
-    yield from paragraph()
+            yield "para", " ".join(block["para"].split()), 0, ""
+
+
+_STREAM = re.compile(rb"<<(?P<dict>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<data>.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\((?P<text>(?:\\.|[^\\()])*)\)|<(?P<hex>[0-9A-Fa-f\s]+)>|(?P<move>\bT[dDm*]|\bET)|(?P<gap>-?\d+(?:\.\d+)?)(?=[^\[\]]*\]\s*TJ)", re.S)
+_ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|(.))", re.S)
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+@reader("pdf")
+def pdf(content: bytes) -> Iterator[Event]:
+    """Text that a file's content streams show, plain or deflated, a paragraph for each stream and its place. Fonts with
+    codes of their own, and encrypted files, show nothing that can be read here; they come out empty."""
+    if not content.startswith(b"%PDF") or b"/Encrypt" in content:
+        return
+    page = 0
+    for found in _STREAM.finditer(content):
+        data = found["data"]
+        if b"/FlateDecode" in found["dict"]:
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error:
+                continue
+        if b"BT" not in data or not re.search(rb"\bT[jJ]\b|['\"]\s", data):
+            continue
+        page += 1
+        parts: list[str] = []
+        for m in _SHOWN.finditer(data):
+            if m["move"]:
+                parts.append("\n")
+            elif m["gap"]:
+                parts.append(" " if float(m["gap"]) < -200 else "")
+            elif m["text"] is not None:
+                raw = _ESCAPE.sub(lambda e: bytes([int(e[1], 8) & 255]) if e[1] else _ESCAPED.get(e[2], e[2]), m["text"])
+                parts.append(raw.decode("utf-16-be", "ignore") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "ignore"))
+            else:
+                digits = re.sub(rb"\s", b"", m["hex"])
+                parts.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "ignore"))
+        text = "\n".join(line for line in (" ".join(x.split()) for x in "".join(parts).split("\n")) if line)
+        if any(c.isalnum() for c in text):
+            yield "para", text, 0, f"Page {page}"
 
 
 @reader("docx")
