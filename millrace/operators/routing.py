@@ -10,9 +10,16 @@ from ..functions import text as T
 
 
 def keyword_hits(questions: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``(question_id, domain, hits)``. ``keywords (domain, keyword)`` is a short list, broadcast to the questions, so
-    this is one pass over them."""
-    pairs = questions.join(F.broadcast(keywords), S.mentions(F.col("question"), F.col("keyword")))
+    """``(question_id, domain, hits)``. A question's runs of words, as long as the longest keyword has, meet
+    ``keywords (domain, keyword)`` in a join on their text; what meets is tested as ``mentions`` does."""
+    parts = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    known = keywords.withColumn("__words", parts(F.col("keyword"))).withColumn("__first", F.get("__words", F.lit(0)))
+    # a keyword of other characters only, or one that a question may go on from, has no first word of its own
+    words = F.array_distinct(F.flatten(F.transform(parts(F.col("question")), lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "es$", "")))))
+    asked = questions.select("question_id", "question", F.explode(words).alias("__first"))
+    met = asked.join(known.where("__first is not null"), "__first").select("question_id", "question", "domain", "keyword").distinct()
+    odd = questions.select("question_id", "question").join(known.where("__first is null").select("domain", "keyword"))
+    pairs = met.unionByName(odd).where(S.mentions(F.col("question"), F.col("keyword")))
     return pairs.groupBy("question_id", "domain").agg(F.count_distinct("keyword").alias("hits"))
 
 
