@@ -1,4 +1,4 @@
-"""Command line: ``python -m millrace.cli status|diff|doctor|reindex|stale|sessions|manifest|profile|ask …``."""
+"""Command line: ``python -m millrace.cli status|diff|doctor|reindex|stale|sessions|manifest|context|domains|profile|ask|query …``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import time
 from pathlib import Path
 
 from .plans import api, planner
+from .plans.assistant import Assistant
+from .plans.contextstore import ContextStore
 from .plans.knowledge import KnowledgeBase
 from .session import session
 from .sources import config
@@ -28,7 +30,7 @@ def ago(seconds: float) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="millrace", description=__doc__)
-    parser.add_argument("command", choices=["status", "diff", "doctor", "reindex", "stale", "sessions", "manifest", "profile", "ask", "query"])
+    parser.add_argument("command", choices=["status", "diff", "doctor", "reindex", "stale", "sessions", "manifest", "profile", "ask", "query", "context", "domains"])
     parser.add_argument("words", nargs="*")
     parser.add_argument("--env", default=".env")
     parser.add_argument("--rules", default="rules")
@@ -64,7 +66,13 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "manifest":
         print(kb.manifest())
     elif args.command == "ask":
-        print(kb.context(" ".join(args.words))["text"])
+        out = Assistant(kb).ask(" ".join(args.words), now=now)
+        print(out["text"])
+        print("\n".join(["", f"Confidence: {out['confidence']}", *(f"- {s['path']} ({s['score']:.2f})" for s in out["sources"]), *(f"! {w}" for w in out["warnings"])]))
+    elif args.command == "context":
+        print(json.dumps(ContextStore(kb).sync()))
+    elif args.command == "domains":
+        print(json.dumps(Assistant(kb).list_domains(), ensure_ascii=False, indent=1))
     else:
         engine = api.Engine(spark)
         path, *question = args.words

@@ -28,6 +28,11 @@ class KnowledgeBase:
         wanted = documents.indexable(listed, list(self.settings.ignored), documents.noindex_folders(self.spark, self.settings.root))
         return wanted.withColumn("hash", F.md5("content"))
 
+    def readmes(self) -> DataFrame:
+        """README files, which are read as a whole and not indexed."""
+        listed = documents.listing(self.spark, self.settings.root, "*[Rr][Ee][Aa][Dd][Mm][Ee]*")
+        return listed.where(F.lower("name").rlike(r"^readme(\.(md|txt))?$"))
+
     def chunks(self, files: DataFrame) -> DataFrame:
         texts = documents.extract(files).join(files.select("path", "domain", "name", "hash"), "path")
         rows = texts.select(F.col("path").alias("doc_id"), "domain", "name", "path", "hash", "text")
