@@ -438,7 +438,9 @@ def class_blocks(members: DataFrame, half: int) -> DataFrame:
     """``(node, v)`` from ``(node, v, root)``: all pairs of blocks of up to about ``half`` members that can hold different
     classes. Classes of that size or more have blocks of their own, which don't meet each other; smaller ones share."""
     members = members.select("node", "v", "root")
+    # stored, so that Spark can split a hot class in the join
     sizes = members.groupBy("node", "root").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.col("n") >= half, F.col("root")).otherwise(-1))
+    sizes = stored(sizes, "classes_here")
     kinds = sizes.groupBy("node", "kind").agg(F.ceil(F.sum("n") / half).cast("long").alias("blocks"))
     own = members.join(sizes.select("node", "root", "kind"), ["node", "root"]).join(kinds, ["node", "kind"])
     own = own.select("node", "kind", "v", F.xxhash64("kind", F.pmod(F.xxhash64("v"), "blocks")).alias("mine"))
