@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, exact_dedup, html, minhash, packing, pii, quality, sharding, url_lists
+from . import bpe, embeddings, exact_dedup, filter_audit, html, minhash, packing, perplexity, pii, quality, sharding, url_lists, vector_codes
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -98,13 +98,88 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_url_lists, op3_minhash, op4_sharding, op5_quality, op6_embeddings, op7_bpe, op8_pii, op9_exact_dedup, op10_html)
-}
+    for f in (
+        op1_packing, op2_url_lists, op3_minhash, op4_sharding, op5_quality, op6_embeddings, op7_bpe, op8_pii, op9_exact_dedup, op10_html,
+        op11_filter_audit, op12_vector_codes, op13_quality_rules,
+    )
+}
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Assigning and averaging, once per round. Distances are sums of products of whole numbers, exact as doubles."""
+    steps, book = [], "b0"
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+          SELECT vec_id, p.pos, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+            SELECT vec_id, p.pos, b.k, list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y) AS d FROM p JOIN {book} b ON b.pos = p.pos
+          ) p GROUP BY vec_id, p.pos
+        )""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+          SELECT pos, k, list(v ORDER BY i) AS y FROM (
+            SELECT pos, k, i, floor(sum(x[i]) / count(*)) AS v FROM (SELECT p.pos, a.k, p.x, unnest(range(1, len(p.x) + 1)) AS i FROM p JOIN a{r} a ON a.vec_id = p.vec_id AND a.pos = p.pos) GROUP BY pos, k, i
+          ) GROUP BY pos, k
+        ), b{r + 1} AS MATERIALIZED (SELECT b.pos, b.k, coalesce(s.y, b.y) AS y FROM {book} b LEFT JOIN s{r} s ON s.pos = b.pos AND s.k = b.k)""")
+            book = f"b{r + 1}"
+    return f"""
+        WITH v AS MATERIALIZED (
+          SELECT vec_id, label, [floor({scale} * x::DOUBLE) FOR x IN embedding] AS x, len(embedding) // {parts} AS w FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (SELECT vec_id, pos, x[pos * w + 1 : (pos + 1) * w] AS x FROM v, range({parts}) r(pos)),
+        b0 AS MATERIALIZED (
+          SELECT pos, k, x AS y FROM (SELECT pos, x, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS k FROM p) WHERE k < {entries}
+        ), {", ".join(steps)},
+        c AS (SELECT sha256(string_agg(array_to_string([CAST(CAST(v AS BIGINT) AS VARCHAR) FOR v IN y], ','), ',' ORDER BY pos, k)) AS h FROM {book}),
+        e AS (SELECT vec_id, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, c.h AS codebooks_sha256
+        FROM v JOIN e ON e.vec_id = v.vec_id, c
+    """
 
 
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": r"""
+        WITH t AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+        m AS (
+          SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+                 + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INTEGER)
+                 + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(t.doc_id > min(t.doc_id) OVER (PARTITION BY text) AS INTEGER) AS mask
+          FROM t LEFT JOIN g ON g.doc_id = t.doc_id
+        ), n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+        f(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (
+          SELECT [p.c, q.c, r.c, s.c, u.c] AS l, [p.b, q.b, r.b, s.b, u.b] AS b FROM f p, f q, f r, f s, f u WHERE p.b + q.b + r.b + s.b + u.b = 31 AND len(list_distinct([p.c, q.c, r.c, s.c, u.c])) = 5
+        ), x AS (SELECT array_to_string(l, '') AS filter_order, step, CAST(b[step] AS INTEGER) AS bit, CAST(coalesce(list_sum(b[1 : step - 1]), 0) AS INTEGER) AS before FROM o, range(1, 6) r(step)),
+        y AS (
+          SELECT part, filter_order, step, bit,
+                 sum(n) FILTER (mask & (bit | before) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+                 sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+                 sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost
+          FROM n, x GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+        FROM y
+    """,
+    "op12_vector_codes": _codes_sql(),
     "op2_url_lists": r"""
         WITH p AS (
           SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched_at,

@@ -113,5 +113,16 @@ def small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column, pieces: int = 128) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in ``weight`` how many of ``rows`` have it. A key with
+    over 1 / ``pieces`` of all rows is dealt by ``spread`` over several tasks, each with a copy of the table's row.
+    Fewer than ``pieces`` keys can be that heavy, so their list is broadcast."""
+    total = table.agg(F.sum(weight)).first()[0] or 1
+    share = F.ceil(F.col(weight) * pieces / total).cast("long")
+    heavy = table.select(*keys, share.alias("pieces")).where("pieces > 1")
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("piece", F.pmod(spread, F.coalesce("pieces", F.lit(1).cast("long")))).drop("pieces")
+    return dealt.join(table.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), share - 1))), [*keys, "piece"]).drop("piece")
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
