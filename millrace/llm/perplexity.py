@@ -8,13 +8,14 @@ perplexity must lie between the fences of its language.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import buffers
@@ -53,12 +54,11 @@ def rule_counts(data: np.ndarray, bounds: np.ndarray, symbols: str) -> dict[str,
     covered = np.zeros(len(starts) + 2, bool)
     if len(starts) > 2:
         word = buffers.repeats(data, starts, ends, texts).astype(np.int64)
-        pair = np.unique((word[:-1] << 32) | word[1:], return_inverse=True)[1].astype(np.int64)
-        triple = (pair[:-1] << 32) | word[2:]
+        pair = pd.factorize((word[:-1] << 32) | word[1:])[0]
+        of = pd.factorize((pair[:-1] << 32) | word[2:])[0]
         within = texts[:-2] == texts[2:]
-        _, of, n = np.unique(triple, return_inverse=True, return_counts=True)
         # word numbers differ between texts, so no window of one text equals one of another
-        at = np.flatnonzero(within & (n[of] > 1))
+        at = np.flatnonzero(within & (np.bincount(of)[of] > 1))
         for k in range(3):
             covered[at + k] = True
     # the first line with a content has the smallest start, whichever of them names the content
@@ -73,31 +73,66 @@ def rule_counts(data: np.ndarray, bounds: np.ndarray, symbols: str) -> dict[str,
 
 # -- characters and their n-grams
 
+#: Characters that are hashed at once; longer texts are blocks of their own.
+BLOCK = 1 << 20
+
 
 def normal(text: str) -> str:
-    """What the model reads of a text: lower case, digits as 0, runs of white space and controls as one blank."""
-    return re.sub(r"[\s\x00-\x1f]+", " ", re.sub(r"\d", "0", text.lower())).strip()
+    """What the model reads of a text: lower case, digits as 0, runs of white space as one blank."""
+    text = text.lower().replace(PAD, " ")
+    for digit in "123456789":
+        text = text.replace(digit, "0")
+    return " ".join(text.split())
 
 
 @dataclass
 class Grams:
-    """The n-grams of a batch: characters, where each n-gram ends, and its text."""
+    """The distinct n-grams of some texts of one language: characters, where each n-gram first ends, which n-gram each
+    character of the texts ends, and the text of each character."""
 
+    lang: str
+    rows: np.ndarray
     joined: str
     codes: np.ndarray
     ends: np.ndarray
-    texts: np.ndarray
+    gram: np.ndarray
+    text: np.ndarray
     lengths: np.ndarray
 
 
-def grams_of(texts: list[str]) -> Grams:
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each value, where each number first is)."""
+    number, found = pd.factorize(values)
+    first = np.empty(len(found), np.int64)
+    first[number[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return number, first
+
+
+def grams_of(langs: list[str], texts: list[str]) -> Iterator[Grams]:
+    """All texts by language, in blocks. Texts without characters aren't in any."""
     lead = PAD * (ORDER - 1)
-    texts = [normal(t) for t in texts]
-    joined = "".join(lead + t for t in texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    of = np.repeat(np.arange(len(texts)), lengths)
-    ends = np.arange(len(of)) + (of + 1) * (ORDER - 1)
-    return Grams(joined, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), ends, of, lengths)
+    waiting: dict[str, list[tuple[int, str]]] = {}
+    sizes: dict[str, int] = {}
+
+    def block(lang: str) -> Grams:
+        rows, parts = zip(*waiting.pop(lang), strict=True)
+        sizes.pop(lang)
+        joined = lead + lead.join(parts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        ends = np.flatnonzero(codes)
+        hashed = windows_hash(codes, language_seed(lang))[ends - ORDER + 1]
+        gram, first = distinct(hashed)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        return Grams(lang, np.array(rows), joined, codes, ends[first], gram, np.repeat(np.arange(len(parts)), lengths), lengths)
+
+    for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+        if text := normal(text):
+            if sizes.get(lang, 0) + len(text) > BLOCK and lang in waiting:
+                yield block(lang)
+            waiting.setdefault(lang, []).append((i, text))
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+    for lang in list(waiting):
+        yield block(lang)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -113,11 +148,20 @@ def language_seed(lang: str) -> np.uint64:
     return np.uint64(h)
 
 
-def spans_hash(codes: np.ndarray, ends: np.ndarray, length: int, seeds: np.ndarray) -> np.ndarray:
+def spans_hash(codes: np.ndarray, ends: np.ndarray, length: int, seed: np.uint64) -> np.ndarray:
     """The hash of the ``length`` characters up to and with each end."""
-    h = seeds + np.uint64(length)
+    h = np.full(len(ends), (int(seed) + length) % (1 << 64), np.uint64)
     for k in range(length):
-        h = h + (codes[ends - k] + np.uint64(1)) * _FACTORS[k]
+        h += (codes[ends - k] + np.uint64(1)) * _FACTORS[k]
+    return mixed(h)
+
+
+def windows_hash(codes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """``spans_hash`` of ``ORDER`` characters for every end there is."""
+    n = len(codes) - ORDER + 1
+    h = np.full(n, (int(seed) + ORDER) % (1 << 64), np.uint64)
+    for k in range(ORDER):
+        h += (codes[ORDER - 1 - k : ORDER - 1 - k + n] + np.uint64(1)) * _FACTORS[k]
     return mixed(h)
 
 
@@ -133,20 +177,12 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), _texts(b.column(1))
-            g = grams_of(texts)
-            if not len(g.ends):
-                continue
-            seed_of = {lang: language_seed(lang) for lang in set(langs)}
-            seeds = np.array([seed_of[lang] for lang in langs], np.uint64)[g.texts]
-            _, at, of, n = np.unique(spans_hash(g.codes, g.ends, ORDER, seeds), return_index=True, return_inverse=True, return_counts=True)
-            once = np.unique(of.astype(np.int64) * len(texts) + g.texts) // len(texts)
-            docs = np.bincount(once, minlength=len(at))
-            where, ends = g.texts[at].tolist(), g.ends[at].tolist()
-            yield pa.record_batch(
-                [pa.array([langs[t] for t in where]), pa.array([g.joined[e - ORDER + 1 : e + 1] for e in ends]), pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64))],
-                names=["lang", "gram", "n", "docs"],
-            )
+            for g in grams_of(b.column(0).to_pylist(), _texts(b.column(1))):
+                n = np.bincount(g.gram, minlength=len(g.ends))
+                holders = np.bincount(pd.unique(g.gram * len(g.rows) + g.text) // len(g.rows), minlength=len(g.ends))
+                grams = pa.array([g.joined[e - ORDER + 1 : e + 1] for e in g.ends.tolist()])
+                lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([g.lang])).cast(pa.string())
+                yield pa.record_batch([lang, grams, pa.array(n), pa.array(holders)], names=["lang", "gram", "n", "docs"])
 
     return docs.mapInArrow(count, "lang string, gram string, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
@@ -207,21 +243,30 @@ class HashArrays:
     back: np.ndarray
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(p, back) of each hash, 0 and 1 of those that aren't there."""
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        """(p, back) of each hash, 0 and 1 of those that aren't there. Sorted hashes are found in neighbouring memory."""
+        order = np.argsort(wanted)
+        at = np.empty(len(wanted), np.int64)
+        at[order] = np.searchsorted(self.keys, wanted[order])
+        at = np.minimum(at, len(self.keys) - 1)
         there = self.keys[at] == wanted
         return np.where(there, self.p[at], 0.0), np.where(there, self.back[at], 1.0)
 
-    def log_p(self, codes: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        """The log-probability of each end's character after those before it."""
-        base, back = self.find(spans_hash(codes, ends, 0, seeds))
-        value = np.where(base > 0, base, 1e-6)  # a language that the model doesn't know
-        for k in range(1, ORDER + 1):
-            p, further = self.find(spans_hash(codes, ends, k, seeds))
-            if k > 1:
-                back = self.find(spans_hash(codes, ends - 1, k - 1, seeds))[1]
-            value = p + back * value
-        return np.log(np.maximum(value, 1e-30))
+    def p_after(self, codes: np.ndarray, ends: np.ndarray, seed: np.uint64, k: int = ORDER) -> np.ndarray:
+        """The probability of each end's character after the ``k - 1`` before it. Every order looks up its distinct
+        n-grams and contexts only."""
+        if k == 0:
+            base = self.find(np.array([empty_hash(seed)]))[0]
+            return np.full(len(ends), base[0] if base[0] > 0 else 1e-6)  # else a language that the model doesn't know
+        hashed = spans_hash(codes, ends, k, seed)
+        number, first = distinct(hashed)
+        ends = ends[first]
+        context, context_first = distinct(spans_hash(codes, ends - 1, k - 1, seed))
+        back = self.find(spans_hash(codes, ends[context_first] - 1, k - 1, seed))[1][context]
+        return (self.find(hashed[first])[0] + back * self.p_after(codes, ends, seed, k - 1))[number]
+
+
+def empty_hash(seed: np.uint64) -> np.uint64:
+    return spans_hash(np.zeros(1, np.uint64), np.zeros(1, np.int64), 0, seed)[0]
 
 
 def hash_arrays(model: DataFrame) -> HashArrays:
@@ -230,13 +275,13 @@ def hash_arrays(model: DataFrame) -> HashArrays:
     def hash_(batches):
         for b in batches:
             grams = [x or "" for x in b.column(1).to_pylist()]
-            seeds = {lang: language_seed(lang) for lang in set(b.column(0).to_pylist())}
-            seeds_of = np.array([seeds[lang] for lang in b.column(0).to_pylist()], np.uint64)
+            langs = b.column(0).to_pandas()
+            number, names = pd.factorize(langs)
             keys, size = np.zeros(len(grams), np.uint64), np.fromiter(map(len, grams), np.int64, len(grams))
-            for k in np.unique(size).tolist():
-                at = np.flatnonzero(size == k)
+            for lang, k in sorted(set(zip(number.tolist(), size.tolist(), strict=True))):
+                at = np.flatnonzero((size == k) & (number == lang))
                 codes = np.frombuffer("".join(grams[i] for i in at.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                keys[at] = spans_hash(codes, np.arange(1, len(at) + 1) * k - 1, k, seeds_of[at])
+                keys[at] = spans_hash(codes, np.arange(1, len(at) + 1) * k - 1, k, language_seed(names[lang]))
             yield pa.record_batch([pa.array(keys.view(np.int64)), b.column(2).cast(pa.float32()), b.column(3).cast(pa.float32())], names=["key", "p", "back"])
 
     found = model.select("lang", "gram", "p", "back").mapInArrow(hash_, "key long, p float, back float").toArrow()
@@ -292,14 +337,10 @@ def measured(df: DataFrame, model: DataFrame, symbols: str, most_entries: int =
                     found[c].append(v.astype(np.int64))
             columns = [pa.array(np.concatenate(found[c])) for c in COUNTS]
             if broadcast is not None:
-                langs, g = b.column(1).to_pylist(), grams_of(_texts(b.column(2)))
-                total = np.zeros(len(langs))
-                if len(g.ends):
-                    seed_of = {lang: language_seed(lang) for lang in set(langs)}
-                    seeds = np.array([seed_of[lang] for lang in langs], np.uint64)[g.texts]
-                    _, at, of = np.unique(spans_hash(g.codes, g.ends, ORDER, seeds), return_index=True, return_inverse=True)
-                    total = np.bincount(g.texts, broadcast.value.log_p(g.codes, g.ends[at], seeds[at])[of], minlength=len(langs))
-                value = np.where(g.lengths > 0, -total / np.maximum(g.lengths, 1), np.nan)
+                value = np.full(b.num_rows, np.nan)
+                for g in grams_of(b.column(1).to_pylist(), _texts(b.column(2))):
+                    p = broadcast.value.p_after(g.codes, g.ends, language_seed(g.lang))
+                    value[g.rows] = -np.bincount(g.text, np.log(np.maximum(p, 1e-30))[g.gram]) / g.lengths
                 last = pa.array(value, from_pandas=True)
             else:
                 last = b.column(3)
@@ -311,17 +352,12 @@ def measured(df: DataFrame, model: DataFrame, symbols: str, most_entries: int =
 
     def occurrences(batches):
         for b in batches:
-            rids, g = b.column(0).to_numpy(), grams_of(_texts(b.column(2)))
-            if not len(g.ends):
-                continue
-            langs = b.column(1).to_pylist()
-            h = spans_hash(g.codes, g.ends, ORDER, mixed(g.texts.astype(np.uint64)))
-            _, at, n = np.unique(h, return_index=True, return_counts=True)
-            where = g.texts[at]
-            yield pa.record_batch(
-                [pa.array(rids[where]), pa.array([langs[t] for t in where.tolist()]), pa.array([g.joined[e - ORDER + 1 : e + 1] for e in g.ends[at].tolist()]), pa.array(n.astype(np.int64))],
-                names=["rid", "lang", "gram", "n"],
-            )
+            rids = b.column(0).to_numpy()
+            for g in grams_of(b.column(1).to_pylist(), _texts(b.column(2))):
+                pairs, first = distinct(g.gram * len(g.rows) + g.text)
+                n, ends, text = np.bincount(pairs), g.ends[g.gram[first]].tolist(), g.text[first]
+                grams = pa.array([g.joined[e - ORDER + 1 : e + 1] for e in ends])
+                yield pa.record_batch([pa.array(rids[g.rows[text]]), pa.array([g.lang] * len(n)), grams, pa.array(n)], names=["rid", "lang", "gram", "n"])
 
     wanted = stored(df.select("rid", "lang", "text").mapInArrow(occurrences, "rid long, lang string, gram string, n long"), "wanted")
     values = stored(_resolved(wanted.groupBy("lang", "gram").agg(F.count("*").alias("rows")), model), "values")
