@@ -184,8 +184,7 @@ class Assistant:
 
     def warnings(self, domains: list[str], now: float) -> list[str]:
         """Domains of the answer whose index is out of step, and how many of their files are old."""
-        status = {r["domain"]: r for r in self.kb.domain_status().where(F.col("domain").isin(*domains)).collect()} if domains else {}
-        out = [f"{d}: the index is out of step" for d, r in sorted(status.items()) if r["n_missing"] or r["n_stale"] or r["n_orphaned"]]
+        out = [f"{d}: the index is out of step" for d in self.kb.out_of_step() if d in domains] if domains else []
         old = self.kb.stale_files(now).groupBy(F.substring_index("path", "/", 1).alias("domain")).agg(F.count("*").alias("n"))
         return out + [f"{r['domain']}: {r['n']} files are older than {self.kb.settings.stale_days} days" for r in old.where(F.col("domain").isin(*domains)).orderBy("domain").collect()] if domains else out
 

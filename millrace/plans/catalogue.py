@@ -406,12 +406,7 @@ _COS = """cosines AS (SELECT v.vec_id AS doc_id, greatest(0, list_dot_product(v.
     cs AS (SELECT * FROM cosines ORDER BY round(score, 9) DESC, doc_id LIMIT {n})"""
 
 
-def lexical(spark: SparkSession, d: str, n: int) -> DataFrame:
-    t = read(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "text").alias("t"))
-    return search.bm25_texts(t, QUESTION, "doc_id", F.col("t"), n)
-
-
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -424,9 +419,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table's files do."""
+    return tuple(spark.read.format("binaryFile").load(path).agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def built_postings(spark: SparkSession, d: str) -> str:
-    """The postings of ``documents`` by language, built for the first question of an application and kept for others."""
-    key = (spark.sparkContext.applicationId, d)
+    """The postings of ``documents`` by language, built for the first question of an application and kept for others until
+    a file of the table changes."""
+    key = (spark.sparkContext.applicationId, d, *state_of(spark, f"{d}/documents.parquet"))
     if key not in _built:
         folder = scratch(spark, "millrace-postings")
         postings.build(read(spark, d, "documents"), "doc_id", F.concat_ws(" ", "source", "text"), folder, F.coalesce("lang", F.lit("none")))
@@ -434,6 +435,10 @@ def built_postings(spark: SparkSession, d: str) -> str:
     return _built[key]
 
 
+def lexical(spark: SparkSession, d: str, n: int) -> DataFrame:
+    return postings.bm25(spark, built_postings(spark, d), QUESTION, "doc_id", "long", n)
+
+
 def vectors(spark: SparkSession, d: str, n: int) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return search.nearest(v, v.where("doc_id = 0"), "doc_id", "embedding", n)
@@ -626,9 +631,8 @@ def merge_complementary(spark, d):
 def eval_recall(spark, d):
     """The recall of benchmark passages in the ten texts that BM25 over all documents gives for each."""
     facts = read(spark, d, "benchmark").selectExpr("item_id as question_id", "text as fact")
-    docs = read(spark, d, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "text").alias("t"))
-    hits = search.bm25_each(docs.select("doc_id", "t"), facts.withColumnRenamed("fact", "question"), "doc_id", F.col("t"))
-    return routing.recall(facts, hits.join(docs.select("doc_id", "text"), "doc_id").select("question_id", "text"))
+    hits = postings.bm25_each(spark, built_postings(spark, d), facts.withColumnRenamed("fact", "question"), "doc_id")
+    return routing.recall(facts, hits.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("question_id", "text"))
 
 
 # ---- logs ------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import embed
 from ..functions import scalars as S
 from ..operators import gates, index, routing, search
-from ..sources import config, documents, postings
+from ..sources import config, documents, postings, vectorindex
 from ..sources.store import Store
 from . import plugins, render
 
@@ -19,6 +20,7 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, settings: config.Settings, domains: dict[str, config.Domain] | None = None):
         self.spark, self.settings, self.domains = spark, settings, domains or {}
         self.store = Store(spark, settings.store)
+        self.held = plugins.Cache()
 
     # ---- index
 
@@ -50,6 +52,7 @@ class KnowledgeBase:
             self.store.replace("chunks", index.upsert(kept, self.chunks(fresh)))
             self.store.replace_meta({r["domain"]: {"n_files": r["n_files"], "model": embed.NAME} for r in self.store.domains().collect()}, now)
             self.postings()
+            self.vectors()
         return counts
 
     def worded(self) -> DataFrame:
@@ -57,16 +60,25 @@ class KnowledgeBase:
 
     def postings(self) -> str | None:
         """The folder of the postings of the newest chunks, built if it isn't there yet; those of older ones go."""
+        return self._derived("postings", "corpus", lambda folder: postings.build(self.worded(), "chunk_id", F.col("t"), folder, F.col("domain")))
+
+    def vectors(self) -> vectorindex.VectorIndex | None:
+        """The inverted lists of the newest chunks' vectors, likewise."""
+        rows = self.worded().select("chunk_id", "domain", embed.hashed(F.col("t")).alias("v"))
+        folder = self._derived("vectors", "centroids", lambda folder: vectorindex.build(rows, "chunk_id", "v", folder, scope_col="domain"))
+        return folder and vectorindex.VectorIndex(self.spark, folder)
+
+    def _derived(self, name: str, last: str, build: Callable[[str], None]) -> str | None:
         known = self.store.versions("chunks")
         if not known:
             return None
-        folder, top = f"{self.store.root}/postings/v={known[-1]}", f"{self.store.root}/postings"
-        path, files = self.store._fs(f"{folder}/corpus/_SUCCESS")
+        folder, top = f"{self.store.root}/{name}/v={known[-1]}", f"{self.store.root}/{name}"
+        path, files = self.store._fs(f"{folder}/{last}/_SUCCESS")
         if not files.exists(path):
             top_path, files = self.store._fs(top)
             if files.exists(top_path):
                 files.delete(top_path, True)
-            postings.build(self.worded(), "chunk_id", F.col("t"), folder, F.col("domain"))
+            build(folder)
         return folder
 
     def status(self) -> DataFrame:
@@ -78,6 +90,13 @@ class KnowledgeBase:
         count = lambda s: F.count_if(F.col("state") == s).alias(f"n_{s}")
         return per.groupBy("domain").agg(*(count(s) for s in ("ok", "stale", "missing", "orphaned")))
 
+    def out_of_step(self) -> list[str]:
+        """Domains whose files and index differ. Found again once a file's size or time of change or the index is another."""
+        listed = documents.listing(self.spark, self.settings.root).agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "mtime"))).first()
+        stamp = (*listed, *self.store.versions("chunks")[-1:])
+        differ = self.domain_status().where("n_missing > 0 or n_stale > 0 or n_orphaned > 0").select("domain")
+        return self.held.get("out of step", lambda: sorted(r["domain"] for r in differ.collect()), stamp)
+
     def stale_files(self, now: float) -> DataFrame:
         age = S.age_days(F.col("mtime"), F.timestamp_seconds(F.lit(now)))
         return self.files().select("path", age.alias("age_days")).where(F.col("age_days") >= self.settings.stale_days)
@@ -112,9 +131,8 @@ class KnowledgeBase:
         if stored is None:
             return self.spark.createDataFrame([], "path string, score double")
         lexical = postings.bm25(self.spark, stored, question, "chunk_id", "string", 4 * n, domain or "")
-        vectors = worded.select("chunk_id", embed.hashed(F.col("t")).alias("v"))
-        asked = self.spark.range(1).select(embed.hashed(F.lit(question)).alias("v"))
-        near = search.nearest(vectors, asked, "chunk_id", "v", 4 * n).where("score > 0")
+        asked = self.spark.range(1).select(embed.hashed(F.lit(question)).alias("v")).first()["v"]
+        near = self.vectors().nearest(asked, "chunk_id", 4 * n, scope=domain or "").where("score > 0")
         by_file = lambda hits: search.best_chunk(worded.select("chunk_id", "path").join(F.broadcast(hits), "chunk_id"), "path")
         fused = search.fuse(by_file(near), by_file(lexical), "path", n)
         if fused.isEmpty():

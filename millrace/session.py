@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -26,6 +28,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def carry(*names: str) -> None:
+    """Classes of these modules travel with their code. Streams plan Python sources and start stateful processors in
+    processes beside the driver, which don't get what ``ship`` sends."""
+    for name in names:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """Adaptive execution with skew handling, Arrow transfer and UTC; further settings by keyword, dots as ``__``."""
     builder = SparkSession.builder.appName("millrace")

@@ -1,62 +1,160 @@
-"""Stored postings: terms of all rows, written once and read by the terms of a question only.
+"""Stored postings in blocks, from which BM25 answers one question or many.
 
-A folder holds ``postings (id, scope, term, tf, dl)`` and ``stats (scope, term, idf)``, both partitioned by a hash of the
-term, and ``corpus (scope, avgdl, floor)``. The scope is a row's domain; the empty scope stands for all rows.
+Rows are dealt into ranges of about a thousand by their id, and a block holds the postings of one term in one range, with
+its largest frequency and its shortest row. That gives what the range can score at most for a question, so ranges which
+can't reach the question's best rows are never read. A folder holds ``blocks``, sorted by term, so that a question for
+few terms opens few row groups; ``stats (scope, term, idf)``; and ``corpus (scope, n, avgdl, floor)``. The scope is a
+row's domain; the empty scope stands for all rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search
+from ..session import ship
 
-BUCKETS = 64
+#: Rows in a range, about.
+RANGE_ROWS = 1024
+#: Ranges of a question that are scored first, to learn what the others must reach.
+FIRST = 3
+#: Weighted terms of questions that are sent to all tasks; more are joined.
+ASKED_ROWS = 1_000_000
+#: Scores are compared as sums of doubles in any order.
+SLACK = 1e-6
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def counted(rows: DataFrame, id_col: str, text: Column, scope: Column) -> DataFrame:
+    """``id, scope, dl, term, tf``: the terms of each row, counted where the row is; a row without terms and every other
+    one also has the term '' with tf 0, which counts rows."""
+    ship(rows.sparkSession)
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def count(batches):
+        word = re.compile("[a-z0-9]+")
+        for b in batches:
+            at, dl, terms, tf = [], [], [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                found = Counter(word.findall(t or ""))
+                n = found.total()
+                found[""] = 0
+                at += [i] * len(found)
+                dl += [n] * len(found)
+                terms += found.keys()
+                tf += found.values()
+            at = pa.array(at, pa.int64())
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(dl, pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.int64())], names=["id", "scope", "dl", "term", "tf"])
+
+    read = rows.select(F.col(id_col).alias("id"), F.coalesce(scope, F.lit("")).alias("scope"), F.lower(text).alias("text"))
+    return read.mapInArrow(count, f"id {kind}, scope string, dl long, term string, tf long")
 
 
 def build(rows: DataFrame, id_col: str, text: Column, folder: str, scope: Column | None = None) -> None:
-    """Writes the postings of ``rows``. Rows without tokens count in the number of rows and in their mean length."""
-    scope = F.lit("") if scope is None else scope
-    tokens = rows.select(F.col(id_col).alias("id"), scope.alias("scope"), T.search_tokens(text).alias("tokens"))
-    each = tokens.select("id", "scope", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = each.groupBy("id", "scope", "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket(F.col("term")))
-    postings.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    """Writes the postings of ``rows``, whose ids differ. Rows without tokens count in the number of rows and in their
+    mean length. Terms are shuffled once, as one row for each term of a row."""
     spark = rows.sparkSession
+    ranges = max(1, rows.count() // RANGE_ROWS)
+    each = counted(rows, id_col, text, F.lit("") if scope is None else scope)
+    blocks = each.groupBy("term", "scope", F.pmod(F.xxhash64("id"), F.lit(ranges)).alias("range")).agg(
+        F.count("*").alias("n"), F.sum("dl").alias("length"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("id", "tf", "dl")).alias("postings")
+    )
+    # a common term has many ranges, so it lies in many files
+    ordered = blocks.repartitionByRange("term", "range", "scope").sortWithinPartitions("term", "range", "scope")
+    ordered.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/blocks")
+    heads = spark.read.parquet(f"{folder}/blocks").select("term", "scope", "n", "length")
     every = lambda df: df.unionByName(df.where("scope != ''").withColumn("scope", F.lit("")))
-    df = every(spark.read.parquet(f"{folder}/postings").groupBy("scope", "term").agg(F.count("*").alias("df"))).groupBy("scope", "term").agg(F.sum("df").alias("df"))
-    sizes = every(tokens.groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.size("tokens").cast("long")).alias("length")))
-    sizes = sizes.groupBy("scope").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    sizes = every(heads.where("term = ''").groupBy("scope").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
+    sizes = sizes.groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
+    sizes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/sizes")
+    sizes = spark.read.parquet(f"{folder}/sizes")
+    df = every(heads.where("term != ''").groupBy("scope", "term").agg(F.sum("n").alias("df"))).groupBy("scope", "term").agg(F.sum("df").alias("df"))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    stats = df.join(F.broadcast(sizes), "scope").select("scope", "term", idf.alias("idf"), bucket(F.col("term")).alias("bucket"))
-    stats.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/stats")
+    stats = df.join(sizes, "scope").select("scope", "term", idf.alias("idf"))
+    stats.repartitionByRange("term", "scope").sortWithinPartitions("term", "scope").write.mode("overwrite").parquet(f"{folder}/stats")
     floor = spark.read.parquet(f"{folder}/stats").groupBy("scope").agg((F.avg("idf") * search.EPSILON).alias("floor"))
-    corpus = sizes.join(floor, "scope", "left").select("scope", (F.col("length") / F.col("n")).alias("avgdl"), "floor")
-    corpus.coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
+    sizes.join(floor, "scope", "left").coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def _part(w: Column | str, tf: Column | str, dl: Column | str) -> Column:
+    k, b = search.K1, search.B
+    w, tf, dl = (F.col(c) if isinstance(c, str) else c for c in (w, tf, dl))
+    return w * tf * (k + 1) / (tf + k * (1 - b + b * dl / F.col("avgdl")))
+
+
+def weights(spark: SparkSession, folder: str, asked: DataFrame, scope: str = "") -> DataFrame:
+    """``question_id, term, w, avgdl`` of ``asked (question_id, term, qf)``, for terms that the rows of ``scope`` have."""
+    corpus = spark.read.parquet(f"{folder}/corpus").where(F.col("scope") == scope)  # one row
+    known = spark.read.parquet(f"{folder}/stats").where(F.col("scope") == scope).join(F.broadcast(corpus), "scope")
+    return asked.join(known, "term").select("question_id", "term", "avgdl", (F.col("qf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("w"))
+
+
+def _blocks(spark: SparkSession, folder: str, scope: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/blocks")
+    return rows.where(F.col("scope") == scope) if scope else rows
+
+
+def _scored(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``question_id, id, raw`` over the blocks that ``wanted (question_id, term, w, avgdl, scope, range)`` names."""
+    hits = blocks.select("term", "scope", "range", "postings").join(wanted, ["term", "scope", "range"]).select("question_id", "w", "avgdl", F.explode("postings").alias("p"))
+    return hits.groupBy("question_id", F.col("p.id").alias("id")).agg(F.sum(_part("w", "p.tf", "p.dl")).alias("raw")).where("raw > 0")
+
+
+def reachable(spark: SparkSession, folder: str, asked: DataFrame, n: int, scope: str = "") -> tuple[DataFrame, DataFrame]:
+    """(blocks wanted, what all ranges could score) for each question: ``wanted`` as ``_scored`` takes it, of the ranges
+    that may hold one of the question's ``n`` best rows; ``question_id, scope, range, most, pairs`` of all ranges."""
+    w = weights(spark, folder, asked, scope).cache()
+    w_ = F.broadcast(w) if w.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS else w
+    blocks = _blocks(spark, folder, scope)
+    most = _part(F.greatest("w", F.lit(0.0)), "max_tf", "min_dl")
+    heads = blocks.select("term", "scope", "range", "n", "max_tf", "min_dl").join(w_, "term")
+    bounds = heads.groupBy("question_id", "scope", "range").agg(F.sum(most).alias("most"), F.sum("n").alias("pairs")).cache()
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("most"), "scope", "range"))
+    first = bounds.withColumn("place", place).where(F.col("place") <= FIRST).join(w_, "question_id")
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("raw")))
+    needed = _scored(blocks, first).withColumn("rank", rank).where(F.col("rank") == n).select("question_id", F.col("raw").alias("needed"))
+    kept = bounds.join(needed, "question_id", "left").where((F.col("most") > 0) & (F.col("most") >= F.coalesce("needed", F.lit(0.0)) - SLACK))
+    return kept.select("question_id", "scope", "range").join(w_, "question_id"), bounds
+
+
+def terms_of(questions: DataFrame) -> DataFrame:
+    """``question_id, term, qf`` of ``questions (question_id, question)``."""
+    return questions.select("question_id", F.explode(T.search_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qf"))
+
+
+def bm25_each(spark: SparkSession, folder: str, questions: DataFrame, id_col: str, n: int = 10, scope: str = "") -> DataFrame:
+    """``question_id, id, raw``: the ``n`` best rows of each of ``questions (question_id, question)``, by scores rounded to
+    six places and then by id, as ``search.bm25_each`` finds them. Only ranges are scored that can hold one of them."""
+    wanted, _ = reachable(spark, folder, terms_of(questions), n, scope)
+    scored = _scored(_blocks(spark, folder, scope), wanted)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("raw", 6)), "id"))
+    return scored.withColumn("place", place).where(F.col("place") <= n).select("question_id", F.col("id").alias(id_col), "raw")
+
+
+def skipped(spark: SparkSession, folder: str, questions: DataFrame, n: int = 10, scope: str = "") -> DataFrame:
+    """``question_id, pairs, scored``: postings of the question's terms, and how many of them lie in ranges that may hold
+    one of its ``n`` best rows."""
+    wanted, bounds = reachable(spark, folder, terms_of(questions), n, scope)
+    mine = wanted.select("question_id", "scope", "range").distinct().withColumn("mine", F.lit(True))
+    both = bounds.join(mine, ["question_id", "scope", "range"], "left")
+    return both.groupBy("question_id").agg(F.sum("pairs").alias("pairs"), F.sum(F.when(F.col("mine"), F.col("pairs")).otherwise(0)).alias("scored"))
 
 
 def bm25(spark: SparkSession, folder: str, question: str, id_col: str, id_type: str, n: int = 10, scope: str = "") -> DataFrame:
-    """``(id, score)`` as ``search.bm25`` over the rows of ``scope``, reading only the buckets of the question's terms."""
-    asked: dict[str, int] = {}
-    for t in re.findall("[a-z0-9]+", question.lower()):
-        asked[t] = asked.get(t, 0) + 1
+    """``(id, score)`` as ``search.bm25`` over the rows of ``scope``, reading only the blocks of the question's terms."""
+    asked = Counter(re.findall("[a-z0-9]+", question.lower()))
     if not asked:
         return spark.createDataFrame([], f"`{id_col}` {id_type}, score double")
-    mine = F.lit(False)
-    for t in asked:
-        mine = mine | ((F.col("bucket") == bucket(F.lit(t))) & (F.col("term") == t))
+    mine = F.col("term").isin(*asked)
+    corpus = F.broadcast(spark.read.parquet(f"{folder}/corpus").where(F.col("scope") == scope))
+    stats = spark.read.parquet(f"{folder}/stats").where(mine & (F.col("scope") == scope)).join(corpus, "scope")
     qf = F.create_map(*(F.lit(x) for pair in asked.items() for x in pair))
-    corpus = F.broadcast(spark.read.parquet(f"{folder}/corpus").where(F.col("scope") == scope).drop("scope"))
-    stats = spark.read.parquet(f"{folder}/stats").where(mine & (F.col("scope") == scope)).crossJoin(corpus)
-    weights = stats.select("term", "avgdl", (qf[F.col("term")] * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("w"))
-    hits = spark.read.parquet(f"{folder}/postings").where(mine)
-    hits = (hits.where(F.col("scope") == scope) if scope else hits).join(F.broadcast(weights), "term")
-    k, b = search.K1, search.B
-    part = F.col("w") * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return search.head_shares(hits.groupBy(F.col("id").alias(id_col)).agg(F.sum(part).alias("raw")).where("raw > 0"), id_col, n)
+    w = stats.select("term", "avgdl", (qf[F.col("term")] * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("w"))
+    hits = _blocks(spark, folder, scope).where(mine).select("term", "postings").join(F.broadcast(w), "term").select("w", "avgdl", F.explode("postings").alias("p"))
+    scored = hits.groupBy(F.col("p.id").alias(id_col)).agg(F.sum(_part("w", "p.tf", "p.dl")).alias("raw")).where("raw > 0")
+    return search.head_shares(scored, id_col, n)

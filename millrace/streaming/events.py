@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def source(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
     """New Parquet files of a folder. Parquet timestamps without zone are cast, since watermarks need instants."""
     rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
@@ -27,16 +30,23 @@ def unique(events: DataFrame, at: str, keys: list[str], late: str = "1 hour") ->
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now and returns the result as a table beside its checkpoint. A batch that is
-    repeated replaces its own rows; in ``complete`` mode the last batch has them all."""
-    out = f"{checkpoint}-rows"
+def drain(stream: DataFrame, name: str, mode: str, checkpoint: str, idle: bool = True) -> DataFrame:
+    """Runs a stream over what is there now and returns the result as a table beside its checkpoint, with the rows of
+    earlier runs from there. A batch that is repeated replaces its own rows; in ``complete`` mode the last batch has them
+    all. Without ``idle`` no batch runs that has no input: states with a lifetime would ask for one after another."""
+    out, spark = f"{checkpoint}-rows", stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
-    run = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get(_IDLE)
+    spark.conf.set(_IDLE, str(idle).lower())  # a stream takes the settings that hold when it starts
+    try:
+        run = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_IDLE, before)
     run.awaitTermination()
-    if run.lastProgress is None:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/batch=*")
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")

@@ -1,16 +1,11 @@
-"""Keeping an index in step with a folder: file events, trailing-edge debounce per folder, last event wins."""
+"""Keeping an index in step with a folder: what differs between two listings, last event wins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import index
-from ..session import ship
 
 
 def snapshot_events(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -22,27 +17,6 @@ def snapshot_events(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("path", kind.alias("kind"), F.col("new").alias("hash")).where("kind is not null")
 
 
-def debounced(events: DataFrame, quiet_ms: int = 5000) -> DataFrame:
-    """``folder, n_events, last_ts``, once a folder has been quiet for ``quiet_ms``: every event moves the deadline."""
-
-    ship(events.sparkSession)
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, last = state.get
-            state.remove()
-            yield pd.DataFrame({"folder": [key[0]], "n_events": [n], "last_ts": [last]})
-            return
-        n, last = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, last = n + len(b), max(last, float(b["ts"].max()))
-        state.update((n, last))
-        state.setTimeoutDuration(quiet_ms)
-
-    return events.groupBy("folder").applyInPandasWithState(
-        step, "folder string, n_events long, last_ts double", "n long, last double", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
 def keep_in_step(spark: SparkSession, events: DataFrame, table: str, checkpoint: str):
     """Applies file events ``(path, kind, ts, event_id, hash)`` batch by batch to a Parquet index that is written
     anew under a version number, so a repeated batch gives the same table. Returns the started query."""

@@ -129,7 +129,7 @@ def test_stored_postings_equal_plain_bm25(spark, tmp_path):
             got = [(r.id, round(r.score, 9)) for r in postings.bm25(spark, str(tmp_path / "p"), q, "id", "long", 8, scope).collect()]
             assert got == [(r.id, round(r.score, 9)) for r in search.bm25_texts(part, q, "id", F.col("t"), 8).collect()], (scope, q)
     plan = postings.bm25(spark, str(tmp_path / "p"), "harbour", "id", "long")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert "PushedFilters: [In(term, [harbour])" in plan or "EqualTo(term,harbour)" in plan
 
 
 def test_keywords_meet_questions_by_words(spark):

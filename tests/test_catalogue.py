@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import stored as catalogue
 
 DATA = "/root/testdata/sf0.001"
 TOLERANT = {name: 6 for name in ("search_bm25",)}
