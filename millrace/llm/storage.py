@@ -91,11 +91,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
-    """Tables made inside, by this thread, belong to ``name``; those that belonged to it before are deleted first. For
-    steps whose result is written out before the next step of that name begins; jobs that run side by side take
-    names of their own."""
-    for made in _made.pop(name, []):
-        delete(spark, made)
+    """Tables made inside, by this thread, belong to ``name``, until ``close`` or the next scope of that name deletes them.
+    For callers that write a result out and then need no more of what it was made from; jobs that run side by side, or
+    whose results are read later, take names of their own."""
+    close(spark, name)
     token = _scope.set(name)
     try:
         yield
@@ -103,6 +102,11 @@ def scope(spark: SparkSession, name: str) -> Iterator[None]:
         _scope.reset(token)
 
 
+def close(spark: SparkSession, name: str) -> None:
+    for made in _made.pop(name, []):
+        delete(spark, made)
+
+
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` isn't in ``dropped``; broadcast while that has at most ``BROADCAST_KEYS`` rows."""
     return rows.join(F.broadcast(dropped) if small(dropped, BROADCAST_KEYS) else dropped, key, "left_anti")

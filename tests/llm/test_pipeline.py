@@ -63,3 +63,12 @@ def test_stages_on_empty_and_odd_documents(spark, sf, odd, tmp_path):
             out.write.parquet(f"{tmp_path}/{k}-{name}")
             rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/{k}-{name}")
             assert (rows.count() == 0) == (k == 0), name
+
+
+def test_a_second_run_leaves_the_first_result(spark, sf):
+    first = corpus_pipeline.run(spark, sf)
+    n = first.count()
+    second = corpus_pipeline.run(spark, sf)
+    assert n == first.count() == second.count() > 0
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, first.collect())) == sorted(map(key, second.collect()))
