@@ -49,9 +49,19 @@ LABELLED = tuple(page_families.pages())
 #: Attributes of labelled pages.
 MARKS = ("data-main", "data-off")
 
-# Fixed values of HTML: elements around all text, and those that hold a page's main text.
+# Fixed values of HTML: elements around all text, those that hold a page's main text, those that only change its looks,
+# and those that say themselves that they aren't main text. A form around all of a page's body isn't one of them.
 EVERYWHERE = ("<html>", "<body>")
 HOLDERS = ("<article>", "<main>")
+LOOKS = ("<center>", "<font>", "<big>", "<small>", "<b>", "<i>", "<u>", "<em>", "<strong>", "<span>")
+FURNITURE = frozenset("aside nav footer form dialog menu button".split())
+
+#: Words up to which an element that holds a form is part of it, such as the invitation to sign up.
+FORM_WORDS = 60
+#: Log odds of the words of an element's own class from which they count alone, whatever holds the element.
+OWN = -2.5
+#: What a word of a heading scores, so that one of few words isn't parted from its text by their tags.
+HEADING = 4.0
 
 #: Words of a block, and share of them inside links in tenths, from which the next class begins.
 LENGTHS = (2, 4, 8, 16, 32)
@@ -60,13 +70,12 @@ SHARES = (1, 4, 8)
 
 @dataclass
 class Weights:
-    """Scores of tags, and log odds that a word is content: by the open elements around it, by the class of its block's
-    length and of its block's share of links. What isn't listed scores ``tag``, or says nothing."""
+    """Scores of tags, and log odds that a word is content: by the open elements around it, and by its block's share of
+    links and length together. What isn't listed scores ``tag``, or says nothing."""
 
     tags: dict[str, float]
     kinds: dict[str, float]
-    links: list[float] = field(default_factory=lambda: [0.0] * (len(SHARES) + 1))
-    lengths: list[float] = field(default_factory=lambda: [0.0] * (len(LENGTHS) + 1))
+    blocks: list[list[float]] = field(default_factory=lambda: [[0.0] * (len(LENGTHS) + 1) for _ in range(len(SHARES) + 1)])
     bias: float = 0.0
     tag: float = -0.2
 
@@ -91,44 +100,71 @@ def items(page: str):
 def kinds(name: str, attrs: str) -> set[str]:
     """What an element may be known by: its name, and the words of its class, id and role. Elements that hold the
     whole page or article are known by name only."""
-    out = {f"<{name}>", *(m for m in MARKS if m in attrs)}
+    out = {f"<{name}>"}.difference(LOOKS) | {m for m in MARKS if m in attrs}
     if attrs and name not in ("html", "body", "main", "article"):
         for m in _ATTR.finditer(attrs):
             out |= {p.lower() for p in _PART.findall(m[2] or m[3] or m[4] or "")}
     return out
 
 
+@dataclass
+class Element:
+    """An open element, and what holds outside it."""
+
+    name: str
+    kinds: set[str]
+    score: float
+    silent: int
+    off: int
+    first: int
+    words: int
+    form: bool = False
+
+
 class Stack:
     """Open elements. Each kind counts once however often it is open; every tag costs the same however deep it is."""
 
     def __init__(self, odds: dict[str, float]):
         self.odds, self.open_kinds, self.places = odds, Counter(), defaultdict(list)
-        self.stack: list[tuple[str, set[str], float, int]] = []  # name, kinds, and score and silence outside
-        self.score, self.silent = 0.0, 0
+        self.stack: list[Element] = []
+        self.score, self.silent, self.off, self.words = 0.0, 0, 0, 0
+        self.forms: list[tuple[int, int]] = []  # pieces of elements that belong to a form
 
-    def push(self, name: str, attrs: str) -> None:
+    def push(self, name: str, attrs: str, at: int = 0) -> None:
         if name in ("article", "main"):  # furniture that was never closed ends here
-            while self.stack and self.stack[-1][0] in ("nav", "header", "ul", "li", "a", "form"):
-                self.pop(self.stack[-1][0])
+            while self.stack and self.stack[-1].name in ("nav", "header", "ul", "li", "a", "form"):
+                self.pop(self.stack[-1].name, at)
         if name in VOID or attrs.endswith("/"):
             return
         own = kinds(name, attrs)
         self.places[name].append(len(self.stack))
-        self.stack.append((name, own, self.score, self.silent))
-        for k in own:
-            if not self.open_kinds[k]:
-                self.score += self.odds.get(k, 0.0)
-            self.open_kinds[k] += 1
+        self.stack.append(Element(name, own, self.score, self.silent, self.off, at, self.words))
+        new = [(k, self.odds.get(k, 0.0)) for k in own if not self.open_kinds[k]]
+        words = sum(v for k, v in new if k[0] != "<")
+        self.score = min(self.score, 0.0) + words if words <= OWN else self.score + words
+        self.score += sum(v for k, v in new if k[0] == "<")
+        self.open_kinds.update(own)
         self.silent += name in SILENT
+        self.off += name in FURNITURE and not (name == "form" and all(e.name in ("html", "body") for e in self.stack[:-1]))
 
-    def pop(self, name: str) -> None:
+    def pop(self, name: str, at: int = 0) -> None:
         """Closes the last element of that name and what is open inside; without one, nothing."""
         if not self.places[name]:
             return
         for _ in range(len(self.stack) - self.places[name][-1]):
-            last, own, self.score, self.silent = self.stack.pop()
-            self.places[last].pop()
-            self.open_kinds.subtract(own)
+            last = self.stack.pop()
+            self.score, self.silent = last.score, last.silent
+            form = last.form or (last.name == "form" and self.off > last.off)
+            self.off = last.off
+            self.places[last.name].pop()
+            self.open_kinds.subtract(last.kinds)
+            few = self.words - last.words <= FORM_WORDS
+            if last.name == "form" and not form and few:
+                self.forms.append((last.first, at))
+            if form and self.stack and last.name not in FURNITURE and last.name not in ("article", "main", "body", "html") and few:
+                self.forms.append((last.first, at))
+            elif form and self.stack:
+                self.stack[-1].form = True
 
 
 @dataclass
@@ -141,6 +177,8 @@ class Piece:
     block: int = 0
     odds: float = 0.0
     around: frozenset[str] = frozenset()
+    off: bool = False
+    heading: bool = False
 
 
 def pieces(page: str, odds: dict[str, float], around: bool = False) -> tuple[list[Piece], list[list[int]]]:
@@ -151,15 +189,21 @@ def pieces(page: str, odds: dict[str, float], around: bool = False) -> tuple[lis
             if not stack.silent:
                 text = references.unescape(value) if "&" in value else value
                 n = len(text.split())
+                stack.words += n
                 blocks[-1][0] += n
                 blocks[-1][1] += n if stack.places["a"] else 0
-                out.append(Piece(text, None, n, len(blocks) - 1, stack.score, frozenset(+stack.open_kinds) if around else frozenset()))
+                out.append(Piece(text, None, n, len(blocks) - 1, stack.score, frozenset(+stack.open_kinds) if around else frozenset(), stack.off > 0, any(stack.places[h] for h in ("h1", "h2", "h3"))))
             continue
         inline = value in INLINE
         out.append(Piece("" if inline else " ", value))
         if not inline:
             blocks.append([0, 0])
-        (stack.push(value, attrs) if what == "open" else stack.pop(value))
+        (stack.push(value, attrs, len(out)) if what == "open" else stack.pop(value, len(out)))
+    while stack.stack:
+        stack.pop(stack.stack[-1].name, len(out))
+    for first, last in stack.forms:
+        for p in out[first:last]:
+            p.off = True
     return out, blocks
 
 
@@ -175,7 +219,7 @@ def content(p: Piece) -> bool:
 
 
 def train(pages: Iterable[str], ridge: float = 1.0, rounds: int = 12) -> Weights:
-    """Weights from labelled pages: log odds by ridge logistic regression over texts, each counted by its words up to
+    """Weights from labelled pages: log odds by ridge logistic regression over texts outside ``FURNITURE``, each counted by its words up to
     20, once as it is and once without names and ``HOLDERS``, as pages of other families may lack them; and tag scores by log ratios of counts outside and inside content; a tag never scores above 0."""
     tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
     rows: list[tuple[frozenset[str], tuple[int, int], int, bool]] = []
@@ -184,7 +228,7 @@ def train(pages: Iterable[str], ridge: float = 1.0, rounds: int = 12) -> Weights
         found, blocks = pieces(page, {}, around=True)
         for p in found:
             if p.tag is None:
-                if p.words:
+                if p.words and not p.off:
                     main = content(p)
                     seen = p.around.difference(MARKS, EVERYWHERE)
                     plain = frozenset(k for k in seen if k[0] == "<" and k not in HOLDERS)
@@ -193,12 +237,12 @@ def train(pages: Iterable[str], ridge: float = 1.0, rounds: int = 12) -> Weights
                 tags[main][p.tag] += 1
     names = sorted({k for around, *_ in rows for k in around})
     at = {k: i for i, k in enumerate(names)}
-    links, lengths = len(names), len(names) + len(SHARES) + 1
-    x = np.zeros((len(rows), lengths + len(LENGTHS) + 2))
+    width = len(LENGTHS) + 1
+    x = np.zeros((len(rows), len(names) + (len(SHARES) + 1) * width + 1))
     y, weight = np.zeros(len(rows)), np.ones(len(rows))
     for i, (around, (share, length), words, main) in enumerate(rows):
         x[i, [at[k] for k in around]] = 1
-        x[i, [links + share, lengths + length, -1]] = 1
+        x[i, [len(names) + share * width + length, -1]] = 1
         y[i], weight[i] = main, words
     w = np.zeros(x.shape[1])
     for _ in range(rounds):  # Newton's steps
@@ -209,8 +253,7 @@ def train(pages: Iterable[str], ridge: float = 1.0, rounds: int = 12) -> Weights
     return Weights(
         {t: -min(3.0, max(0.05, 0.2 + 0.3 * ratio(t))) for t in {*tags[True], *tags[False]}},
         {k: float(w[i]) for k, i in at.items()},
-        w[links:lengths].tolist(),
-        w[lengths:-1].tolist(),
+        w[len(names) : -1].reshape(-1, width).tolist(),
         float(w[-1]),
     )
 
@@ -220,34 +263,50 @@ def default() -> Weights:
     return train(LABELLED)
 
 
-def main_text(page: str, weights: Weights | None = None) -> str:
-    """The text of the best region: blocks joined by one space, white space collapsed, references decoded. A word
-    whose place speaks for content stays however short its block is."""
-    weights = weights or default()
-    found, blocks = pieces(page, weights.kinds)
-    best = total = 0.0
-    begin, region, kept = 0, (0, 0), []
-    for i, p in enumerate(found):
-        if p.tag is None:
-            share, length = classes(blocks[p.block])
-            odds = weights.bias + p.odds + weights.links[share] + max(0.0, weights.lengths[length])
-            kept.append(odds >= 0 or not p.words)
-            total += p.words * (1.0 if odds >= 0 else max(-1.0, odds))
-        else:
+def scored(found: list[Piece], blocks: list[list[int]], weights: Weights) -> tuple[list[float], list[bool]]:
+    """What each piece adds to a region, and whether it is text of a region that holds it. A word whose place speaks for
+    content stays however short its block is; what surely isn't text may stand between text."""
+    scores, kept = [], []
+    for p in found:
+        if p.tag is not None:
+            scores.append(weights.tags.get(p.tag, weights.tag))
             kept.append(True)
-            total += weights.tags.get(p.tag, weights.tag)
+            continue
+        share, length = classes(blocks[p.block])
+        block = weights.blocks[share][length]
+        odds = -3.0 if p.off else weights.bias + p.odds + (block if share else max(0.0, block))
+        kept.append(odds >= 0 or not p.words)
+        scores.append(0.0 if p.off else p.words * ((HEADING if p.heading else 1.0) if odds >= 0 else max(-1.0, odds)))
+    return scores, kept
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region with the largest sum, in one scan; an empty one if no sum is positive."""
+    best = total = 0.0
+    begin, region = 0, (0, 0)
+    for i, s in enumerate(scores):
+        total += s
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:
             best, region = total, (begin, i + 1)
-    return " ".join("".join(p.text for p, k in zip(found[slice(*region)], kept[slice(*region)], strict=True) if k).split())
+    return region
+
+
+def main_text(page: str, weights: Weights | None = None) -> str:
+    """The text of the best region: blocks joined by one space, white space collapsed, references decoded."""
+    weights = weights or default()
+    found, blocks = pieces(page, weights.kinds)
+    scores, kept = scored(found, blocks, weights)
+    region = slice(*best_region(scores))
+    return " ".join("".join(p.text for p, k in zip(found[region], kept[region], strict=True) if k).split())
 
 
 def extract(df: DataFrame, weights: Weights | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Rows ``(*keep, text, n_chars)``: the main text of each page and its code points.
 
-    A null or empty page, and one without content, has an empty text. Repeated rows each give a row; columns not in
-    ``keep`` are left out.
+    A null or empty page, and one without content, has an empty text. Pages of any length are read whole, in time linear
+    in it. Repeated rows each give a row; columns not in ``keep`` are left out.
     """
 
     def run(batches):

@@ -62,6 +62,11 @@ FAMILIES = {
     "novel": """<div class="c1"><a>{W}</a> <a>{W}</a></div><div class="c2" data-main><div>{T}</div><br>{P}<br><br>{P}<br><br>{S}<br><br>{P}<br><br>{P}</div><div class="c3">{A}</div>""",
     "cms": """<div id="nav1">{A}</div><div id="main2"><div data-main class="block4"><div>{T}</div><div>{P}</div><div>{P}</div><div>{P}</div><div>{S}</div></div></div><div id="foot3">{A}</div>""",
     "memo": """<div>{A}</div><div data-main><div><b>{T}</b></div><div>{P}</div><div>{S}</div><div>{P}</div><div>{P}</div></div><div>{A}</div><div>{W}</div>""",
+    "linked": """<nav><ul>{L}</ul></nav><article data-main><h1>{T}</h1><p>{P}</p><p><a>{P}</a></p><p>{P}</p><p><a>{P}</a></p></article><div class="more-stories"><a><h4>{W}</h4><p>{S}</p></a><a><h4>{W}</h4><p>{S}</p></a></div><footer>{A}</footer>""",
+    "curated": """<div class="head">{A}</div><div data-main><h1>{W}</h1><p><a>{P}</a></p><p><a>{P}</a></p><p><a>{P}</a></p><p><a>{P}</a></p></div><div class="tags">{A}</div><div class="foot"><ul>{L}</ul></div>""",
+    "cards": """<header>{A}</header><main data-main><h2>{T}</h2><p>{P}</p><a><div>{P}</div></a><p>{S}</p></main><div class="teasers"><a><b>{W}</b><span>{S}</span></a><a><b>{W}</b><span>{S}</span></a><a>{S}</a></div>""",
+    "centred": """<center>{A}</center><center data-main><h1>{T}</h1><p>{P}</p><p>{P}</p><p>{S}</p></center><center><hr>{A}<p>{S}</p></center>""",
+    "within": """<nav>{A}</nav><article data-main><h1>{T}</h1><p>{P}</p><p>{P}</p><section data-off class="comments"><h3>{W}</h3><div class="comment"><p>{P}</p></div><div class="comment"><p>{P}</p></div></section></article><footer>{S}</footer>""",
 }
 
 _SYLLABLES = "ka lo mi ren sta tor ve un der sol pri ma nel qua est bri do fen gar hol is jo lan".split()
