@@ -48,8 +48,9 @@ class KnowledgeBase:
         gone = index.orphans(known, files).select("path")
         counts = {"changed": fresh.count(), "removed": gone.count()}
         if counts["changed"] or counts["removed"]:
-            kept = index.delete(self.store.read("chunks"), gone)
-            self.store.replace("chunks", index.upsert(kept, self.chunks(fresh)))
+            # files that have no text any more keep no chunks either
+            self.store.remove(gone.unionByName(fresh.select("path")))
+            self.store.upsert(self.chunks(fresh))
             self.store.replace_meta({r["domain"]: {"n_files": r["n_files"], "model": embed.NAME} for r in self.store.domains().collect()}, now)
             self.postings()
             self.vectors()

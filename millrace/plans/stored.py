@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import pages, vectorindex
+from ..sources import commitlog, pages, vectorindex
 from ..streaming import events, folder, keyed
 from .catalogue import ORACLES, QUERIES, query, read, scratch, state_of
 
@@ -134,3 +135,44 @@ def built_vectors(spark: SparkSession, d: str) -> vectorindex.VectorIndex:
         vectorindex.build(read(spark, d, "embeddings"), "vec_id", "embedding", top, lists=32)
         _vectors[key] = top
     return vectorindex.VectorIndex(spark, _vectors[key])
+
+
+@query(
+    """SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN 'changed ' || coalesce(text, '') ELSE coalesce(text, '') END) AS hash, true AS small
+    FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 4 = 0"""
+)
+def index_segments(spark, d):
+    """Two thirds of the documents; then a fifth of those changes, the rest comes, a seventh goes, part of which comes back,
+    and segments are merged. ``small`` tells that no update wrote more than what changed needs."""
+    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    log = commitlog.CommitLog(spark, scratch(spark, "millrace-segments"), "doc_id long, text string", "doc_id")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))
+    log.append(docs.where("doc_id % 3 != 0"))
+    before = log.state().segments
+    log.upsert(docs.where("doc_id % 3 != 0 and doc_id % 5 = 0").withColumn("text", changed))
+    new = sum(s.bytes for s in log.state().segments.values() if s.name not in before)
+    log.upsert(docs.where("doc_id % 3 = 0"))
+    log.delete(docs.where("doc_id % 7 = 0"))
+    log.upsert(docs.where("doc_id % 28 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(changed)))
+    log.merge(2)
+    small = new < 0.5 * sum(s.bytes for s in before.values())
+    return log.read().select("doc_id", F.md5("text").alias("hash"), F.lit(small).alias("small"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS n_archived FROM events GROUP BY ALL")
+def log_commits(spark, d):
+    """Four writers beside each other append the events to one log, and two rotations set what is old aside meanwhile."""
+    rows = read(spark, d, "events").select("user_id", "event_type", "ts")
+    log = commitlog.CommitLog(spark, scratch(spark, "millrace-log"), "user_id long, event_type string, ts timestamp_ntz")
+    old = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
+
+    def work(i: int) -> None:
+        log.append(rows.where(F.pmod(F.xxhash64("ts"), F.lit(4)) == i))
+        if i % 2:
+            log.rotate(old)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    archived = log.rotate(old)
+    both = log.read().withColumn("archived", F.lit(False)).unionByName(archived.withColumn("archived", F.lit(True)))
+    return both.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if("archived").alias("n_archived"))

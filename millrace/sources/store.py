@@ -1,7 +1,7 @@
 """Tables of a knowledge store: chunks, domain metadata, audit, feedback, messages.
 
-Tables are Parquet. A table that is replaced is written as a new version; the version that readers take is the newest
-with a success marker, so a job that dies half-way leaves the former one in place. Appends add files.
+Each is a log of commits over Parquet segments, so a change writes what changed, a job that dies half-way changes
+nothing, and writers beside each other lose nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import index, logs
+from ..operators import logs
+from .commitlog import CommitLog
 
 SCHEMAS = {
     "chunks": "domain string, path string, name string, doc_id string, chunk_id string, chunk_index int, chunk_total int, source string, text string, hash string",
@@ -20,6 +21,9 @@ SCHEMAS = {
     "messages": "session_id string, turn long, role string, text string, ts double",
 }
 
+#: By what rows of a table replace each other.
+KEYS = {"chunks": "path", "domain_meta": "domain", "messages": "session_id"}
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -29,34 +33,24 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def log(self, table: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.root}/{table}", SCHEMAS[table], KEYS.get(table))
+
     def versions(self, table: str) -> list[int]:
-        top, fs = self._fs(f"{self.root}/{table}")
-        if not fs.exists(top):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(top)]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[0])]
-        return sorted(done)
+        """Numbers of the table's commits."""
+        return self.log(table).numbers()
 
     def read(self, table: str) -> DataFrame:
-        """The newest version, or an empty table."""
-        known = self.versions(table)
-        reader = self.spark.read.schema(SCHEMAS[table])
-        return reader.parquet(f"{self.root}/{table}/v={known[-1]}") if known else self.spark.createDataFrame([], SCHEMAS[table])
+        """The newest rows, or an empty table."""
+        return self.log(table).read()
 
     def replace(self, table: str, rows: DataFrame, keep: int = 2) -> None:
-        known = self.versions(table)
-        v = known[-1] + 1 if known else 0
-        rows.select(*self._columns(table)).write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
-        for old in known[:-keep] if keep else []:
-            path, fs = self._fs(f"{self.root}/{table}/v={old}")
-            fs.delete(path, True)
+        log = self.log(table)
+        log.overwrite(rows)
+        log.vacuum(keep)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        known = self.versions(table)
-        rows.select(*self._columns(table)).write.mode("append").parquet(f"{self.root}/{table}/v={known[-1] if known else 0}")
-
-    def _columns(self, table: str) -> list[str]:
-        return self.spark.createDataFrame([], SCHEMAS[table]).columns
+        self.log(table).append(rows)
 
     def drop(self, table: str) -> None:
         path, fs = self._fs(f"{self.root}/{table}")
@@ -65,11 +59,11 @@ class Store:
     # ---- documents
 
     def upsert(self, chunks: DataFrame) -> None:
-        """Chunks of files replace those of the same domain and path."""
-        self.replace("chunks", index.upsert(self.read("chunks"), chunks))
+        """Chunks of files replace those of the same path."""
+        self.log("chunks").upsert(chunks)
 
     def remove(self, paths: DataFrame) -> None:
-        self.replace("chunks", index.delete(self.read("chunks"), paths))
+        self.log("chunks").delete(paths)
 
     def files(self) -> DataFrame:
         """One row per indexed file, its hash that of the first chunk."""
@@ -83,7 +77,7 @@ class Store:
         import json
 
         fresh = self.spark.createDataFrame([(domain, json.dumps(meta, sort_keys=True), now)], SCHEMAS["domain_meta"])
-        self.replace("domain_meta", index.upsert(self.read("domain_meta"), fresh, "domain"))
+        self.log("domain_meta").upsert(fresh)
 
     def replace_meta(self, metas: dict[str, dict], now: float) -> None:
         """Metadata of all domains in one new version."""
@@ -133,12 +127,16 @@ class Store:
     # ---- conversations
 
     def remember(self, session: str, question: str, answer: str, now: float, max_turns: int = 20) -> None:
-        """Adds a turn and keeps each session's newest ones."""
-        old = self.read("messages")
-        last = old.where(F.col("session_id") == session).agg(F.max("turn")).first()[0]
-        start = 0 if last is None else last + 1
-        fresh = self.spark.createDataFrame([(session, start, "user", question, now), (session, start + 1, "assistant", answer, now)], SCHEMAS["messages"])
-        self.replace("messages", logs.last_turns(old.unionByName(fresh), "session_id", "turn", max_turns))
+        """Adds a turn and keeps the session's newest ones. Only this session's messages are written."""
+
+        def turn(messages: DataFrame) -> DataFrame:
+            old = messages.where(F.col("session_id") == session)
+            last = old.agg(F.max("turn")).first()[0]
+            start = 0 if last is None else last + 1
+            fresh = self.spark.createDataFrame([(session, start, "user", question, now), (session, start + 1, "assistant", answer, now)], SCHEMAS["messages"])
+            return logs.last_turns(old.unionByName(fresh), "session_id", "turn", max_turns)
+
+        self.log("messages").update(turn)
 
     def history(self, session: str, now: float, hours: float = 2.0) -> list[dict]:
         """A session's messages, oldest first; none after ``hours`` of inactivity. At most the kept turns."""
@@ -150,20 +148,9 @@ class Store:
         return last.withColumn("expired", F.col("last_active") < now - 3600 * hours)
 
     def forget(self, session: str) -> None:
-        self.replace("messages", self.read("messages").where(F.col("session_id") != session))
+        self.log("messages").delete(self.spark.createDataFrame([(session,)], "session_id string"))
 
     def rotate(self, table: str, before: float) -> DataFrame:
-        """Moves log rows older than ``before`` to an archive table and returns it.
-
-        Each rotated version has an archive folder of its own, which a repeated run overwrites: a crash in between
-        neither loses rows nor archives them twice, since versions whose rotation didn't finish are rotated again.
-        """
-        known = self.versions(table)
-        if known:
-            rows = self.read(table)
-            rows.where(F.col("ts") < before).write.mode("overwrite").parquet(f"{self.root}/{table}-archive/from={known[-1]}")
-            self.replace(table, rows.where(F.col("ts") >= before))
-        path, files = self._fs(f"{self.root}/{table}-archive")
-        if not files.exists(path):
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}-archive/from=*")
+        """Sets log rows older than ``before`` aside and returns all that were. One commit takes them out and keeps them,
+        and rows that are appended meanwhile stay where they are."""
+        return self.log(table).rotate(F.col("ts") < before)
