@@ -17,13 +17,16 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import routing, summaries
+from ..operators import gates, routing, summaries
 from ..sources import config, tables
 from . import api, plugins, render
+from .contextstore import ContextStore
 from .knowledge import KnowledgeBase
 
 README_LEAST = 200
 ANALYST_CHARS = 3000
+#: Tables that may answer a question for figures, best first.
+TABLES_TRIED = 3
 TABULAR = ("csv", "tsv", "xlsx", "xlsm", "json", "jsonl")
 
 # Markers of generated parts of a README, and of a passed-through context.
@@ -69,9 +72,25 @@ def sources_block(found: list[Found]) -> list[dict]:
     return [{"path": p, "score": s} for p, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))]
 
 
+def trimmed(text: str, most: int) -> str:
+    """Whole lines up to ``most`` characters, with a mark where some are left out."""
+    if len(text) <= most:
+        return text
+    return (text[:most].rpartition("\n")[0] or text[:most]).rstrip() + "\n\n_cut_"
+
+
+def shown_rows(rows: list[dict]) -> str:
+    """As many rows as fit into ``ANALYST_CHARS``, and how many don't."""
+    shown = len(rows)
+    while shown > 1 and len(text := render.markdown_table(rows[:shown])) > ANALYST_CHARS:
+        shown = max(1, min(shown - 1, shown * ANALYST_CHARS // len(text)))
+    left = f"\n\n_{len(rows) - shown} more rows_" if shown < len(rows) else ""
+    return render.markdown_table(rows[:shown]) + left
+
+
 class Assistant:
-    def __init__(self, kb: KnowledgeBase, engine: api.Engine | None = None):
-        self.kb, self.spark = kb, kb.spark
+    def __init__(self, kb: KnowledgeBase, engine: api.Engine | None = None, context: ContextStore | None = None):
+        self.kb, self.spark, self.digests = kb, kb.spark, context
         self.engine = engine or api.Engine(kb.spark)
 
     def list_domains(self) -> list[dict]:
@@ -110,7 +129,7 @@ class Assistant:
     # ---- tiers
 
     def domain_answer(self, name: str, question: str, history: list[dict], n: int, acknowledged: bool = False, weights=None) -> Found:
-        """The first tier that answers: README, analyst, retrieved files. A question for figures passes the README by,
+        """The first tier that answers: README, analyst, digests where there is a store of them, retrieved files. A question for figures passes the README by,
         one that is complex reads all of it, others its introduction and index."""
         rules = self._rules(name)
         asks = self.spark.range(1).select(S.is_data(F.lit(question)).alias("data"), S.is_complex(F.lit(question)).alias("complex")).first()
@@ -118,9 +137,11 @@ class Assistant:
         figures = asks["data"] or matches(rules.data_patterns)
         if not figures and (readme := self.readme(name)):
             text = readme["text"] if asks["complex"] or matches(rules.complex_patterns) else readme["short"]
-            return self.written(Found(name, "readme", text[: rules.max_chars], [{"path": readme["path"], "score": 1.0}]), question, history)
+            return self.written(Found(name, "readme", trimmed(text, rules.max_chars), [{"path": readme["path"], "score": 1.0}]), question, history)
         if figures and (answered := self.analyst(name, question, acknowledged)):
             return answered
+        if self.digests and (answered := self.digest(name, question, n, acknowledged)):
+            return self.written(answered, question, history)
         got = self.kb.domain_context(name, question, n, acknowledged, weights)
         text = "\n\n".join(f"## {s['path']}\n\n{s['text']}" for s in got["sources"])
         return self.written(Found(name, "files", text, [{"path": s["path"], "score": s["score"]} for s in got["sources"]], got["withheld"]), question, history)
@@ -135,21 +156,35 @@ class Assistant:
         return {"path": listed[0]["path"], "text": text, "short": short} if len(readme_body(text)) >= README_LEAST else None
 
     def analyst(self, name: str, question: str, acknowledged: bool) -> Found | None:
-        """A figure from the domain's table that fits the question best, by words that its name shares with it."""
-        words = set(re.findall(r"[a-z0-9]+", question.lower()))
-        rows = self.kb.store.files().where(F.col("domain") == name).select("path").collect()
-        fit = [r["path"] for r in rows if tables.extension(r["path"]) in TABULAR]
-        fit.sort(key=lambda p: (-len(words & set(re.findall(r"[a-z0-9]+", p.lower()))), p))
-        for path in fit[:1]:
+        """A figure from the domain's table that fits the question best, by the names, columns and values that share terms
+        with it; where none does, from the first by name."""
+        fit = self.kb.values.route(question, TABLES_TRIED, F.substring_index("path", "/", 1) == name)
+        if not fit:
+            rows = self.kb.store.files().where((F.col("domain") == name) & F.lower(F.substring_index("path", ".", -1)).isin(*TABULAR))
+            fit = [r["path"] for r in rows.orderBy("path").limit(1).collect()]
+        for path in fit:
             confidential = self.kb.store.read("chunks").where(F.col("path") == path).select(S.confidential_reason(F.col("path"), F.col("text")).alias("r")).where("r is not null")
             if not acknowledged and not confidential.isEmpty():
                 return Found(name, "analyst", "", [], 1)
             out = self.engine.query_data(f"{self.kb.settings.root.rstrip('/')}/{path}", question, {"time_range": question})
             if out["status"] == "answered" and out["rows"]:
-                text = f"{out['answer']}\n\n{render.markdown_table(out['rows'])}"
-                return Found(name, "analyst", text[:ANALYST_CHARS], [{"path": path, "score": 1.0}])
+                return Found(name, "analyst", f"{out['answer']}\n\n{shown_rows(out['rows'])}", [{"path": path, "score": 1.0}])
         return None
 
+    def digest(self, name: str, question: str, n: int, acknowledged: bool) -> Found | None:
+        """The digests that fit the question, without those of confidential files unless acknowledged; a domain whose
+        digests say nothing of it goes on to its files."""
+        found = self.digests.fitting(name, question, n, self._rules(name).max_chars)
+        if not found:
+            return None
+        rows = self.spark.createDataFrame([(r["path"], r["text"]) for r in found], "path string, text string")
+        hidden = set() if acknowledged else {r["path"] for r in gates.confidential(self.kb.store.read("chunks").join(F.broadcast(rows.select("path")), "path", "left_semi")).select("path").distinct().collect()}
+        shown = [r for r in found if r["path"] not in hidden]
+        if not shown:
+            return None
+        text = trimmed("\n\n".join(f"## {r['path']}\n\n{r['text']}" for r in shown), self._rules(name).max_chars)
+        return Found(name, "digest", text, [{"path": r["path"], "score": r["score"]} for r in shown], len(hidden))
+
     def written(self, found: Found, question: str, history: list[dict]) -> Found:
         """By the registered writer, else passed through."""
         writer = plugins.find("writer")

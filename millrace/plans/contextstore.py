@@ -10,17 +10,21 @@ import json
 import re
 from pathlib import PurePosixPath
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import folders, search
-from ..sources import documents, tables
+from ..session import ship
+from ..sources import documents, pages, tables
 from . import api, profile_page, render
 from .knowledge import KnowledgeBase
 
+#: Keywords that the manifest knows of a domain.
+MANIFEST_WORDS = 8
 TABULAR = ("csv", "tsv", "xlsx", "xlsm", "json", "jsonl", "parquet")
 
 
@@ -74,21 +78,19 @@ class ContextStore:
         known = self.digests().select(F.col("path"), F.col("hash").alias("old"), F.col("page").alias("old_page"))
         both = files.select("path", "hash", "page").join(known, "path", "full_outer").cache()
         fresh = both.where("hash is not null and (old is null or old != hash)").select("path", "hash", "page")
-        gone = [r["old_page"] for r in both.where("hash is null").select("old_page").toLocalIterator()]
         reused = both.where("old = hash").count()
-        built = 0
-        for r in fresh.where(~tables_only(F.col("path"))).join(self.document_pages(files.join(fresh.select("path"), "path", "left_semi")), "path").toLocalIterator():
-            self.write(f"digests/{r['page']}", r["text"])
-            built += 1
-        for r in fresh.where(tables_only(F.col("path"))).orderBy("path").toLocalIterator():
+        texts = self.document_pages(files.join(fresh.where(~tables_only(F.col("path"))).select("path"), "path", "left_semi"))
+        at = lambda c: F.concat(F.lit("digests/"), c)
+        done = pages.write(texts.join(fresh.select("path", "page"), "path"), self.root, at("page"), "text")
+        built = done["written"] + done["kept"]
+        for r in fresh.where(tables_only(F.col("path"))).orderBy("path").toLocalIterator():  # each is a few jobs
             self.write(f"digests/{r['page']}", self.table_page(r["path"], r["hash"]))
             built += 1
-        for page in gone:
-            path, fs = self._file(f"digests/{page}")
-            fs.delete(path, False)
+        gone = both.where("hash is null").select(at("old_page").alias("path"), F.lit(None).cast("string").alias("content"))
+        removed = pages.write(gone, self.root)["deleted"]
         both.unpersist()
         self.index()
-        return {"built": built, "reused": reused, "removed": len(gone)}
+        return {"built": built, "reused": reused, "removed": removed}
 
     def table_page(self, path: str, sha: str) -> str:
         """A table's digest, or one that says why there is none."""
@@ -109,30 +111,48 @@ class ContextStore:
         return profile_page.rendered(rows)
 
     def index(self) -> None:
-        """A page per domain with a line per file, and the manifest; pages of domains that are gone are deleted."""
-        rows = self.digests().withColumn("domain", F.substring_index("path", "/", 1))
-        stats = []
-        for r in rows.groupBy("domain").agg(F.count("*").alias("n_files"), F.flatten(F.slice(F.collect_list("keywords"), 1, 50)).alias("k")).orderBy("domain").collect():
-            mine = rows.where(F.col("domain") == r["domain"]).orderBy("path").limit(render.INDEX_FILES)
-            files = [{"path": x["path"], "type": descriptor(x), "keywords": x["keywords"]} for x in mine.select("path", "type", "extraction", "keywords").collect()]
-            self.write(f"index/{r['domain'] or 'root'}.md", render.index_page(r["domain"] or "root", files, r["n_files"]))
-            stats.append({"domain": r["domain"] or "root", "n_files": r["n_files"], "keywords": list(dict.fromkeys(r["k"]))})
-        self.write("MANIFEST.md", render.manifest(stats))
-        top, fs = self._file("index")
-        for s in fs.listStatus(top) if fs.exists(top) else []:
-            if s.getPath().getName().removesuffix(".md") not in {x["domain"] for x in stats} and s.getPath().getName().endswith(".md"):
-                fs.delete(s.getPath(), False)
+        """A page per domain with a line per file, written by the tasks that have them, and the manifest with the keywords
+        that most files share; pages of domains that are gone are deleted."""
+        rows = self.digests().withColumn("domain", F.coalesce(F.nullif(F.substring_index("path", "/", 1), F.lit("")), F.lit("root"))).cache()
+        sizes = rows.groupBy("domain").agg(F.count("*").alias("n_files"))
+        place = F.row_number().over(Window.partitionBy("domain").orderBy("path"))
+        listed = rows.withColumn("place", place).where(F.col("place") <= render.INDEX_FILES).join(sizes, "domain")
+        kind = F.concat_ws(", ", F.coalesce("type", F.lit("file")), F.when(F.col("extraction") == "empty", "empty"))
+        ship(self.spark)
+        made = listed.select("domain", "n_files", "path", kind.alias("type"), "keywords").groupBy("domain").applyInPandas(index_pages, "path string, content string")
+        there, files = self._file("index")
+        if files.exists(there):
+            old = documents.listing(self.spark, f"{self.root}/index", "*.md").select(F.concat(F.lit("index/"), "path").alias("path"))
+            known = sizes.select(F.concat(F.lit("index/"), "domain", F.lit(".md")).alias("path"))
+            made = made.unionByName(old.join(known, "path", "left_anti").withColumn("content", F.lit(None).cast("string")))
+        pages.write(made, self.root)
+        words = rows.select("domain", F.explode("keywords").alias("word")).groupBy("domain", "word").agg(F.count("*").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "word"))
+        best = words.withColumn("rank", rank).where(F.col("rank") <= MANIFEST_WORDS).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).getField("word").alias("keywords"))
+        self.write("MANIFEST.md", render.manifest([r.asDict() for r in sizes.join(best, "domain", "left").orderBy("domain").collect()]))
+        rows.unpersist()
 
     # ---- tiers
 
-    def context(self, domain: str, question: str, n: int = 3, limit: int = 6000) -> str:
-        """From the index page to the digests that fit the question, compacted."""
+    def fitting(self, domain: str, question: str, n: int = 3, limit: int = 6000) -> list[dict]:
+        """``path, score, text`` of the domain's digests that fit the question, best first, compacted."""
         mine = self.digests().where(F.col("path").startswith(f"{domain}/"))
         hits = search.bm25_texts(mine.select("path", F.concat_ws(" ", "path", "text").alias("t")), question, "path", F.col("t"), n)
         if hits.isEmpty():
             hits = search.keyword_fallback(mine.select("path", "text"), question, "path", F.col("text"), n)
         found = mine.join(F.broadcast(hits), "path").orderBy(F.desc("score"), "path").collect()
-        return "\n\n".join([self.read(f"index/{domain}.md") or "", *(compact(r["text"], question, limit) for r in found)]).strip()
+        return [{"path": r["path"], "score": r["score"], "text": compact(r["text"], question, limit)} for r in found]
+
+    def context(self, domain: str, question: str, n: int = 3, limit: int = 6000) -> str:
+        """From the index page to the digests that fit the question."""
+        return "\n\n".join([self.read(f"index/{domain}.md") or "", *(r["text"] for r in self.fitting(domain, question, n, limit))]).strip()
+
+
+def index_pages(files: pd.DataFrame) -> pd.DataFrame:
+    """The index page of one domain, from as many of its files as a page may list."""
+    domain, n = files["domain"].iloc[0], int(files["n_files"].iloc[0])
+    rows = [{"path": r.path, "type": r.type, "keywords": list(r.keywords)} for r in files.sort_values("path").itertuples(index=False)]
+    return pd.DataFrame({"path": [f"index/{domain}.md"], "content": [render.index_page(domain, rows, n)]})
 
 
 def tables_only(path: Column) -> Column:
@@ -149,10 +169,6 @@ def failure(path: str, sha: str, reason: str) -> str:
     return render.front_matter({"sha": sha, "path": path, "extraction": "empty", "reason": json.dumps(reason)}) + f"# {path}\n\nNothing could be read from this file.\n"
 
 
-def descriptor(row) -> str:
-    return ", ".join(x for x in (row["type"] or "file", "empty" if row["extraction"] == "empty" else "") if x)
-
-
 def compact(page: str, question: str, limit: int) -> str:
     """A digest without front matter and column list, its parts ordered by how many of the question's words they have,
     cut at ``limit`` characters with a mark."""

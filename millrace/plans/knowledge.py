@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embed
 from ..functions import scalars as S
 from ..operators import gates, index, routing, search
-from ..sources import config, documents, postings, vectorindex
+from ..sources import config, documents, postings, tables, vectorindex
 from ..sources.store import Store
+from ..sources.valueindex import ValueIndex
 from . import plugins, render
 
 
@@ -21,6 +24,7 @@ class KnowledgeBase:
         self.spark, self.settings, self.domains = spark, settings, domains or {}
         self.store = Store(spark, settings.store)
         self.held = plugins.Cache()
+        self.values = ValueIndex(spark, f"{settings.store.rstrip('/')}/values")
 
     # ---- index
 
@@ -48,6 +52,8 @@ class KnowledgeBase:
         gone = index.orphans(known, files).select("path")
         counts = {"changed": fresh.count(), "removed": gone.count()}
         if counts["changed"] or counts["removed"]:
+            self.values.remove(gone.unionByName(fresh.select("path")))
+            self.values.refresh(self.tables(fresh))
             # files that have no text any more keep no chunks either
             self.store.remove(gone.unionByName(fresh.select("path")))
             self.store.upsert(self.chunks(fresh))
@@ -56,6 +62,17 @@ class KnowledgeBase:
             self.vectors()
         return counts
 
+    def tables(self, files: DataFrame) -> dict[str, DataFrame]:
+        """The tables among these files that can be read."""
+        found = {}
+        for r in files.select("path").toLocalIterator():
+            if tables.extension(r["path"]) in tables.TABULAR:
+                try:
+                    found[r["path"]] = tables.load(self.spark, f"{self.settings.root.rstrip('/')}/{r['path']}")
+                except (ValueError, PySparkException, Py4JJavaError):
+                    continue  # its digest says why
+        return found
+
     def worded(self) -> DataFrame:
         return self.store.read("chunks").select("chunk_id", "path", "domain", F.concat_ws(" ", "name", "text").alias("t"))
 

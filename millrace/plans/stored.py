@@ -9,9 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import commitlog, pages, vectorindex
+from ..sources import commitlog, pages, valueindex, vectorindex
 from ..streaming import events, folder, keyed
-from .catalogue import ORACLES, QUERIES, query, read, scratch, state_of
+from .catalogue import ORACLES, QUERIES, _topic_sql, query, read, scratch, state_of
 
 __all__ = ["ORACLES", "QUERIES"]  # of the catalogue and of this module
 
@@ -176,3 +176,37 @@ def log_commits(spark, d):
     archived = log.rotate(old)
     both = log.read().withColumn("archived", F.lit(False)).unionByName(archived.withColumn("archived", F.lit(True)))
     return both.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if("archived").alias("n_archived"))
+
+
+_TABLES = {
+    "region": ("r_name",), "nation": ("n_name",), "customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"),
+}
+_NAMES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+}
+_ASKED = {"region": "r_name", "nation": "n_name", "customer": "c_mktsegment", "part": "p_type"}
+_VALUE_ROWS = " UNION ALL ".join(f"SELECT '{t}.parquet' AS path, 1 AS weight, {c} AS text FROM {t}" for t, cs in _TABLES.items() for c in cs)
+_NAME_ROWS = ", ".join(f"('{t}.parquet', 3, '{t}')" for t in _TABLES) + ", " + ", ".join(f"('{t}.parquet', 2, '{c.replace('_', ' ')}')" for t, cs in _NAMES.items() for c in cs.split())
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT path, weight, unnest({_topic_sql('text')}) AS term FROM ({_VALUE_ROWS})),
+    n AS (SELECT path, weight, unnest({_topic_sql('text')}) AS term FROM (VALUES {_NAME_ROWS}) x(path, weight, text)),
+    e AS (SELECT term, path, max(weight) AS weight FROM (SELECT * FROM v WHERE regexp_matches(term, '[a-z]') OR length(term) <= 4 UNION ALL SELECT * FROM n) GROUP BY ALL),
+    i AS (SELECT term, ln(1 + 5 / count(*)) AS idf FROM e GROUP BY 1),
+    q AS (SELECT DISTINCT question, unnest({_topic_sql('question')}) AS term FROM ({" UNION ".join(f"SELECT 'figures of ' || {c} AS question FROM {t}" for t, c in _ASKED.items())})),
+    s AS (SELECT question, path, sum(idf * weight) AS score FROM q JOIN e USING (term) JOIN i USING (term) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, path) AS rank FROM s)
+    SELECT question, CAST(rank AS INTEGER) AS rank, path, round(score, 6) AS score FROM r WHERE rank <= 2"""
+)
+def route_tables(spark, d):
+    """For each region, nation, market segment and kind of part the two tables that fit a question for its figures."""
+    found = valueindex.ValueIndex(spark, scratch(spark, "millrace-values"))
+    found.refresh({f"{t}.parquet": read(spark, d, t) for t in _TABLES})
+    asked = None
+    for t, c in _ASKED.items():
+        some = read(spark, d, t).select(F.concat(F.lit("figures of "), c).alias("question"))
+        asked = some if asked is None else asked.unionByName(some)
+    routed = found.route_each(asked.distinct().withColumn("question_id", F.col("question")), 2)
+    return routed.select(F.col("question_id").alias("question"), "rank", "path", F.round("score", 6).alias("score"))

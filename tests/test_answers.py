@@ -225,3 +225,43 @@ def test_compact_digests():
     page = "---\na: b\n---\n# t\n\n## Columns\n\n- x\n\n## By region\n\n- EU: 1\n\n## By product\n\n- boat: 2\n"
     assert contextstore.compact(page, "boat sales by product", 1000) == "# t\n\n## By product\n\n- boat: 2\n## By region\n\n- EU: 1"
     assert contextstore.compact(page, "x", 10).endswith("_cut_")
+
+
+# ---- which table
+
+
+def test_the_table_that_holds_the_entity_answers(spark, tmp_path):
+    root = tmp_path / "kb"
+    (root / "sales").mkdir(parents=True)
+    for i in range(10):
+        client = "Zephyr Works" if i == 6 else f"Client{i}"
+        (root / f"sales/list{i}.csv").write_text(f"customer,year,revenue\n{client},2024,{100 + i}\nOther{i},2024,1\n")
+    kb = KnowledgeBase(spark, config.Settings(root=str(root), store=str(tmp_path / "store")), {"sales": config.Domain("sales", ("revenue",))})
+    kb.reindex(1.0)
+    assert kb.values.route("total revenue of Zephyr Works in 2024")[0] == "sales/list6.csv"
+    found = assistant.Assistant(kb).domain_answer("sales", "total revenue of Zephyr Works in 2024", [], 3)
+    assert found.tier == "analyst" and found.sources[0]["path"] == "sales/list6.csv"
+    (root / "sales/list6.csv").write_text("customer,year,revenue\nNobody,2024,3\n")
+    (root / "sales/list2.csv").write_text("customer,year,revenue\nZephyr Works,2024,3\n")
+    before = {s.name for s in kb.values.log.state().of("rows")}
+    kb.reindex(2.0)
+    assert kb.values.route("total revenue of Zephyr Works in 2024")[0] == "sales/list2.csv"
+    fresh = [s for s in kb.values.log.state().of("rows") if s.name not in before]
+    assert sum(s.rows for s in fresh) < 40  # the entries of two files
+
+
+def test_digests_answer_before_files(kb):
+    store = contextstore.ContextStore(kb)
+    store.sync()
+    a = assistant.Assistant(kb, context=store)
+    found = a.domain_answer("hr", "holiday calendar", [], 3)
+    assert found.tier == "digest" and "thirty days" in found.text and {s["path"] for s in found.sources} == {"hr/leave.md"}
+    assert a.domain_answer("hr", "quarterly zebra", [], 3).tier == "files"
+
+
+def test_long_answers_say_what_they_leave_out():
+    rows = [{"key": f"customer number {i}", "total": i} for i in range(400)]
+    text = assistant.shown_rows(rows)
+    assert len(text) < assistant.ANALYST_CHARS + 50 and text.endswith("more rows_") and text.count("\n|") >= 20
+    assert "more rows" not in assistant.shown_rows(rows[:3])
+    assert assistant.trimmed("a\nbc\nde", 5) == "a\nbc\n\n_cut_"
