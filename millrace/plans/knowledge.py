@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import embed
 from ..functions import scalars as S
-from ..operators import gates, index, routing, search
+from ..operators import gates, index, routing, search, sketches
 from ..sources import config, documents, postings, tables, vectorindex
+from ..sources.commitlog import CommitLog
 from ..sources.store import Store
 from ..sources.valueindex import ValueIndex
 from . import plugins, render
@@ -25,6 +27,7 @@ class KnowledgeBase:
         self.store = Store(spark, settings.store)
         self.held = plugins.Cache()
         self.values = ValueIndex(spark, f"{settings.store.rstrip('/')}/values")
+        self.sketches = CommitLog(spark, f"{settings.store.rstrip('/')}/sketches", sketches.SCHEMA, "path")
 
     # ---- index
 
@@ -52,8 +55,14 @@ class KnowledgeBase:
         gone = index.orphans(known, files).select("path")
         counts = {"changed": fresh.count(), "removed": gone.count()}
         if counts["changed"] or counts["removed"]:
-            self.values.remove(gone.unionByName(fresh.select("path")))
-            self.values.refresh(self.tables(fresh))
+            out = gone.unionByName(fresh.select("path"))
+            self.values.remove(out)
+            self.sketches.delete(out)
+            if found := self.tables(fresh):
+                self.values.refresh(found)
+                each = [sketches.sketch(df, path) for path, df in found.items() if df.columns]
+                if each:
+                    self.sketches.upsert(functools.reduce(DataFrame.unionByName, each))
             # files that have no text any more keep no chunks either
             self.store.remove(gone.unionByName(fresh.select("path")))
             self.store.upsert(self.chunks(fresh))
@@ -73,6 +82,10 @@ class KnowledgeBase:
                     continue  # its digest says why
         return found
 
+    def profile(self, domain: str) -> DataFrame:
+        """The columns of all tables of a domain, by name, from the sketches of its files; no file is read."""
+        return sketches.report(self.sketches.read().where(F.substring_index("path", "/", 1) == domain))
+
     def worded(self) -> DataFrame:
         return self.store.read("chunks").select("chunk_id", "path", "domain", F.concat_ws(" ", "name", "text").alias("t"))
 

@@ -9,6 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..operators import sketches
 from ..sources import commitlog, pages, valueindex, vectorindex
 from ..streaming import events, folder, keyed
 from .catalogue import ORACLES, QUERIES, _topic_sql, query, read, scratch, state_of
@@ -210,3 +212,37 @@ def route_tables(spark, d):
         asked = some if asked is None else asked.unionByName(some)
     routed = found.route_each(asked.distinct().withColumn("question_id", F.col("question")), 2)
     return routed.select(F.col("question_id").alias("question"), "rank", "path", F.round("score", 6).alias("score"))
+
+
+_SKETCHED = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+_SKETCHED_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS name, nullif(trim(CAST({c} AS VARCHAR)), '') AS v, {c if c not in ('c_name', 'c_mktsegment') else 'NULL'}::DOUBLE AS x FROM customer" for c in _SKETCHED)
+
+
+@query(
+    f"""SELECT name, count(*) AS n_rows, count(*) - count(v) AS n_nulls, round((count(*) - count(v)) / count(*), 3) AS null_rate, round(count(x) / nullif(count(v), 0), 4) AS numeric_ratio,
+    CAST(sum(CAST(x AS DECIMAL(28,4))) AS DOUBLE) AS total, true AS cardinality_near, true AS quartiles_near, true AS common_near FROM ({_SKETCHED_CELLS}) GROUP BY name"""
+)
+def profile_sketches(spark, d):
+    """Customers in four files; a fifth state is merged from the sketches of three known files and a new one. What is exact
+    is shown; distinct counts, quartiles and common values are compared with exact ones within the stated errors."""
+    rows = read(spark, d, "customer").select(*_SKETCHED)
+    log = commitlog.CommitLog(spark, scratch(spark, "millrace-sketches"), sketches.SCHEMA, "path")
+    for i in range(4):
+        log.upsert(sketches.sketch(rows.where(F.pmod("c_custkey", F.lit(4)) == i), f"part{i}"))
+    found = sketches.report(log.read(), common=3)
+    cells = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), S.label(F.col(c)).alias("value")) for c in _SKETCHED))))
+    x = S.number(F.col("value"))
+    exact = cells.groupBy("name").agg(F.count_distinct("value").alias("distinct"), F.count("value").alias("known"))
+    ranks = cells.select("name", x.alias("x")).join(F.broadcast(found.select("name", "quartiles")), "name")  # a row for each column
+    ranks = ranks.groupBy("name").agg(*(F.avg((F.col("x") <= F.element_at("quartiles", k)).cast("double")).alias(f"upto{k}") for k in (1, 2, 3)), *(F.avg((F.col("x") < F.element_at("quartiles", k)).cast("double")).alias(f"below{k}") for k in (1, 2, 3)))
+    near = F.lit(True)
+    for k in (1, 2, 3):
+        near = near & F.coalesce((F.col(f"upto{k}") >= k / 4 - 0.017) & (F.col(f"below{k}") <= k / 4 + 0.017), F.lit(True))
+    counts = cells.where("value is not null").groupBy("name", "value").agg(F.count("*").alias("exact"))
+    told = found.select("name", F.explode("common").alias("c")).select("name", "c.value", "c.n").join(counts, ["name", "value"])
+    told = told.join(exact.select("name", "known"), "name").groupBy("name").agg(F.max(F.abs(F.col("n") - F.col("exact")) - F.col("known") / sketches.TRACKED).alias("off"))
+    out = found.join(exact, "name").join(ranks, "name").join(told, "name")
+    return out.select(
+        "name", "n_rows", "n_nulls", "null_rate", F.round("numeric_ratio", 4).alias("numeric_ratio"), "total",
+        (F.abs(F.col("cardinality") - F.col("distinct")) <= 0.025 * F.col("distinct")).alias("cardinality_near"), near.alias("quartiles_near"), (F.col("off") <= 0).alias("common_near"),
+    )
