@@ -28,6 +28,12 @@ LOOK_ALIKES = dict(
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 ENDINGS = "com org net edu gov mil info biz io co ai dev app eu uk ca au fr nl ch pl ru jp cn br example".split()
 DETERMINERS = ("the", "a", "an", "this", "that", "each", "every", "any", "no", "my", "your", "his", "her", "its", "our", "their")
+# Fixed values of English: words that go on with a sentence after a "dot", and words before "at" that aren't mailboxes.
+GOING_ON = "i we you he she it they and or but so then than when if is are was were be to in on of for with go now not as at by from there here".split()
+NO_MAILBOX = (
+    "us me him her them it you more look looks looked looking see visit available found find here there online hosted based located is are was were be been being read live all up only "
+    "order page site sites website web posted published shop stop join meet start starts listed information info details documentation docs docs blog code home register sign"
+).split()
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,8 +50,8 @@ _KNOWN = "|".join(ENDINGS)
 #: A spelled domain: any ending of letters after a spelled dot will do, unless the words before are plain prose
 #: ("at the dot now") or the ending is a digit ("at seven dot five").
 _SPELLED_DOMAIN = (
-    rf"(?:[\w-]+(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?:{_KNOWN})\b"
-    rf"|(?!(?:{'|'.join(DETERMINERS)})\b)[\w-]+(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?!{_WORD}\b)[a-z]{{2,24}}\b)"
+    rf"(?!(?:{'|'.join(DETERMINERS)})\b)(?:[\w-]+(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?:{_KNOWN})\b"
+    rf"|[\w-]+(?:[ \t]+dot[ \t]+[\w-]+)*[ \t]+dot[ \t]+(?!(?:{_WORD}|{'|'.join(GOING_ON)})\b)[a-z]{{2,24}}\b)"
 )
 #: The blanks before a bracket are taken when it has matched, so that a run of blanks is read once.
 _REWRITE = re.compile(
@@ -53,15 +59,19 @@ _REWRITE = re.compile(
     r"|(?P<at>[\[({<][ \t]*at[ \t]*[\])}>][ \t]*"
     rf"|(?<=\w)[ \t]+at[ \t]+(?={_SPELLED_DOMAIN}|[\w-]+[ \t]*[\[({{<][ \t]*dot)"
     rf"|(?<=[a-z0-9])(?:_at_(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_KNOWN})\b)|(?P<s>[_-])at(?P=s)(?=[a-z0-9]+(?:(?P=s)dot(?P=s)[a-z0-9]+)*(?P=s)dot(?P=s)[a-z]{{2,24}}\b))"
-    r"|&(?:\#0{0,8}64|\#x0{0,8}40|commat);)"
-    r"|(?P<dot>[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*|(?<=\w)[ \t]+dot[ \t]+(?=\w)|(?<=[a-z0-9])(?P<z>[_-])dot(?P=z)(?=[a-z0-9])|&(?:\#0{0,8}46|\#x0{0,8}2e|period);)"
+    r"|&(?:\#0{0,8}64|\#x0{0,8}40|commat);"
+    rf"|(?<=\w)[ \t]+(?P<near>at)[ \t]+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_KNOWN})\b)"
+    r"|(?<=\w)[ \t]+-[ \t]?at[ \t]?-[ \t]*(?=\w)|(?<=\w)[ \t]+@[ \t]+(?=\w))"
+    r"|(?P<dot>[\[({<][ \t]*dot[ \t]*[\])}>][ \t]*|(?<=\w)[ \t]+dot[ \t]+(?=\w)|(?<=[a-z0-9])(?P<z>[_-])dot(?P=z)(?=[a-z0-9])|&(?:\#0{0,8}46|\#x0{0,8}2e|period);"
+    rf"|(?<=\w)[ \t]+-[ \t]?dot[ \t]?-[ \t]*(?=\w)|(?<=\w)[ \t]+\.[ \t]+(?=(?:{_KNOWN})\b))"
     rf"|(?P<plus>\bplus[ \t]+(?={_WORD}\b|[0-9]))"
     rf"|(?P<digits>\b{_WORD}(?:[ -]{_WORD})*\b)",
     re.I,
 )
 
 
-_AT = re.compile(r"[\[({<][ \t]*at|[a-z0-9]_at_|&(?:\#|commat|period)", re.I)
+_AT = re.compile(rf"[\[({{<][ \t]*at|[a-z0-9]_at_|&(?:\#|commat|period)|[ \t](?:-[ \t]?at[ \t]?-|@[ \t]|at[ \t]+[a-z0-9-]+\.|\.[ \t]+(?:{_KNOWN})\b)", re.I)
+_LAST = re.compile(r"[a-z0-9._%+-]+\Z", re.I)
 _PLUS = re.compile(rf"\bplus[ \t]+(?:{_WORD}\b|[0-9])", re.I)
 _SPELLED = re.compile(_WORDS)
 _BESIDE = re.compile(rf"(?:{_WORDS})[ .-](?:{_WORDS}|[0-9])")
@@ -116,7 +126,8 @@ def plain_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def disguised(text: str) -> bool:
     """Whether rewriting the text can give other spans: tests that follow from each alternative of ``_REWRITE``.
 
-    ``at`` needs a bracket or a low line before it, or ``dot`` after it, and a character reference its ``&``. A spelled digit alters cards, addresses of hosts and mail only
+    ``at`` needs a bracket, a dash or a low line before it, or a domain or ``dot`` after it, ``@`` and a dot that are set
+    apart need blanks on both sides, and a character reference its ``&``. A spelled digit alters cards, addresses of hosts and mail only
     beside another digit, spelled or not, and phones only after a plus; alone it stands for a character of the same class.
     """
     if not text.isascii() and _STRANGE.search(text):
@@ -144,6 +155,10 @@ class Rewritten:
 
         for m in _REWRITE.finditer(even):
             low = m.start()
+            if m["near"]:  # "read more at example.com"
+                before = _LAST.search(even, max(0, low - 64), low)
+                if not before or before[0].lower().strip(".-") in NO_MAILBOX:
+                    continue
             if m["at"] or m["dot"]:
                 while low > at and even[low - 1] in " \t":
                     low -= 1

@@ -1,5 +1,6 @@
 import html as references
 import re
+import time
 import zlib
 from hashlib import sha256
 
@@ -240,3 +241,30 @@ def test_entries_of_any_number_of_folders(spark):
     entries = spark.createDataFrame(keys, "list string, key string").selectExpr("list", "key", "'add' as action", f"{day} as at")
     got = {r.url: r.lists for r in url_lists.active_lists(captures, entries).collect()}
     assert got == {urls[0]: "deep,three", urls[1]: "three", urls[2]: "", urls[3]: "page"}
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("john at example.com", "email:0:19"),
+        ("john -at- example -dot- com", "email:0:27"),
+        ("j.d - at - example - dot - com", "email:0:30"),
+        ("john @ example . com", "email:0:20"),
+        ("mail john.smith at mail.example.org now", "email:5:35"),
+        ("see us at example.com or john at example.com", "email:25:44"),
+        ("meet at noon dot we go", ""),
+        ("look at this dot com boom", ""),
+        ("read more at example.com", ""),
+        ("we met at the office . Com was new", ""),
+        ("5 @ 3", ""),
+    ],
+)
+def test_marks_set_apart_and_prose(text, spans):
+    assert pii.listing(pii.find(text)[1]) == spans
+
+
+def test_marks_set_apart_take_linear_time():
+    for text in ("a at b.c " * 100_000, "a @ " * 200_000, "a - at - " * 100_000, "a . com " * 100_000, "a at " + "b." * 300_000 + " x", " -" * 400_000):
+        start = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - start < 3, text[:12]
