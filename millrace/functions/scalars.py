@@ -244,9 +244,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """All folders above a relative path."""
+    """All folders above a relative path, none of a path without folders."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: F.concat_ws("/", F.slice(parts, 1, i + 1)))
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))
 
 
 def glob_like(path: Column, pattern: str) -> Column:

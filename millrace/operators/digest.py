@@ -35,6 +35,23 @@ def totals_by_dimension(df: DataFrame, metric: str, dimensions: list[str], most:
     return keyed.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
 
+def breakdowns(df: DataFrame, metrics: list[str], dimensions: list[str], most: int = 8) -> DataFrame:
+    """``metric, dimension, key, value, n_rows, n_groups``: the largest groups of every metric in every dimension, and how
+    many there are, from one scan with grouping sets."""
+    sums = [F.round(S.exact_sum(F.col(f"__m{i}")), 2).alias(f"__m{i}") for i in range(len(metrics))]
+    named = df.select(*(S.number_of(df, m).alias(f"__m{i}") for i, m in enumerate(metrics)), *(S.label(F.col(f"`{d}`")).alias(f"__d{i}") for i, d in enumerate(dimensions)))
+    columns = [f"__d{i}" for i in range(len(dimensions))]
+    grouped = named.groupingSets([[F.col(c)] for c in columns], *columns).agg(F.grouping_id().alias("gid"), F.count("*").alias("n_rows"), *sums)
+    full = (1 << len(columns)) - 1
+    which = F.coalesce(*(F.when(F.col("gid") == full - (1 << (len(columns) - 1 - i)), F.lit(d)) for i, d in enumerate(dimensions)))
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"__m{i}").alias("value")) for i, m in enumerate(metrics)))
+    each = grouped.select(which.alias("dimension"), F.coalesce(*columns).alias("key"), "n_rows", F.explode(cells).alias("c")).where("key is not null and c.value is not null")
+    rows = each.select("c.metric", "dimension", "key", "c.value", "n_rows")
+    rank = F.row_number().over(Window.partitionBy("metric", "dimension").orderBy(F.desc("value"), "key"))
+    sizes = rows.groupBy("metric", "dimension").agg(F.count("*").alias("n_groups"))  # metrics x dimensions
+    return rows.withColumn("r", rank).where(F.col("r") <= most).drop("r").join(F.broadcast(sizes), ["metric", "dimension"])
+
+
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """``metric, total, n_values, max_abs`` by unpivoting the metrics."""
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), S.number_of(df, m).alias("x")) for m in metrics))

@@ -202,6 +202,10 @@ def chart_of(kind: str, found: dict, label: str, value: str, name: str) -> dict:
     return render.chart(kind, [r[label] for r in found["rows"]], {name: [r[value] for r in found["rows"]]}, found["total"])
 
 
+#: Groups that a digest shows of a metric in a dimension.
+GROUPS = 8
+
+
 def digest_of(df: DataFrame, name: str) -> str:
     """A table's digest in Markdown."""
     card = profile.card(df, name)
@@ -210,9 +214,12 @@ def digest_of(df: DataFrame, name: str) -> str:
     totals = collected(digest.metric_summary(df, metrics).orderBy("metric"), len(metrics)) if metrics else []
     groups: dict[str, list[dict]] = {}
     if metrics and dimensions:
-        for r in collected(digest.totals_by_dimension(df, metrics[0], list(dimensions.values()), 8).orderBy("dimension", F.desc("value"), "key"), 400):
-            if r["dimension"] != "TOTAL":
-                groups.setdefault(r["dimension"], []).append(r)
+        place = {m: i for i, m in enumerate(metrics)}
+        known = list(dict.fromkeys(dimensions.values()))
+        found = digest.breakdowns(df, metrics, known, GROUPS).orderBy("metric", "dimension", F.desc("value"), "key")
+        # the first metric's groups go by the dimension's name, those of the others say whose they are
+        for r in sorted(collected(found, GROUPS * len(metrics) * len(known)), key=lambda r: place[r["metric"]]):
+            groups.setdefault(r["dimension"] if r["metric"] == metrics[0] else f"{r['dimension']}, {r['metric']}", []).append(r)
     named = [c for c in card.of_kind("entity", "categorical")]
     values = [F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(named)]
     words = collected(digest.keywords(df.select(F.explode(F.array(*values)).alias("v")).select("v.*")), 25) if values else []

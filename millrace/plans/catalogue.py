@@ -413,7 +413,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share; a local one only on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -516,6 +517,7 @@ def _topic_sql(c: str) -> str:
     SELECT doc_id, round(score, 6) AS score FROM s WHERE score >= 2 AND score >= 0.5 * (SELECT max(score) FROM s) ORDER BY round(s.score, 9) DESC, doc_id LIMIT 3"""
 )
 def search_digest_rank(spark, d):
+    """Documents as digests: a made input, whose keyword field is what a text begins with; the body is the whole text."""
     hits = search.rank_digests(read(spark, d, "documents"), "ther onst thation src3", "doc_id", F.col("source"), F.substring("text", 1, 80), F.col("text"))
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -794,6 +796,7 @@ def gate_confidential(spark, d):
     SELECT lang, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'thin') AS n_thin, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'unsupported') AS n_unsupported FROM c GROUP BY 1"""
 )
 def gate_extraction_status(spark, d):
+    """A made input: every ninth text is shortened first, so that there are thin ones among them."""
     t = read(spark, d, "documents").select("lang", "doc_id", F.when(F.col("doc_id") % 9 == 0, F.substring("text", 1, 30)).otherwise(F.col("text")).alias("text"))
     return gates.report(gates.statuses(t, supported=F.col("doc_id") % 10 != 0), "lang")
 

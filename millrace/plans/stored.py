@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import sketches
+from ..operators import digest, logs, sketches
 from ..sources import commitlog, pages, valueindex, vectorindex
 from ..streaming import events, folder, keyed
-from .catalogue import ORACLES, QUERIES, _topic_sql, query, read, scratch, state_of
+from .catalogue import DOCS, ORACLES, QUERIES, _topic_sql, docs, query, read, scratch, state_of
 
 __all__ = ["ORACLES", "QUERIES"]  # of the catalogue and of this module
 
@@ -146,16 +146,16 @@ def built_vectors(spark: SparkSession, d: str) -> vectorindex.VectorIndex:
 def index_segments(spark, d):
     """Two thirds of the documents; then a fifth of those changes, the rest comes, a seventh goes, part of which comes back,
     and segments are merged. ``small`` tells that no update wrote more than what changed needs."""
-    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    all_ = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     log = commitlog.CommitLog(spark, scratch(spark, "millrace-segments"), "doc_id long, text string", "doc_id")
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))
-    log.append(docs.where("doc_id % 3 != 0"))
+    log.append(all_.where("doc_id % 3 != 0"))
     before = log.state().segments
-    log.upsert(docs.where("doc_id % 3 != 0 and doc_id % 5 = 0").withColumn("text", changed))
+    log.upsert(all_.where("doc_id % 3 != 0 and doc_id % 5 = 0").withColumn("text", changed))
     new = sum(s.bytes for s in log.state().segments.values() if s.name not in before)
-    log.upsert(docs.where("doc_id % 3 = 0"))
-    log.delete(docs.where("doc_id % 7 = 0"))
-    log.upsert(docs.where("doc_id % 28 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(changed)))
+    log.upsert(all_.where("doc_id % 3 = 0"))
+    log.delete(all_.where("doc_id % 7 = 0"))
+    log.upsert(all_.where("doc_id % 28 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(changed)))
     log.merge(2)
     small = new < 0.5 * sum(s.bytes for s in before.values())
     return log.read().select("doc_id", F.md5("text").alias("hash"), F.lit(small).alias("small"))
@@ -246,3 +246,37 @@ def profile_sketches(spark, d):
         "name", "n_rows", "n_nulls", "null_rate", F.round("numeric_ratio", 4).alias("numeric_ratio"), "total",
         (F.abs(F.col("cardinality") - F.col("distinct")) <= 0.025 * F.col("distinct")).alias("cardinality_near"), near.alias("quartiles_near"), (F.col("off") <= 0).alias("common_near"),
     )
+
+
+@query(
+    """WITH c AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(o_totalprice AS DECIMAL(28,4)) AS price, CAST(o_custkey AS DECIMAL(28,4)) AS customer FROM orders),
+    g AS (SELECT 'status' AS dimension, status AS key, sum(price) AS price, sum(customer) AS customer, count(*) AS n_rows FROM c GROUP BY 2
+      UNION ALL SELECT 'priority', priority, sum(price), sum(customer), count(*) FROM c GROUP BY 2),
+    m AS (SELECT 'price' AS metric, dimension, key, round(CAST(price AS DOUBLE), 2) AS value, n_rows FROM g UNION ALL SELECT 'customer', dimension, key, round(CAST(customer AS DOUBLE), 2), n_rows FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY metric, dimension ORDER BY value DESC, key) AS r, count(*) OVER (PARTITION BY metric, dimension) AS n_groups FROM m WHERE key IS NOT NULL)
+    SELECT metric, dimension, key, value, n_rows, n_groups FROM r WHERE r <= 4"""
+)
+def digest_all_metrics(spark, d):
+    """Every metric in every dimension of the orders, the four largest groups of each."""
+    rows = read(spark, d, "orders").selectExpr("o_orderstatus as status", "o_orderpriority as priority", "o_totalprice as price", "o_custkey as customer")
+    return digest.breakdowns(rows, ["price", "customer"], ["status", "priority"], 4)
+
+
+# ---- logs ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 1 + 4 * quality - toxic AS rating, doc_id % 90 AS ts FROM labels ORDER BY rating, ts DESC, doc_id LIMIT 10")
+def feedback_lowest(spark, d):
+    """The ten answers that were rated lowest, the newest first among equals."""
+    rated = read(spark, d, "labels").selectExpr("doc_id", "1 + 4 * quality - toxic as rating", "doc_id % 90 as ts")
+    return logs.lowest_rated(rated, "doc_id")
+
+
+@query(
+    f"""WITH {DOCS}, a AS (SELECT doc_id, unnest([array_to_string(string_split(path, '/')[1 : i], '/') FOR i IN range(1, len(string_split(path, '/')))]) AS folder FROM docs)
+    SELECT folder, count(*) AS n_documents FROM a GROUP BY 1"""
+)
+def index_ancestors(spark, d):
+    """How many documents lie in each folder and in those below it."""
+    rows = docs(spark, d).select(F.explode(S.ancestors(F.col("path"))).alias("folder"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n_documents"))
