@@ -65,7 +65,7 @@ def audit(
     and E where it is a copy. Null parts are the part ''. Rows that share an id are documents of their own, which don't
     make each other copies. A null id is neither smaller than another nor has a smaller one, and no label. ``labels``
     are good or toxic if any row of that id says so. Other columns are left out; an empty table gives no rows. Texts of
-    any length are scanned whole, with working memory of some ten times the longest.
+    any length are scanned whole, with working memory of some thirty times the longest.
     """
     prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()

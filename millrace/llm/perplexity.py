@@ -412,7 +412,7 @@ def judged(
     those are kept whose perplexity per character is between the fences of their language, which are drawn from them
     alone; the model counts all rows. Null texts are empty, have no perplexity and fail; null languages are ''. Repeated
     rows are documents of their own. Other columns are left out; an empty table gives no rows. Texts of any length are
-    read whole, with working memory of some hundred times the longest. A model of over ``most_entries`` n-grams isn't
+    read whole, with working memory of some fifty times the longest. A model of over ``most_entries`` n-grams isn't
     broadcast: the documents' n-grams are joined with it.
     """
     prepare(df.sparkSession)
