@@ -431,7 +431,9 @@ def built_postings(spark: SparkSession, d: str) -> str:
     key = (spark.sparkContext.applicationId, d, *state_of(spark, f"{d}/documents.parquet"))
     if key not in _built:
         folder = scratch(spark, "millrace-postings")
-        postings.build(read(spark, d, "documents"), "doc_id", F.concat_ws(" ", "source", "text"), folder, F.coalesce("lang", F.lit("none")))
+        rows = read(spark, d, "documents")
+        scope = F.coalesce("lang", F.lit("none")) if "lang" in rows.columns else F.lit("none")
+        postings.build(rows, "doc_id", F.concat_ws(" ", "source", "text"), folder, scope)
         _built[key] = folder
     return _built[key]
 
