@@ -19,6 +19,10 @@ def keep_states(spark: SparkSession) -> None:
     """Prepares for stateful processors. States of many keys need the store that lies on disk; streams that were started before keep their own."""
     carry(__name__)
     ship(spark)
+    _on_disk(spark)
+
+
+def _on_disk(spark: SparkSession) -> None:
     spark.conf.set(_PROVIDER, _ROCKS)
 
 
@@ -26,8 +30,9 @@ def keep_states(spark: SparkSession) -> None:
 
 
 def merged(pieces: pd.DataFrame, quiet: int) -> pd.DataFrame:
-    """``first, last, path, kind, at, seq, n`` of a key, one row for each burst and path: pieces less than ``quiet`` apart
-    are one burst, in which a path's latest event wins, of equal times the one with the larger ``seq``."""
+    """What ``debounced`` makes of a key's events in memory: ``first, last, path, kind, at, seq, n``, one row for each burst
+    and path. Pieces less than ``quiet`` apart are one burst, in which a path's latest event wins, of equal times the one
+    with the larger ``seq``."""
     pieces = pieces.sort_values(["first", "last", "at", "seq"], kind="stable", ignore_index=True)
     before = pieces["last"].cummax().shift(fill_value=pieces["first"].iloc[0])
     burst = (pieces["first"] - before >= quiet).cumsum()
@@ -37,79 +42,26 @@ def merged(pieces: pd.DataFrame, quiet: int) -> pd.DataFrame:
     return out.join(spans, on="burst")[["first", "last", "path", "kind", "at", "seq", "n"]]
 
 
-class Bursts(StatefulProcessor):
-    """Each event moves its key's deadline; when the watermark passes it, the burst leaves as one row. Open bursts keep
-    one row a path."""
-
-    STATE = "first bigint, last bigint, path string, kind string, at bigint, seq bigint, n bigint"
-    COLUMNS = ["first", "last", "path", "kind", "at", "seq", "n"]
-
-    def __init__(self, quiet: int):
-        self.quiet = quiet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.open = handle, handle.getListState("open", self.STATE)
-
-    def deadline(self, last: int) -> int:
-        """In milliseconds, as timers are."""
-        return -(-(last + self.quiet) // 1000)
-
-    def known(self) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in self.open.get()], columns=self.COLUMNS)
-
-    def keep(self, pieces: pd.DataFrame) -> None:
-        if len(pieces):
-            self.open.put([(int(a), int(b), p, k, int(t), int(s), int(n)) for a, b, p, k, t, s, n in pieces.itertuples(index=False)])
-        else:
-            self.open.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pieces = [self.known()] if self.open.exists() else []
-        for b in rows:
-            at = b["at"].astype("int64")
-            pieces.append(pd.DataFrame({"first": at, "last": at, "path": b["path"], "kind": b["kind"], "at": at, "seq": b["seq"], "n": 1}))
-            pieces = [merged(pd.concat(pieces, ignore_index=True), self.quiet)]
-        self.keep(pieces[0])
-        due = {self.deadline(int(t)) for t in pieces[0]["last"].unique()}
-        set_ = set(self.handle.listTimers())
-        for t in set_ - due:
-            self.handle.deleteTimer(t)
-        for t in due - set_:
-            self.handle.registerTimer(t)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pieces = self.known()
-        over = pieces["last"].map(self.deadline) <= expiredTimerInfo.getExpiryTimeInMs()
-        self.keep(pieces[~over])
-        for (first, last), burst in pieces[over].groupby(["first", "last"]):
-            gone = burst["kind"] == "deleted"
-            yield pd.DataFrame(
-                {
-                    "folder": [key[0]], "first": [first], "last": [last], "n_events": [int(burst["n"].sum())],
-                    "removed": [sorted(burst["path"][gone])], "indexed": [sorted(burst["path"][~gone])],
-                }
-            )
-
-    def close(self) -> None:
-        pass
-
-
 def debounced(events: DataFrame, quiet: str = "5 seconds", late: str = "1 minute") -> DataFrame:
     """The stream of ``folder, first_at, last_at, n_events, removed, indexed`` from ``folder, path, kind, at, seq``: a
     folder's burst leaves once no event has come for ``quiet``, with the paths to take out of an index and then those to
-    put in, by the last event of each. Events that are ``late`` behind the newest are dropped, others find their burst in
-    whatever order they come, and may join two. An event exactly ``quiet`` after another begins a burst of its own. A
-    folder with too many paths for one state is to be cut into smaller ones by the caller."""
+    put in, by the last event of each, of equal times the one with the larger ``seq``. A burst is a session window. Events
+    that are ``late`` and ``quiet`` behind the newest are dropped, others find their burst in whatever order they come, and
+    may join two; one whose burst has left makes another. An event exactly ``quiet`` after another begins a burst of its own. The state holds the events of open
+    bursts; a folder with too many of them is to be cut into smaller ones by the caller."""
     spark = events.sparkSession
-    keep_states(spark)
+    _on_disk(spark)
+    # session windows that touch are one, so they end just before what begins another burst
     micros = int(spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {quiet})")).first()[0])
-    rows = events.withWatermark("at", late).select("folder", "path", "kind", F.unix_micros("at").alias("at_micros"), "seq", "at")
-    kind = events.schema["folder"].dataType.simpleString()
-    out = rows.select("folder", "path", "kind", F.col("at_micros").alias("at"), "seq", F.col("at").alias("event_time")).groupBy("folder").transformWithStateInPandas(
-        Bursts(micros), f"folder {kind}, first bigint, last bigint, n_events bigint, removed array<string>, indexed array<string>", "Append", "EventTime"
-    )
-    return out.select("folder", F.timestamp_micros("first").alias("first_at"), F.timestamp_micros("last").alias("last_at"), "n_events", "removed", "indexed")
+    event = F.struct("path", "at", "seq", "kind")
+    bursts = events.withWatermark("at", late).groupBy(F.session_window("at", f"{micros - 1} microseconds"), "folder").agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n_events"), F.sort_array(F.collect_list(event)).alias("events")
+    )
+    # in order of paths, then of time: a path's last event is followed by another path or by nothing
+    newest = F.filter("events", lambda e, i: (i == F.size("events") - 1) | ~F.get("events", i + 1)["path"].eqNullSafe(e["path"]))
+    paths = lambda gone: F.transform(F.filter("newest", lambda e: e["kind"].eqNullSafe("deleted") == gone), lambda e: e["path"])
+    told = bursts.select("folder", "first_at", "last_at", "n_events", newest.alias("newest"))
+    return told.select("folder", "first_at", "last_at", "n_events", paths(True).alias("removed"), paths(False).alias("indexed"))
 
 
 # -- sets that are reported when they change
