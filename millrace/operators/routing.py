@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
+from ..session import ship
 
 
 def keyword_hits(questions: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -60,15 +64,40 @@ def conflicts(answers: DataFrame) -> DataFrame:
 
 def complementary(answers: DataFrame, new_words: int = 3) -> DataFrame:
     """Per domain the first sentence with at least ``new_words`` words of four letters that no other domain's answer
-    contains. Words are matched by joins on the word, not by pairs of texts."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]{4,})"), F.lit(1)))
-    sentences = answers.select("domain", F.posexplode(T.sentences(F.col("answer"))).alias("nth", "sentence"))
-    each = sentences.select("domain", "nth", "sentence", F.explode(words(F.col("sentence"))).alias("word"))
-    owners = answers.select("domain", F.explode(words(F.col("answer"))).alias("word")).groupBy("word").agg(F.count_distinct("domain").alias("n"))
-    new = each.join(owners, "word").groupBy("domain", "nth", "sentence").agg(F.count_if(F.col("n") == 1).alias("n_new")).where(F.col("n_new") >= new_words)
+    contains. Words leave an answer once, without its text; each answer then meets the words that are its own."""
+    ship(answers.sparkSession)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("answer")), F.lit(r"([a-z]{4,})"), F.lit(1)))
+    lone = F.min("domain").alias("owner"), F.max("domain").alias("other"), F.bool_or(F.col("domain").isNull()).alias("anon")
+    owned = answers.select("domain", F.explode(words).alias("word")).groupBy("word").agg(*lone).where("owner = other")
+    # a word that only one domain has is also new in answers of no domain
+    holders = F.when(F.col("anon"), F.array("owner", F.lit(None).cast(answers.schema["domain"].dataType))).otherwise(F.array("owner"))
+    own = owned.select("word", F.explode(holders).alias("holder")).groupBy("holder").agg(F.collect_list("word").alias("own"))
+    parts = T.sentences(F.col("answer"))
+    mine = answers.join(own, F.col("domain").eqNullSafe(F.col("holder"))).select("domain", parts.alias("sentences"), "own")
+    kind = answers.schema["domain"].dataType.simpleString()
+    each = mine.select("domain", "sentences", F.transform("sentences", lambda s: F.lower(s)).alias("low"), "own")
+    found = each.mapInArrow(_new_words, f"domain {kind}, nth int, sentence string, n_new long")
+    new = found.groupBy("domain", "nth", "sentence").agg(F.sum("n_new").alias("n_new")).where(F.col("n_new") >= new_words)
     return new.groupBy("domain").agg(F.min_by(F.struct("sentence", "n_new"), "nth").alias("s")).select("domain", "s.sentence", "s.n_new")
 
 
+def _new_words(batches):
+    """``domain, nth, sentence, n_new`` of the sentences that have some of their answer's own words."""
+    word = re.compile("[a-z]{4,}")
+    for b in batches:
+        at, nths, told, counts = [], [], [], []
+        for i, (sentences, low, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("sentences", "low", "own")), strict=True)):
+            own = set(own)
+            for nth, text in enumerate(low or ()):
+                if n := len(own.intersection(word.findall(text))):
+                    at.append(i)
+                    nths.append(nth)
+                    told.append(sentences[nth])
+                    counts.append(n)
+        domains = b.column("domain").take(pa.array(at, pa.int64()))
+        yield pa.record_batch([domains, pa.array(nths, pa.int32()), pa.array(told, pa.string()), pa.array(counts, pa.int64())], names=["domain", "nth", "sentence", "n_new"])
+
+
 def grounding(claims: DataFrame, corpus_tokens: DataFrame) -> DataFrame:
     """``(claim_id, n_claims, n_grounded, score)``: the share of a text's tokens, stemmed, that the corpus has."""
     tokens = claims.select("claim_id", F.explode(F.array_distinct(F.transform(T.gate_tokens(F.col("text")), T.stem))).alias("token"))

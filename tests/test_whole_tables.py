@@ -1,7 +1,9 @@
 """Queries and answers that read all rows."""
 
 from millrace.plans import catalogue
+from millrace.operators import routing
 from millrace.plans.api import SHOWN, Engine
+from tests.shuffled import shuffled
 
 
 def test_conflicts_of_later_turns(spark, tmp_path):
@@ -18,6 +20,16 @@ def test_complementary_sentences_of_all_documents(spark, tmp_path):
     assert {(r.domain, r.n_new) for r in got} == {(i, 3) for i in range(60)} and all(r.sentence.startswith("Only this") for r in got)
 
 
+def test_words_leave_their_sentence_behind(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    texts = [" ".join(word(3000 * k + i) for i in range(3000)) for k in range(4)]
+    rows = [(k, f"Too short a one here. {t}. Then {t}?") for k, t in enumerate(texts)] + [(9, texts[0]), (8, None), (None, texts[3])]
+    before = shuffled(spark)
+    got = sorted((r.domain, r.sentence[:6], r.n_new) for r in routing.complementary(spark.createDataFrame(rows, "domain long, answer string")).where("domain is not null").collect())
+    assert got == [(k, word(3000 * k)[:5] + " ", 3000) for k in (1, 2, 3)]
+    assert shuffled(spark) - before < 5_000_000
+
+
 def test_answers_count_beyond_what_they_show(spark, tmp_path):
     lines = ["customer,year,revenue", *(f"C{i:03d},2023,{100 + i}" for i in range(SHOWN + 20)), *(f"C{i:03d},2024,{100 + i}" for i in range(3))]
     (tmp_path / "sales.csv").write_text("\n".join(lines))
