@@ -239,12 +239,17 @@ def profile_sketches(spark, d):
     for k in (1, 2, 3):
         near = near & F.coalesce((F.col(f"upto{k}") >= k / 4 - 0.017) & (F.col(f"below{k}") <= k / 4 + 0.017), F.lit(True))
     counts = cells.where("value is not null").groupBy("name", "value").agg(F.count("*").alias("exact"))
-    told = found.select("name", F.explode("common").alias("c")).select("name", "c.value", "c.n").join(counts, ["name", "value"])
-    told = told.join(exact.select("name", "known"), "name").groupBy("name").agg(F.max(F.abs(F.col("n") - F.col("exact")) - F.col("known") / sketches.TRACKED).alias("off"))
-    out = found.join(exact, "name").join(ranks, "name").join(told, "name")
+    told = found.select("name", F.explode("common").alias("c")).select("name", "c.value", "c.n")
+    told = counts.join(F.broadcast(told), ["name", "value"], "left").groupBy("name").agg(
+        F.max(F.abs(F.col("n") - F.col("exact"))).alias("off"), F.count("n").alias("n_told"), F.max(F.when(F.col("n").isNull(), F.col("exact"))).alias("untold")
+    )
+    bound = F.col("known") / sketches.TRACKED
+    # a column may have fewer common values than are asked for, or none: then no other value is common
+    common = (F.coalesce("off", F.lit(0)) <= bound) & ((F.coalesce("n_told", F.lit(0)) >= 3) | (F.coalesce("untold", F.lit(0)) <= bound))
+    out = found.join(exact, "name").join(ranks, "name").join(told, "name", "left")
     return out.select(
         "name", "n_rows", "n_nulls", "null_rate", F.round("numeric_ratio", 4).alias("numeric_ratio"), "total",
-        (F.abs(F.col("cardinality") - F.col("distinct")) <= 0.025 * F.col("distinct")).alias("cardinality_near"), near.alias("quartiles_near"), (F.col("off") <= 0).alias("common_near"),
+        (F.abs(F.col("cardinality") - F.col("distinct")) <= 0.025 * F.col("distinct")).alias("cardinality_near"), near.alias("quartiles_near"), common.alias("common_near"),
     )
 
 

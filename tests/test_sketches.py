@@ -3,6 +3,7 @@
 import random
 
 from millrace.operators import profile, sketches
+from millrace.plans import stored
 from millrace.plans.knowledge import KnowledgeBase
 from millrace.sources import config
 
@@ -44,3 +45,11 @@ def test_a_grown_folder_reads_its_new_file_only(spark, tmp_path):
     (root / "sales/a.csv").unlink()
     kb.reindex(3.0)
     assert {r.name: r.n_rows for r in kb.profile("sales").collect()} == {"customer": 2, "revenue": 2}
+
+
+def test_columns_without_common_values_are_reported(spark, tmp_path):
+    kinds = "case when id % 9 < 5 then 'A' when id % 9 < 8 then 'B' else 'C' end as c_mktsegment"
+    rows = spark.range(15_000).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name", "cast(id % 25 as int) as c_nationkey", "cast(id * 7919 % 15000 as double) as c_acctbal", kinds)
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    got = stored.QUERIES["profile_sketches"](spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.n_rows, r.cardinality_near, r.quartiles_near, r.common_near) for r in got) == [(c, 15_000, True, True, True) for c in sorted(stored._SKETCHED)]
