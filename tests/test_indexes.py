@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import search
 from millrace.sources import postings, vectorindex
+from tests.shuffled import shuffled
 
 # ---- postings
 
@@ -53,6 +54,29 @@ def test_postings_of_nothing(spark, texts, tmp_path):
     assert postings.bm25(spark, str(tmp_path / "p"), "t1w1", "id", "long").collect() == []
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """3000 texts of 6 MB with 60 questions, their postings, and the bytes shuffled for these."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    rows = [(i, " ".join(words[min(3999, int(rng.expovariate(1 / 600)))] for _ in range(250))) for i in range(3000)]
+    folder = str(tmp_path_factory.mktemp("postings") / "p")
+    spark.createDataFrame(rows, "id long, t string").write.parquet(f"{folder}-texts")
+    before = shuffled(spark)
+    postings.build(spark.read.parquet(f"{folder}-texts"), "id", F.col("t"), folder)
+    return folder, [(q, rows[q * 50][1][:320]) for q in range(60)], shuffled(spark) - before
+
+
+def test_blocks_are_shuffled_once(many):
+    assert many[2] < 5_500_000
+
+
+def test_each_question_finds_its_text(spark, many):
+    folder, questions, _ = many
+    got = postings.bm25_each(spark, folder, spark.createDataFrame(questions, "question_id int, question string"), "id", 3).collect()
+    assert len(got) == 180 and {r.question_id for r in got if r.id == r.question_id * 50} == set(range(60))
+
+
 # ---- vectors
 
 
